@@ -89,17 +89,15 @@ def bin_percentile(p: float, prefix: str = "bin_") -> Column:
 
     The last bin is open, so it answers with its lower edge.
     """
-    counts = F.array(*[F.col(f"{prefix}{i}") for i in range(len(P.LATENCY_EDGES))])
-    edges = F.array(*[F.lit(float(e)) for e in P.LATENCY_EDGES])
-    upper = F.array(*[F.lit(float(e)) for e in P.LATENCY_EDGES[1:] + P.LATENCY_EDGES[-1:]])
-    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+    edges = P.LATENCY_EDGES
+    bins = F.array(*[F.struct(F.col(f"{prefix}{i}").alias("n"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
+                     for i, (lo, hi) in enumerate(zip(edges, edges[1:] + edges[-1:]))])
+    total = sum(F.col(f"{prefix}{i}") for i in range(len(edges)))
     want = F.lit(p) * total
     start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("ms"))
-    bins = F.arrays_zip(counts.alias("n"), edges.alias("lo"), upper.alias("hi"))
 
     def step(acc: Column, b: Column) -> Column:
-        n, lo, hi = b["0"], b["1"], b["2"]
-        here = acc["ms"].isNull() & (n > 0) & (acc["seen"] + n >= want)
-        return F.struct((acc["seen"] + n).alias("seen"),
-                        F.when(here, lo + (hi - lo) * (want - acc["seen"]) / n).otherwise(acc["ms"]).alias("ms"))
+        here = acc["ms"].isNull() & (b["n"] > 0) & (acc["seen"] + b["n"] >= want)
+        inside = b["lo"] + (b["hi"] - b["lo"]) * (want - acc["seen"]) / b["n"]
+        return F.struct((acc["seen"] + b["n"]).alias("seen"), F.when(here, inside).otherwise(acc["ms"]).alias("ms"))
     return F.when(total > 0, F.aggregate(bins, start, step, lambda acc: acc["ms"]) / 1000)

@@ -5,7 +5,7 @@ from importlib import import_module
 
 from .registry import Query
 
-AREAS = ["logs"]
+AREAS = ["logs", "balancers"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -7,7 +7,7 @@ MINUTE = 60_000
 
 VIEWS = {
     "v_logs": """
-        SELECT epoch_ms(ts) AS log_time_ms,
+        SELECT epoch_us(ts) // 1000 AS log_time_ms,
                CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'DEBUG'
                                WHEN 'click' THEN 'INFO' END AS level,
                'svc-' || user_id % 5 AS service, 'host-' || event_id % 7 AS host,
@@ -17,7 +17,7 @@ VIEWS = {
         FROM events""",
     "v_text": "SELECT doc_id AS row_id, text AS msg, source AS service, lang AS level FROM documents",
     "v_req0": """
-        SELECT event_id, event_type, user_id, value, epoch_ms(ts) AS ts_ms, 'lb-' || user_id % 3 AS lb,
+        SELECT event_id, event_type, user_id, value, epoch_us(ts) // 1000 AS ts_ms, 'lb-' || user_id % 3 AS lb,
                CASE WHEN user_id % 11 <> 0 THEN 'tg-c' || user_id % 8 END AS tg,
                'd' || user_id % 2 || '.example.com' AS domain,
                CASE WHEN event_type = 'click' THEN 'POST' WHEN event_type IN ('view', 'signup') THEN 'GET'
@@ -49,7 +49,7 @@ VIEWS = {
                     lambda e : e <= tgt_t * 1000)) - 1 END AS lat_bin
         FROM v_req""",
     "v_metric": """
-        SELECT epoch_ms(ts) // 60000 * 60000 AS t, 'api' || user_id % 2 AS api, 'st' || user_id % 5 AS stage,
+        SELECT epoch_us(ts) // 60000000 * 60000 AS t, 'api' || user_id % 2 AS api, 'st' || user_id % 5 AS stage,
                count(*) * 10 AS calls, count(*) FILTER (event_type = 'purchase') AS err_4xx,
                count(*) FILTER (event_type = 'error' AND event_id % 3 = 0) AS err_5xx,
                round(min(value) * 10, 1) AS p50,
@@ -60,7 +60,7 @@ VIEWS = {
         SELECT l_returnflag AS service, 's' || l_suppkey % 4 AS store, CAST(l_orderkey AS VARCHAR) AS order_id,
                epoch_ms(l_shipdate) + l_partkey % 1440 * 60000 AS ms FROM lineitem""",
     "v_session": """
-        SELECT epoch_ms(ts) AS at_ms, CASE WHEN user_id % 3 <> 0 THEN 'session' ELSE 'cop' END AS source,
+        SELECT epoch_us(ts) // 1000 AS at_ms, CASE WHEN user_id % 3 <> 0 THEN 'session' ELSE 'cop' END AS source,
                's' || user_id % 6 AS store,
                upper(coalesce(CASE WHEN event_id % 17 <> 0 THEN CASE event_type WHEN 'view' THEN 'PDP'
                     WHEN 'click' THEN 'CART' WHEN 'signup' THEN 'cop' ELSE 'OC' END END, '(none)')) AS page,
@@ -121,7 +121,7 @@ VIEWS = {
         SELECT tg, count(*) AS total, count(*) FILTER (state = 'healthy') AS healthy,
                count(*) FILTER (state IN ('unhealthy', 'draining', 'unavailable', 'initial')) AS bad FROM v_target
         GROUP BY tg""",
-    "v_util": "SELECT 'c' || user_id % 4 AS cluster, epoch_ms(ts) AS t_ms, value / 5 AS value FROM events",
+    "v_util": "SELECT 'c' || user_id % 4 AS cluster, epoch_us(ts) // 1000 AS t_ms, value / 5 AS value FROM events",
 }
 
 
