@@ -78,26 +78,25 @@ def latency_bin(seconds: Column) -> Column:
     return F.when(seconds.isNotNull(), F.size(reached) - 1).cast("tinyint")
 
 
-def bin_sums(lat_bin: str = "lat_bin", n: str = "n", prefix: str = "bin_") -> list[Column]:
-    """One conditional sum per bin: the counts of every bin in the same aggregation as the other sums."""
-    return [F.sum(F.when(F.col(lat_bin) == i, F.col(n)).otherwise(0)).alias(f"{prefix}{i}")
-            for i in range(len(P.LATENCY_EDGES))]
+def bin_list(lat_bin: str = "lat_bin", n: str = "n") -> Column:
+    """Aggregate: the counted bins of a group in order, at most one entry per bin of the fixed scale."""
+    return F.sort_array(F.collect_list(F.when(F.col(lat_bin).isNotNull(), F.struct(lat_bin, n))))
 
 
-def bin_percentile(p: float, prefix: str = "bin_") -> Column:
-    """Percentile in seconds from the bin sums: linear inside the first bin reaching p of the total.
+def bin_percentile(bins: Column, p: float) -> Column:
+    """Percentile in seconds from a bin list: linear inside the first bin that reaches p of the total.
 
-    The last bin is open, so it answers with its lower edge.
+    The last bin is open, so it answers with its lower edge. No counts give NULL.
     """
     edges = P.LATENCY_EDGES
-    bins = F.array(*[F.struct(F.col(f"{prefix}{i}").alias("n"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
-                     for i, (lo, hi) in enumerate(zip(edges, edges[1:] + edges[-1:]))])
-    total = sum(F.col(f"{prefix}{i}") for i in range(len(edges)))
-    want = F.lit(p) * total
+    lower = F.array(*[F.lit(float(e)) for e in edges])
+    upper = F.array(*[F.lit(float(e)) for e in edges[1:] + edges[-1:]])
+    want = F.lit(p) * F.aggregate(bins, F.lit(0).cast("bigint"), lambda total, b: total + b["n"])
     start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("ms"))
 
     def step(acc: Column, b: Column) -> Column:
-        here = acc["ms"].isNull() & (b["n"] > 0) & (acc["seen"] + b["n"] >= want)
-        inside = b["lo"] + (b["hi"] - b["lo"]) * (want - acc["seen"]) / b["n"]
+        lo, hi = (F.get(side, b["lat_bin"].cast("int")) for side in (lower, upper))
+        here = acc["ms"].isNull() & (acc["seen"] + b["n"] >= want)
+        inside = lo + (hi - lo) * (want - acc["seen"]) / b["n"]
         return F.struct((acc["seen"] + b["n"]).alias("seen"), F.when(here, inside).otherwise(acc["ms"]).alias("ms"))
-    return F.when(total > 0, F.aggregate(bins, start, step, lambda acc: acc["ms"]) / 1000)
+    return F.aggregate(F.filter(bins, lambda b: b["n"] > 0), start, step, lambda acc: acc["ms"]) / 1000

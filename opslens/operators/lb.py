@@ -149,49 +149,75 @@ class RequestTables:
 
 
 # ---- aggregates of roll-up rows
+SUMS = ["n", "tgt_t_sum", "tgt_t_n"]
+
+
+def cells(rollup: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Roll-up rows summed per key, status code, who answered and latency bin.
+
+    The one pass over the roll-up: three plain sums per row, combined on the map side. Everything
+    below works on its few rows (codes x bins per key), whatever the time range holds.
+    """
+    return (rollup.groupBy(*keys, "elb_code", F.col("tgt_code").isNotNull().alias("answered"), "lat_bin")
+            .agg(*[F.sum(c).alias(c) for c in SUMS]))
+
+
 def _class_sums() -> list[Column]:
     code = F.col("elb_code")
-    return [sum_when(web.in_class(code, c), "n").alias(f"s{c}") for c in P.STATUS_CLASSES] + [
+    return [sum_when(web.in_class(code, c), "n").alias(f"c{c}") for c in P.STATUS_CLASSES] + [
         sum_when(web.in_class(code, "other"), "n").alias("other")]
 
 
-def _error_sums() -> list[Column]:
-    failed, answered = F.col("elb_code") >= 500, F.col("tgt_code").isNotNull()
-    return [sum_when(failed & answered, "n").alias("s5xx_app"), sum_when(failed & ~answered, "n").alias("s5xx_lb")]
+def _blame_sums() -> list[Column]:
+    failed = F.col("elb_code") >= 500
+    return [sum_when(failed & F.col("answered"), "n").alias("s5xx_app"),
+            sum_when(failed & ~F.col("answered"), "n").alias("s5xx_lb"),
+            sum_when(web.in_class(F.col("elb_code"), "4xx"), "n").alias("s4xx")]
 
 
-def _avg() -> Column:
-    return ratio(F.sum("tgt_t_sum"), F.sum("tgt_t_n")).alias("avg")
+_CLASS_NAMES = [f"c{c}" for c in P.STATUS_CLASSES] + ["other"]
+_BLAME_NAMES = ["s5xx_app", "s5xx_lb", "s4xx"]
+
+
+def _status(counted: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
+    """Counts, classes, blame, average and percentiles per key from ``cells`` rows."""
+    per_bin = counted.groupBy(*keys, "lat_bin").agg(*[F.sum(c).alias(c) for c in SUMS], *_class_sums(), *_blame_sums())
+    whole = per_bin.groupBy(*keys).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("requests"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _CLASS_NAMES + _BLAME_NAMES],
+        ratio(F.sum("tgt_t_sum"), F.sum("tgt_t_n")).alias("avg"), web.bin_list().alias("bins"))
+    return whole.select(*keys, "requests", *_CLASS_NAMES, *_BLAME_NAMES,
+                        (F.col("s5xx_app") + F.col("s5xx_lb")).alias("s5xx"), "avg",
+                        *[web.bin_percentile(F.col("bins"), p).alias(name) for name, p in quantiles.items()])
 
 
 def status_totals(rollup: DataFrame) -> DataFrame:
-    """Requests, status classes, who answered the 5xx, average and percentiles: one row, one pass."""
-    sums = rollup.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("requests"), *_class_sums(), *_error_sums(), _avg(),
-                      *web.bin_sums())
-    return sums.select("requests", *[f"s{c}" for c in P.STATUS_CLASSES], "other", "s5xx_app", "s5xx_lb", "avg",
-                       web.bin_percentile(0.5).alias("p50"), web.bin_percentile(0.95).alias("p95"),
-                       web.bin_percentile(0.99).alias("p99"))
+    """Requests, status classes, who answered the 5xx, average and percentiles in one row."""
+    found = _status(cells(rollup, []), [], {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return found.drop("s4xx", "s5xx")
 
 
 def status_buckets(rollup: DataFrame, step: int) -> DataFrame:
     return (rollup.filter(F.col("minute_ms").isNotNull())
-            .groupBy(floor_to("minute_ms", step).alias("t")).agg(*_class_sums()))
+            .groupBy(floor_to("minute_ms", step).alias("t"), "elb_code").agg(F.sum("n").alias("n"))
+            .groupBy("t").agg(*_class_sums()))
 
 
 def bin_percentiles(rollup: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
     """Percentiles (seconds) per group from the latency bins."""
-    sums = rollup.filter(F.col("lat_bin").isNotNull()).groupBy(*keys).agg(*web.bin_sums())
-    return sums.select(*keys, *[web.bin_percentile(p).alias(name) for name, p in quantiles.items()])
+    bins = (rollup.filter(F.col("lat_bin").isNotNull()).groupBy(*keys, "lat_bin").agg(F.sum("n").alias("n"))
+            .groupBy(*keys).agg(web.bin_list().alias("bins")))
+    return bins.select(*keys, *[web.bin_percentile(F.col("bins"), p).alias(name) for name, p in quantiles.items()])
 
 
 def target_groups(rollup: DataFrame) -> DataFrame:
     """Per target group; NULL (no group) is one of them."""
-    sums = rollup.groupBy("tg").agg(
-        F.min("cluster").alias("cluster"), F.sort_array(F.collect_set("lb")).alias("lbs"), F.sum("n").alias("requests"),
-        sum_when(web.in_class(F.col("elb_code"), "4xx"), "n").alias("s4xx"), *_error_sums(), _avg(), *web.bin_sums())
-    return sums.select("tg", "cluster", "lbs", "requests", "s4xx", "s5xx_app", "s5xx_lb",
-                       (F.col("s5xx_app") + F.col("s5xx_lb")).alias("s5xx"), "avg",
-                       web.bin_percentile(0.95).alias("p95"))
+    counted = cells(rollup, ["tg", "cluster", "lb"])
+    where = (counted.groupBy("tg").agg(F.min("cluster").alias("cluster"),
+                                       F.sort_array(F.collect_set("lb")).alias("lbs"))
+             .withColumnRenamed("tg", "tg_"))
+    rows = _status(counted, ["tg"], {"p95": 0.95}).drop(*_CLASS_NAMES)
+    return rows.join(where, F.col("tg").eqNullSafe(F.col("tg_"))).drop("tg_")
 
 
 def top_error_paths(paths: DataFrame) -> DataFrame:
@@ -226,22 +252,19 @@ def path_code_counts(paths: DataFrame) -> DataFrame:
 
 
 def path_stats(paths: DataFrame) -> DataFrame:
-    """Per method and grouped path: requests, classes, average, p95, first 3 target groups, top code.
-
-    Counted per status code first; the codes of a path then meet in one small second step.
-    """
-    bins = [f"bin_{i}" for i in range(len(P.LATENCY_EDGES))]
-    per_code = paths.groupBy("method", "path_group", "elb_code").agg(
-        F.sum("n").alias("n"), F.sum("tgt_t_sum").alias("tgt_t_sum"), F.sum("tgt_t_n").alias("tgt_t_n"),
-        F.collect_set("tg").alias("tgs"), *web.bin_sums())
-    code = F.col("elb_code")
-    sums = per_code.groupBy("method", "path_group").agg(
-        F.sum("n").alias("requests"), *_class_sums(), sum_when(code >= 500, "n").alias("s5xx"),
-        sum_when(web.in_class(code, "4xx"), "n").alias("s4xx"), _avg(),
-        F.max_by("elb_code", F.struct("n", "elb_code")).alias("top_code"),
-        F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("tgs")))), 1, 3).alias("tgs"),
-        *[F.sum(b).alias(b) for b in bins])
-    return sums.withColumn("p95", web.bin_percentile(0.95)).drop(*bins, "other")
+    """Per method and grouped path: requests, classes, average, p95, first 3 target groups, top code."""
+    keys = ["method", "path_group"]
+    counted = cells(paths, [*keys, "tg"])
+    stats = _status(counted, keys, {"p95": 0.95}).drop("other", "s5xx_app", "s5xx_lb")
+    top = (counted.groupBy(*keys, "elb_code").agg(F.sum("n").alias("n"))
+           .groupBy(*keys).agg(F.max_by("elb_code", F.struct("n", "elb_code")).alias("top_code")))
+    tgs = (counted.select(*keys, "tg").distinct()
+           .groupBy(*keys).agg(F.slice(F.sort_array(F.collect_set("tg")), 1, 3).alias("tgs")))
+    for side in (top, tgs):
+        side = side.withColumnsRenamed({k: f"{k}_" for k in keys})
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
+        stats = stats.join(side, same).drop(*[f"{k}_" for k in keys])
+    return stats
 
 
 def path_table(paths: DataFrame, sort: str = "errors", limit: int = 50) -> DataFrame:
