@@ -26,7 +26,6 @@ def weighted_avg(value: str, weight: str, where: Column | None = None) -> Column
     return F.when(total != 0, F.sum(F.when(present, v * w)) / total)
 
 
-def sum_when(condition: Column, value: Column | str | int = 1) -> Column:
-    """Sum over matching rows, 0 when there is none."""
-    value = F.col(value) if isinstance(value, str) else F.lit(value) if isinstance(value, int) else value
-    return F.coalesce(F.sum(F.when(condition, value)), F.lit(0).cast("bigint"))
+def sum_when(test: str, value: str = "1") -> Column:
+    """Sum over the rows passing an SQL test, 0 when there is none."""
+    return F.expr(f"coalesce(sum({value}) FILTER (WHERE {test}), 0)")

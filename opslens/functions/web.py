@@ -41,14 +41,13 @@ def cluster_of(tg: Column) -> Column:
 
 
 # ---- status codes
-def in_class(code: Column, status_class: str) -> Column:
-    """2xx … 5xx are n00 to n99; 'other' is no code, below 200 or from 600 on."""
+def class_test(status_class: str, code: str = "elb_code") -> str:
+    """SQL test of a status class: 2xx … 5xx are n00 to n99; 'other' is no code, below 200 or from 600 on."""
     if status_class == "other":
-        return code.isNull() | (code < 200) | (code >= 600)
+        return f"({code} IS NULL OR {code} < 200 OR {code} >= 600)"
     if status_class not in P.STATUS_CLASSES:
         raise ValueError("status classes are 2xx, 3xx, 4xx, 5xx or other")
-    low = int(status_class[0]) * 100
-    return code.between(low, low + 99)
+    return f"{code} BETWEEN {status_class[0]}00 AND {status_class[0]}99"
 
 
 def code_matches(code: Column, codes: Sequence[str]) -> Column:
@@ -71,32 +70,32 @@ def codes_overlap(a: Sequence[str], b: Sequence[str]) -> bool:
 
 
 # ---- latency bins
-def latency_bin(seconds: Column) -> Column:
+_LOWER = "array(" + ", ".join(f"{e}D" for e in P.LATENCY_EDGES) + ")"
+_UPPER = "array(" + ", ".join(f"{e}D" for e in P.LATENCY_EDGES[1:] + P.LATENCY_EDGES[-1:]) + ")"
+
+
+def latency_bin(seconds: str) -> Column:
     """Index of the bin a response time falls in, NULL for no time."""
-    ms = seconds * 1000
-    reached = F.filter(F.array(*[F.lit(e) for e in P.LATENCY_EDGES]), lambda e: e <= ms)
-    return F.when(seconds.isNotNull(), F.size(reached) - 1).cast("tinyint")
+    reached = f"size(filter({_LOWER}, edge -> edge <= {seconds} * 1000)) - 1"
+    return F.expr(f"CAST(CASE WHEN {seconds} IS NOT NULL THEN {reached} END AS TINYINT)")
 
 
 def bin_list(lat_bin: str = "lat_bin", n: str = "n") -> Column:
     """Aggregate: the counted bins of a group in order, at most one entry per bin of the fixed scale."""
-    return F.sort_array(F.collect_list(F.when(F.col(lat_bin).isNotNull(), F.struct(lat_bin, n))))
+    return F.expr(f"sort_array(collect_list(CASE WHEN {lat_bin} IS NOT NULL THEN named_struct('lat_bin', {lat_bin}, "
+                  f"'n', {n}) END))")
 
 
-def bin_percentile(bins: Column, p: float) -> Column:
+def bin_percentile(bins: str, p: float) -> Column:
     """Percentile in seconds from a bin list: linear inside the first bin that reaches p of the total.
 
     The last bin is open, so it answers with its lower edge. No counts give NULL.
     """
-    edges = P.LATENCY_EDGES
-    lower = F.array(*[F.lit(float(e)) for e in edges])
-    upper = F.array(*[F.lit(float(e)) for e in edges[1:] + edges[-1:]])
-    want = F.lit(p) * F.aggregate(bins, F.lit(0).cast("bigint"), lambda total, b: total + b["n"])
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("ms"))
-
-    def step(acc: Column, b: Column) -> Column:
-        lo, hi = (F.get(side, b["lat_bin"].cast("int")) for side in (lower, upper))
-        here = acc["ms"].isNull() & (acc["seen"] + b["n"] >= want)
-        inside = lo + (hi - lo) * (want - acc["seen"]) / b["n"]
-        return F.struct((acc["seen"] + b["n"]).alias("seen"), F.when(here, inside).otherwise(acc["ms"]).alias("ms"))
-    return F.aggregate(F.filter(bins, lambda b: b["n"] > 0), start, step, lambda acc: acc["ms"]) / 1000
+    want = f"{p}D * aggregate({bins}, 0L, (total, b) -> total + b.n)"
+    inside = (f"get({_LOWER}, CAST(b.lat_bin AS INT)) + (get({_UPPER}, CAST(b.lat_bin AS INT)) - "
+              f"get({_LOWER}, CAST(b.lat_bin AS INT))) * ({want} - acc.seen) / b.n")
+    return F.expr(f"""
+        aggregate(filter({bins}, b -> b.n > 0), named_struct('seen', 0L, 'ms', CAST(NULL AS DOUBLE)),
+                  (acc, b) -> named_struct('seen', acc.seen + b.n, 'ms',
+                     CASE WHEN acc.ms IS NULL AND acc.seen + b.n >= {want} THEN {inside} ELSE acc.ms END),
+                  acc -> acc.ms / 1000)""")

@@ -70,7 +70,7 @@ def with_url_parts(requests: DataFrame, url: str = "url") -> DataFrame:
 
 def _rollup(requests: DataFrame, keys: list[str]) -> DataFrame:
     return (requests.groupBy(floor_to("ts_ms", MINUTE).alias("minute_ms"), *keys,
-                             web.latency_bin(F.col("tgt_t")).alias("lat_bin"))
+                             web.latency_bin("tgt_t").alias("lat_bin"))
             .agg(F.count("*").alias("n"), F.sum("tgt_t").alias("tgt_t_sum"), F.count("tgt_t").alias("tgt_t_n")))
 
 

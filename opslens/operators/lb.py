@@ -89,7 +89,7 @@ class RequestQuery:
             choices += [F.col("tg").isNull()] if "-" in self.target_groups else []
             yield reduce(lambda a, b: a | b, choices)
         if self.status_classes:
-            yield reduce(lambda a, b: a | b, [web.in_class(F.col("elb_code"), c) for c in self.status_classes])
+            yield reduce(lambda a, b: a | b, [F.expr(web.class_test(c)) for c in self.status_classes])
         if self.status_codes:
             yield F.col("elb_code").isin([int(c) for c in self.status_codes])
         if self.source:
@@ -163,16 +163,13 @@ def cells(rollup: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _class_sums() -> list[Column]:
-    code = F.col("elb_code")
-    return [sum_when(web.in_class(code, c), "n").alias(f"c{c}") for c in P.STATUS_CLASSES] + [
-        sum_when(web.in_class(code, "other"), "n").alias("other")]
+    return [sum_when(web.class_test(c), "n").alias(name) for c, name in zip([*P.STATUS_CLASSES, "other"], _CLASS_NAMES)]
 
 
 def _blame_sums() -> list[Column]:
-    failed = F.col("elb_code") >= 500
-    return [sum_when(failed & F.col("answered"), "n").alias("s5xx_app"),
-            sum_when(failed & ~F.col("answered"), "n").alias("s5xx_lb"),
-            sum_when(web.in_class(F.col("elb_code"), "4xx"), "n").alias("s4xx")]
+    return [sum_when("elb_code >= 500 AND answered", "n").alias("s5xx_app"),
+            sum_when("elb_code >= 500 AND NOT answered", "n").alias("s5xx_lb"),
+            sum_when(web.class_test("4xx"), "n").alias("s4xx")]
 
 
 _CLASS_NAMES = [f"c{c}" for c in P.STATUS_CLASSES] + ["other"]
@@ -188,7 +185,7 @@ def _status(counted: DataFrame, keys: Sequence[str], quantiles: Mapping[str, flo
         ratio(F.sum("tgt_t_sum"), F.sum("tgt_t_n")).alias("avg"), web.bin_list().alias("bins"))
     return whole.select(*keys, "requests", *_CLASS_NAMES, *_BLAME_NAMES,
                         (F.col("s5xx_app") + F.col("s5xx_lb")).alias("s5xx"), "avg",
-                        *[web.bin_percentile(F.col("bins"), p).alias(name) for name, p in quantiles.items()])
+                        *[web.bin_percentile("bins", p).alias(name) for name, p in quantiles.items()])
 
 
 def status_totals(rollup: DataFrame) -> DataFrame:
@@ -207,7 +204,7 @@ def bin_percentiles(rollup: DataFrame, keys: Sequence[str], quantiles: Mapping[s
     """Percentiles (seconds) per group from the latency bins."""
     bins = (rollup.filter(F.col("lat_bin").isNotNull()).groupBy(*keys, "lat_bin").agg(F.sum("n").alias("n"))
             .groupBy(*keys).agg(web.bin_list().alias("bins")))
-    return bins.select(*keys, *[web.bin_percentile(F.col("bins"), p).alias(name) for name, p in quantiles.items()])
+    return bins.select(*keys, *[web.bin_percentile("bins", p).alias(name) for name, p in quantiles.items()])
 
 
 def target_groups(rollup: DataFrame) -> DataFrame:
@@ -243,7 +240,7 @@ def target_group_table(rollup: DataFrame, paths: DataFrame | None) -> DataFrame:
 
 def code_counts(rollup: DataFrame) -> DataFrame:
     return (rollup.filter(F.col("elb_code").isNotNull()).groupBy("elb_code")
-            .agg(F.sum("n").alias("n"), sum_when(F.col("tgt_code").isNotNull(), "n").alias("app")))
+            .agg(F.sum("n").alias("n"), sum_when("tgt_code IS NOT NULL", "n").alias("app")))
 
 
 def path_code_counts(paths: DataFrame) -> DataFrame:

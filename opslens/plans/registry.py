@@ -6,6 +6,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import prepare
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,6 +21,6 @@ class Registry(dict):
         def keep(run: Run) -> Run:
             if name in self:
                 raise ValueError(f"query '{name}' is registered twice")
-            self[name] = Query(run, sql)
+            self[name] = Query(lambda spark, sf_dir: run(prepare(spark), sf_dir), sql)
             return run
         return keep

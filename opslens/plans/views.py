@@ -4,9 +4,9 @@
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.times import HOUR, MINUTE, epoch_ms, floor_to
+from ..functions.times import MINUTE, floor_to
 from ..functions.web import cluster_of
 from ..operators.access import with_url_parts
 from ..session import prepare
@@ -16,30 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _name(prefix: str, number: Column) -> Column:
-    return F.concat(F.lit(prefix), number.cast("string"))
+# epoch ms of a timestamp column, zone or not
+_MS = "unix_millis(CAST({} AS TIMESTAMP))"
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Application log lines out of ``events``."""
-    kind, user, event = F.col("event_type"), F.col("user_id"), F.col("event_id")
-    return table(spark, sf_dir, "events").select(
-        epoch_ms("ts").alias("log_time_ms"),
-        F.when(kind == "error", "ERROR").when(kind == "purchase", "WARN").when(kind == "signup", "DEBUG")
-        .when(kind == "click", "INFO").alias("level"),
-        _name("svc-", user % 5).alias("service"), _name("host-", event % 7).alias("host"),
-        F.when(kind == "error", _name("java.lang.E", user % 3)).alias("exception"),
-        _name("c", user % 4).alias("cluster"),
-        F.concat_ws(" ", kind, F.lit("user"), user.cast("string"), "props").alias("msg"),
-        F.floor("value").cast("bigint").alias("response_time_ms"), (event % 50 != 0).alias("parse_ok"),
-        event.alias("row_id"))
+    return table(spark, sf_dir, "events").selectExpr(
+        f"{_MS.format('ts')} AS log_time_ms",
+        "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'DEBUG' "
+        "WHEN 'click' THEN 'INFO' END AS level",
+        "'svc-' || user_id % 5 AS service", "'host-' || event_id % 7 AS host",
+        "CASE WHEN event_type = 'error' THEN 'java.lang.E' || user_id % 3 END AS exception",
+        "'c' || user_id % 4 AS cluster", "event_type || ' user ' || user_id || ' ' || props AS msg",
+        "CAST(floor(value) AS BIGINT) AS response_time_ms", "event_id % 50 <> 0 AS parse_ok", "event_id AS row_id")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-line log lines out of ``documents``."""
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("row_id"), F.col("text").alias("msg"), F.col("source").alias("service"),
-        F.col("lang").alias("level"))
+    return table(spark, sf_dir, "documents").selectExpr("doc_id AS row_id", "text AS msg", "source AS service",
+                                                        "lang AS level")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,80 +44,67 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_rows(events: DataFrame) -> DataFrame:
-    kind, user, event = F.col("event_type"), F.col("user_id"), F.col("event_id")
-    code = (F.when(kind == "error", 500 + event % 4)
-            .when(kind == "purchase", F.when(event % 5 == 0, 404).otherwise(201))
-            .when(kind == "signup", F.when(event % 3 == 0, 301).otherwise(200)).otherwise(200))
-    base = events.select(
-        "event_id", "event_type", "user_id", "value", epoch_ms("ts").alias("ts_ms"),
-        _name("lb-", user % 3).alias("lb"), F.when(user % 11 != 0, _name("tg-c", user % 8)).alias("tg"),
-        F.concat(_name("d", user % 2), F.lit(".example.com")).alias("domain"),
-        F.when(kind == "click", "POST").when(kind.isin("view", "signup"), "GET").when(kind == "purchase", "PUT")
-        .when(user % 2 == 0, "GET").otherwise("POST").alias("method"),
-        code.cast("smallint").alias("elb_code"), _name("Root=1-", event).alias("trace_id"),
-        F.concat(_name("10.0.", user % 256), F.lit("."), (event % 250).cast("string")).alias("client_ip"))
-    url = F.concat(F.lit("https://"), "domain", F.lit("/api/v1/s"), (user % 6).cast("string"),
-                   F.lit(".myshopify.com/"), "event_type", F.lit("/"), event.cast("string"))
-    answered = F.col("elb_code") != 503
-    rows = (base.withColumns({"url": url, "tgt_code": F.when(answered, F.col("elb_code")),
-                              "tgt_t": F.when(answered, F.col("value") / 100),
-                              "target": F.when(answered, F.concat(_name("10.1.0.", user % 20), F.lit(":8080"))),
-                              "cluster": cluster_of(F.col("tg"))}))
-    raw = F.concat_ws(" ", "lb", F.coalesce("tg", F.lit("-")), F.concat(F.lit('"'), "method", F.lit(" "), "url",
-                                                                       F.lit('"')),
-                      F.col("elb_code").cast("string"), "client_ip", "trace_id")
-    return (with_url_parts(rows.withColumn("raw", raw))
+    base = events.selectExpr(
+        f"{_MS.format('ts')} AS ts_ms", "'lb-' || user_id % 3 AS lb",
+        "CASE WHEN user_id % 11 <> 0 THEN 'tg-c' || user_id % 8 END AS tg",
+        "'d' || user_id % 2 || '.example.com' AS domain",
+        "CASE WHEN event_type = 'click' THEN 'POST' WHEN event_type IN ('view', 'signup') THEN 'GET' "
+        "WHEN event_type = 'purchase' THEN 'PUT' WHEN user_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method",
+        "CAST(CASE event_type WHEN 'error' THEN 500 + event_id % 4 WHEN 'purchase' THEN "
+        "CASE WHEN event_id % 5 = 0 THEN 404 ELSE 201 END WHEN 'signup' THEN "
+        "CASE WHEN event_id % 3 = 0 THEN 301 ELSE 200 END ELSE 200 END AS SMALLINT) AS elb_code",
+        "'Root=1-' || event_id AS trace_id", "'10.0.' || user_id % 256 || '.' || event_id % 250 AS client_ip",
+        "'https://d' || user_id % 2 || '.example.com/api/v1/s' || user_id % 6 || '.myshopify.com/' || event_type || '/' "
+        "|| event_id AS url", "value / 100 AS seconds", "'10.1.0.' || user_id % 20 || ':8080' AS answering")
+    rows = base.selectExpr(
+        "*", "CASE WHEN elb_code <> 503 THEN elb_code END AS tgt_code", "CASE WHEN elb_code <> 503 THEN seconds END AS tgt_t",
+        "CASE WHEN elb_code <> 503 THEN answering END AS target",
+        """concat_ws(' ', lb, coalesce(tg, '-'), '"' || method || ' ' || url || '"', elb_code, client_ip, trace_id) AS raw""")
+    return (with_url_parts(rows).withColumn("cluster", cluster_of(F.col("tg")))
             .select("ts_ms", "lb", "tg", "cluster", "domain", "method", "path", "path_group", "url", "elb_code",
                     "tgt_code", "client_ip", "target", "tgt_t", "trace_id", "raw"))
 
 
 def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw access log lines rendered from ``events``: quoted tokens, dashes, -1 timings, escapes."""
-    kind, user, event = F.col("event_type"), F.col("user_id"), F.col("event_id")
-    quoted = lambda *parts: F.concat(F.lit('"'), *parts, F.lit('"'))
-    silent = event % 13 == 0
-    when = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
-    agent = F.when(event % 7 == 0, F.lit('"Mozilla/5.0 (X11; \\"q\\") Demo"')).otherwise(F.lit('"curl/8"'))
-    line = F.concat_ws(
-        " ", F.lit("https"), when, F.concat(F.lit("app/"), _name("elb-", user % 3), F.lit("/1a2b")),
-        F.concat(_name("198.51.100.", user % 250), F.lit(":"), (1024 + event % 50000).cast("string")),
-        F.when(silent, "-").otherwise(F.concat(_name("10.0.32.", user % 20), F.lit(":80"))),
-        F.when(silent, "-1").otherwise("0.001"),
-        F.when(silent, "-1").otherwise((user * 10 + event % 10).cast("string")),
-        F.when(silent, "-1").otherwise("0.000"), F.when(silent, "503").otherwise("200"),
-        F.when(silent, "-").otherwise("200"), (100 + event % 900).cast("string"), (event * 3).cast("string"),
-        quoted(F.when(kind == "click", "POST").otherwise("GET"), F.lit(" https://api.example.com:443/v1/"),
-               _name("s", user % 6), F.lit(".myshopify.com/"), kind, F.lit("/"), event.cast("string"),
-               F.when(event % 3 == 0, F.concat(F.lit("?x="), user.cast("string"))).otherwise(""), F.lit(" HTTP/1.1")),
-        agent, F.lit("-"), F.lit("TLSv1.2"),
-        F.concat(F.lit("arn:aws:elasticloadbalancing:us-west-2:111122223333:targetgroup/"),
-                 F.when(user % 4 == 0, _name("webhook-", user % 3)).otherwise(_name("tg-c", user % 8)),
-                 F.lit("/cd18")),
-        quoted(_name("Root=1-", event)), F.lit('"api.example.com"'), F.lit('"-"'), F.lit("10"), when,
-        F.lit('"forward"'))
-    return table(spark, sf_dir, "events").select(event.alias("row_id"), line.alias("raw"))
+    when = "date_format(CAST(ts AS TIMESTAMP), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") || 'Z'"
+    answered = "event_id % 13 <> 0"
+    fields = [
+        "'https'", when, "'app/elb-' || user_id % 3 || '/1a2b'",
+        "'198.51.100.' || user_id % 250 || ':' || (1024 + event_id % 50000)",
+        f"CASE WHEN {answered} THEN '10.0.32.' || user_id % 20 || ':80' ELSE '-' END",
+        f"CASE WHEN {answered} THEN '0.001' ELSE '-1' END",
+        f"CASE WHEN {answered} THEN CAST(user_id * 10 + event_id % 10 AS STRING) ELSE '-1' END",
+        f"CASE WHEN {answered} THEN '0.000' ELSE '-1' END", f"CASE WHEN {answered} THEN '200' ELSE '503' END",
+        f"CASE WHEN {answered} THEN '200' ELSE '-' END", "100 + event_id % 900", "event_id * 3",
+        """'"' || CASE WHEN event_type = 'click' THEN 'POST' ELSE 'GET' END || ' https://api.example.com:443/v1/s' ||
+           user_id % 6 || '.myshopify.com/' || event_type || '/' || event_id ||
+           CASE WHEN event_id % 3 = 0 THEN '?x=' || user_id ELSE '' END || ' HTTP/1.1"'""",
+        """CASE WHEN event_id % 7 = 0 THEN '"Mozilla/5.0 (X11; \\\\"q\\\\") Demo"' ELSE '"curl/8"' END""", "'-'", "'TLSv1.2'",
+        "'arn:aws:elasticloadbalancing:us-west-2:111122223333:targetgroup/' || CASE WHEN user_id % 4 = 0 THEN "
+        "'webhook-' || user_id % 3 ELSE 'tg-c' || user_id % 8 END || '/cd18'",
+        """'"Root=1-' || event_id || '"'""", """'"api.example.com"'""", """'"-"'""", "'10'", when, """'"forward"'"""]
+    return table(spark, sf_dir, "events").selectExpr("event_id AS row_id", f"concat_ws(' ', {', '.join(fields)}) AS raw")
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """API metric minutes out of ``events``: three hours of calls are folded into each minute."""
-    kind, value = F.col("event_type"), F.col("value")
-    return (table(spark, sf_dir, "events")
-            .groupBy(floor_to(epoch_ms("ts"), MINUTE).alias("t"), _name("api", F.col("user_id") % 2).alias("api"),
-                     _name("st", F.col("user_id") % 5).alias("stage"))
-            .agg((F.count("*") * 10).alias("calls"),
-                 F.count(F.when(kind == "purchase", 1)).alias("err_4xx"),
-                 F.count(F.when((kind == "error") & (F.col("event_id") % 3 == 0), 1)).alias("err_5xx"),
-                 F.round(F.min(value) * 10, 1).alias("p50"),
-                 F.round(F.max(F.when(kind != "view", value)) * 10, 1).alias("p95"),
-                 F.round(F.max(F.when(kind != "view", value)) * 7, 1).alias("ip95")))
+    """API metric minutes out of ``events``; every event stands for ten calls."""
+    events = table(spark, sf_dir, "events").selectExpr(
+        f"{_MS.format('ts')} AS ms", "'api' || user_id % 2 AS api", "'st' || user_id % 5 AS stage", "event_type",
+        "event_id", "value").withColumn("t", floor_to("ms", MINUTE))
+    return events.groupBy("t", "api", "stage").agg(
+        F.expr("count(*) * 10 AS calls"), F.expr("count_if(event_type = 'purchase') AS err_4xx"),
+        F.expr("count_if(event_type = 'error' AND event_id % 3 = 0) AS err_5xx"),
+        F.expr("round(min(value) * 10, 1) AS p50"),
+        F.expr("round(max(value) FILTER (WHERE event_type <> 'view') * 10, 1) AS p95"),
+        F.expr("round(max(value) FILTER (WHERE event_type <> 'view') * 7, 1) AS ip95"))
 
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines seen by a service in a store, out of ``lineitem``."""
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("service"), _name("s", F.col("l_suppkey") % 4).alias("store"),
-        F.col("l_orderkey").cast("string").alias("order_id"),
-        (epoch_ms("l_shipdate") + F.col("l_partkey") % 1440 * MINUTE).alias("ms"))
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_returnflag AS service", "'s' || l_suppkey % 4 AS store", "CAST(l_orderkey AS STRING) AS order_id",
+        f"{_MS.format('l_shipdate')} + l_partkey % 1440 * 60000 AS ms")
 
 
 HEALTH_PREFIX = "shop-health-"
@@ -129,90 +112,79 @@ HEALTH_PREFIX = "shop-health-"
 
 def session_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session and checkout entries out of ``events``."""
-    kind, user, event = F.col("event_type"), F.col("user_id"), F.col("event_id")
-    session = user % 3 != 0
-    page = F.when(kind == "view", "PDP").when(kind == "click", "CART").when(kind == "signup", "cop").otherwise("OC")
-    sid = (F.when(event % 9 <= 1, _name("M", event)).when(event % 9 == 2, "NA").when(event % 9 == 3, "xyz123")
-           .when(event % 9 == 4, "").when(event % 9 == 5, F.lit(None)).when(event % 9 == 6, event.cast("string"))
-           .when(event % 9 == 7, "8628b242-3301-4180-b6b1-1a3efc0d9e11")
-           .when(user % 2 == 0, HEALTH_PREFIX + "x").otherwise(_name("app-", event)))
-    oc = session & ~kind.isin("view", "click", "signup")
-    return table(spark, sf_dir, "events").select(
-        epoch_ms("ts").alias("at_ms"), F.when(session, "session").otherwise("cop").alias("source"),
-        F.concat(_name("s", user % 6), F.when(session, "-session_history-2024.01")
-                 .otherwise("-cop-derrh-2024.01-000002")).alias("index"),
-        F.when(event % 17 != 0, page).alias("page"), sid.alias("session_id"), event.cast("string").alias("order_id"),
-        _name("d", event).alias("doc_id"), F.when(oc, "EDD").alias("test"),
-        F.when(oc, F.when(user % 2 == 0, "A").otherwise("B")).alias("variant"))
+    oc = "user_id % 3 <> 0 AND event_type NOT IN ('view', 'click', 'signup')"
+    return table(spark, sf_dir, "events").selectExpr(
+        f"{_MS.format('ts')} AS at_ms", "CASE WHEN user_id % 3 <> 0 THEN 'session' ELSE 'cop' END AS source",
+        "'s' || user_id % 6 || CASE WHEN user_id % 3 <> 0 THEN '-session_history-2024.01' "
+        "ELSE '-cop-derrh-2024.01-000002' END AS index",
+        "CASE WHEN event_id % 17 <> 0 THEN CASE event_type WHEN 'view' THEN 'PDP' WHEN 'click' THEN 'CART' "
+        "WHEN 'signup' THEN 'cop' ELSE 'OC' END END AS page",
+        "CASE event_id % 9 WHEN 0 THEN 'M' || event_id WHEN 1 THEN 'M' || event_id WHEN 2 THEN 'NA' WHEN 3 THEN 'xyz123' "
+        "WHEN 4 THEN '' WHEN 5 THEN NULL WHEN 6 THEN CAST(event_id AS STRING) "
+        "WHEN 7 THEN '8628b242-3301-4180-b6b1-1a3efc0d9e11' ELSE CASE WHEN user_id % 2 = 0 "
+        f"THEN '{HEALTH_PREFIX}x' ELSE 'app-' || event_id END END AS session_id",
+        "CAST(event_id AS STRING) AS order_id", "'d' || event_id AS doc_id", f"CASE WHEN {oc} THEN 'EDD' END AS test",
+        f"CASE WHEN {oc} THEN CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END END AS variant")
 
 
 def index_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily document counts of order indexes out of ``orders``: counts grow by the day's orders."""
-    from pyspark.sql import Window as W
-    shop = F.col("o_custkey") % 12
-    index = F.concat(_name("shop", shop), F.lit(".myshopify.com"),
-                     F.when(shop == 3, "-s").when(shop == 4, "-jg").otherwise(""), F.lit("-order-"),
-                     F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy"))
-    daily = (table(spark, sf_dir, "orders").withColumns({"index": index, "snapshot_ms": epoch_ms("o_orderdate")})
-             .groupBy("index", "snapshot_ms").agg(F.count("*").alias("fresh")))
-    upto = W.partitionBy("index").orderBy("snapshot_ms").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (daily.withColumns({
-        "docs_count": F.sum("fresh").over(upto), "creation_ms": F.min("snapshot_ms").over(upto)})
-        .select("snapshot_ms", "index", F.lit("open").alias("status"), "docs_count", "creation_ms"))
+    daily = table(spark, sf_dir, "orders").selectExpr(
+        f"{_MS.format('o_orderdate')} AS snapshot_ms",
+        "'shop' || o_custkey % 12 || '.myshopify.com' || CASE o_custkey % 12 WHEN 3 THEN '-s' WHEN 4 THEN '-jg' ELSE '' END "
+        "|| '-order-' || year(o_orderdate) AS index").groupBy("index", "snapshot_ms").agg(F.count("*").alias("fresh"))
+    return daily.selectExpr(
+        "snapshot_ms", "index", "'open' AS status",
+        "sum(fresh) OVER (PARTITION BY index ORDER BY snapshot_ms) AS docs_count",
+        "min(snapshot_ms) OVER (PARTITION BY index ORDER BY snapshot_ms) AS creation_ms")
 
 
 def dated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with up to three date fields, out of ``orders``."""
-    key, ms = F.col("o_orderkey"), epoch_ms("o_orderdate") + F.col("o_custkey") % 288 * 5 * MINUTE
-    return table(spark, sf_dir, "orders").select(
-        F.concat(_name("shop", F.col("o_custkey") % 12), F.lit(".myshopify.com-order-1996")).alias("index"),
-        F.when(key % 3 == 0, ms).alias("d1"), F.when(key % 3 <= 1, ms + HOUR).alias("d2"),
-        F.when(key % 7 != 0, ms + 2 * HOUR).alias("d3"))
+    ms = f"({_MS.format('o_orderdate')} + o_custkey % 288 * 300000)"
+    return table(spark, sf_dir, "orders").selectExpr(
+        "'shop' || o_custkey % 12 || '.myshopify.com' || CASE WHEN o_custkey % 12 = 3 THEN '-s' ELSE '' END || "
+        "'-order-1996' AS index", f"CASE WHEN o_orderkey % 3 = 0 THEN {ms} END AS d1",
+        f"CASE WHEN o_orderkey % 3 <= 1 THEN {ms} + 3600000 END AS d2",
+        f"CASE WHEN o_orderkey % 7 <> 0 THEN {ms} + 7200000 END AS d3")
 
 
 def inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inbound windows of two sources, ``_all`` rows included, out of ``orders``."""
-    window = epoch_ms("o_orderdate") + F.col("o_custkey") % 288 * 5 * MINUTE
-    tenants = (table(spark, sf_dir, "orders")
-               .groupBy(window.alias("t"), (F.col("o_custkey") % 2).cast("int").alias("source"),
-                        F.concat(_name("shop", F.col("o_custkey") % 12), F.lit(".myshopify.com")).alias("tenant"))
-               .agg(F.count("*").alias("orders")))
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        f"{_MS.format('o_orderdate')} + o_custkey % 288 * 300000 AS t", "CAST(o_custkey % 2 AS INT) AS source",
+        "'shop' || o_custkey % 12 || '.myshopify.com' AS tenant")
+    tenants = rows.groupBy("t", "source", "tenant").agg(F.count("*").alias("orders"))
     covered = tenants.groupBy("t", "source").agg(F.sum("orders").alias("orders")).withColumn("tenant", F.lit("_all"))
     return tenants.unionByName(covered)
 
 
-# -- service inventory
 def inventory(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """clusters, services, instances, targets and target groups out of nation, customer and supplier."""
-    sup, cust = F.col("s_suppkey"), F.col("c_custkey")
     supplier, customer = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    state = (F.when(sup % 7 == 0, "unhealthy").when(sup % 11 == 0, "draining").when(sup % 13 == 0, "unused")
-             .when(sup % 30 == 9, "unhealthy").otherwise("healthy"))
-    targets = supplier.select(_name("tg-c", sup % 30).alias("tg"), _name("i-", sup).alias("target_id"),
-                              state.alias("state"),
-                              F.when(sup % 7 == 0, "Target.FailedHealthChecks").alias("reason"))
-    groups = (targets.groupBy("tg").agg(F.lit(None).cast("string").alias("error"))
-              .withColumn("lb", F.concat(F.lit("elb-"), F.substring("tg", -1, 1))))
+    targets = supplier.selectExpr(
+        "'tg-c' || s_suppkey % 30 AS tg", "'i-' || s_suppkey AS target_id",
+        "CASE WHEN s_suppkey % 7 = 0 THEN 'unhealthy' WHEN s_suppkey % 11 = 0 THEN 'draining' WHEN s_suppkey % 13 = 0 "
+        "THEN 'unused' WHEN s_suppkey % 30 = 9 THEN 'unhealthy' ELSE 'healthy' END AS state",
+        "CASE WHEN s_suppkey % 7 = 0 THEN 'Target.FailedHealthChecks' END AS reason")
     return {
-        "clusters": table(spark, sf_dir, "nation").select(_name("c", F.col("n_nationkey")).alias("cluster")),
-        "services": customer.select(
-            _name("c", F.col("c_nationkey")).alias("cluster"), _name("svc-", cust).alias("service"),
-            F.lit("ACTIVE").alias("status"), (1 + cust % 3).cast("int").alias("desired"),
-            F.when(cust % 500 == 0, 0).when(cust % 90 == 1, F.lit(1)).otherwise(1 + cust % 3).cast("int")
-            .alias("running"),
-            F.when(cust % 90 == 1, "IN_PROGRESS").otherwise("COMPLETED").alias("rollout"),
-            F.when(cust % 40 == 0, _name("tg-c", cust % 30)).alias("tg")),
-        "instances": supplier.select(
-            _name("c", F.col("s_nationkey")).alias("cluster"), _name("i-", sup).alias("instance_id"),
-            F.when(sup % 17 == 0, "DRAINING").otherwise("ACTIVE").alias("status"),
-            (sup % 19 != 0).alias("agent_connected")),
+        "clusters": table(spark, sf_dir, "nation").selectExpr("'c' || n_nationkey AS cluster"),
+        "services": customer.selectExpr(
+            "'c' || c_nationkey AS cluster", "'svc-' || c_custkey AS service", "'ACTIVE' AS status",
+            "CAST(1 + c_custkey % 3 AS INT) AS desired",
+            "CAST(CASE WHEN c_custkey % 500 = 0 THEN 0 WHEN c_custkey % 90 = 1 THEN 1 ELSE 1 + c_custkey % 3 END AS INT) "
+            "AS running", "CASE WHEN c_custkey % 90 = 1 THEN 'IN_PROGRESS' ELSE 'COMPLETED' END AS rollout",
+            "CASE WHEN c_custkey % 40 = 0 THEN 'tg-c' || c_custkey % 30 END AS tg"),
+        "instances": supplier.selectExpr(
+            "'c' || s_nationkey AS cluster", "'i-' || s_suppkey AS instance_id",
+            "CASE WHEN s_suppkey % 17 = 0 THEN 'DRAINING' ELSE 'ACTIVE' END AS status",
+            "s_suppkey % 19 <> 0 AS agent_connected"),
         "targets": targets,
-        "groups": groups,
+        "groups": targets.select("tg").distinct().withColumn("error", F.lit(None).cast("string")),
     }
 
 
 def utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CPU points of clusters out of ``events``."""
-    return table(spark, sf_dir, "events").select(
-        _name("c", F.col("user_id") % 4).alias("cluster"), F.lit("cpu").alias("metric"), epoch_ms("ts").alias("t_ms"),
-        (F.col("value") / 5).alias("value"))
+    return table(spark, sf_dir, "events").selectExpr(
+        "'c' || user_id % 4 AS cluster", "'cpu' AS metric", f"{_MS.format('ts')} AS t_ms", "value / 5 AS value")

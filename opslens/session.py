@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    # building a plan is thousands of calls to the JVM; recording a Python call site for each doubles it
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -26,8 +28,9 @@ def build_session(app_name: str = "opslens", master: str | None = None, **conf:
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Event times are epoch milliseconds in UTC: pin the session zone of a session made elsewhere."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for key in ("spark.sql.session.timeZone", "spark.python.sql.dataFrameDebugging.enabled"):
+        if spark.conf.get(key, None) != SETTINGS[key]:
+            spark.conf.set(key, SETTINGS[key])
     return spark
 
 
