@@ -5,7 +5,7 @@ from importlib import import_module
 
 from .registry import Query
 
-AREAS = ["logs", "balancers"]
+AREAS = ["logs", "balancers", "ops"]
 
 
 def all_queries() -> dict[str, Query]:

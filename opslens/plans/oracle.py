@@ -50,11 +50,11 @@ VIEWS = {
         FROM v_req""",
     "v_metric": """
         SELECT epoch_us(ts) // 60000000 * 60000 AS t, 'api' || user_id % 2 AS api, 'st' || user_id % 5 AS stage,
-               count(*) * 10 AS calls, count(*) FILTER (event_type = 'purchase') AS err_4xx,
+               CAST(sum(10 + event_id % 7) AS BIGINT) AS calls, count(*) FILTER (event_type = 'purchase') AS err_4xx,
                count(*) FILTER (event_type = 'error' AND event_id % 3 = 0) AS err_5xx,
                round(min(value) * 10, 1) AS p50,
                round(max(value) FILTER (event_type <> 'view') * 10, 1) AS p95,
-               round(max(value) FILTER (event_type <> 'view') * 7, 1) AS ip95
+               floor(max(value) FILTER (event_type <> 'view') * 70) / 10 AS ip95
         FROM events GROUP BY ALL""",
     "v_sighting": """
         SELECT l_returnflag AS service, 's' || l_suppkey % 4 AS store, CAST(l_orderkey AS VARCHAR) AS order_id,
@@ -140,7 +140,7 @@ def sql(body: str, **views: str) -> str:
     if not head:
         return body
     rest = body.strip()
-    return f"WITH {head}, {rest[5:]}" if rest.upper().startswith("WITH ") else f"WITH {head} {rest}"
+    return f"WITH {head}, {rest[4:].lstrip()}" if rest[:4].upper() == "WITH" else f"WITH {head} {rest}"
 
 
 EDGES = ("[0, 5, 10, 20, 30, 50, 75, 100, 150, 200, 300, 500, 750, 1000, 1500, 2000, 3000, 5000, 7500, 10000, 15000, "
