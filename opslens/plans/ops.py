@@ -25,7 +25,7 @@ def _sums(test: str = "true", suffix: str = "") -> str:
     counts = [f"CAST(coalesce(sum({c}) FILTER ({test}), 0) AS BIGINT) AS {c}{suffix}"
               for c in ("calls", "err_4xx", "err_5xx")]
     return ", ".join(counts + [
-        f"round(sum({v} * calls) FILTER ({test}) / nullif(sum(calls) FILTER (({test}) AND {v} IS NOT NULL), 0), 1) AS "
+        f"CAST(printf('%.1f', sum({v} * calls) FILTER ({test}) / nullif(sum(calls) FILTER (({test}) AND {v} IS NOT NULL), 0)) AS DOUBLE) AS "
         f"{v}{suffix}" for v in ("p50", "p95", "ip95")])
 
 
@@ -248,7 +248,7 @@ def range_report(spark, sf_dir):
 
 
 @QUERIES.add("metric_pivot", sql("""SELECT strftime(make_timestamp(t * 1000), '%Y-%m-%dT%H:%MZ') AS minute, api, stage, calls, err_4xx, err_5xx,
-    p50 AS latency_p50_ms, p95 AS latency_p95_ms, ip95 AS integration_p95_ms FROM v_metric"""))
+    round(p50, 1) AS latency_p50_ms, round(p95, 1) AS latency_p95_ms, round(ip95, 1) AS integration_p95_ms FROM v_metric"""))
 def metric_pivot(spark, sf_dir):
     wide = views.metrics(spark, sf_dir)
     points = wide.select(

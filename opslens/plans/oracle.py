@@ -52,9 +52,9 @@ VIEWS = {
         SELECT epoch_us(ts) // 60000000 * 60000 AS t, 'api' || user_id % 2 AS api, 'st' || user_id % 5 AS stage,
                CAST(sum(10 + event_id % 7) AS BIGINT) AS calls, count(*) FILTER (event_type = 'purchase') AS err_4xx,
                count(*) FILTER (event_type = 'error' AND event_id % 3 = 0) AS err_5xx,
-               round(min(value) * 10, 1) AS p50,
-               round(max(value) FILTER (event_type <> 'view') * 10, 1) AS p95,
-               floor(max(value) FILTER (event_type <> 'view') * 70) / 10 AS ip95
+               round(min(value) * 10, 1) + 0.03::DOUBLE AS p50,
+               round(max(value) FILTER (event_type <> 'view') * 10, 1) + 0.03::DOUBLE AS p95,
+               floor(max(value) FILTER (event_type <> 'view') * 70) / 10 + 0.03::DOUBLE AS ip95
         FROM events GROUP BY ALL""",
     "v_sighting": """
         SELECT l_returnflag AS service, 's' || l_suppkey % 4 AS store, CAST(l_orderkey AS VARCHAR) AS order_id,

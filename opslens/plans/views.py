@@ -95,9 +95,9 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("t", "api", "stage").agg(
         F.expr("sum(10 + event_id % 7) AS calls"), F.expr("count_if(event_type = 'purchase') AS err_4xx"),
         F.expr("count_if(event_type = 'error' AND event_id % 3 = 0) AS err_5xx"),
-        F.expr("round(min(value) * 10, 1) AS p50"),
-        F.expr("round(max(value) FILTER (WHERE event_type <> 'view') * 10, 1) AS p95"),
-        F.expr("floor(max(value) FILTER (WHERE event_type <> 'view') * 70) / 10 AS ip95"))
+        F.expr("round(min(value) * 10, 1) + 0.03D AS p50"),
+        F.expr("round(max(value) FILTER (WHERE event_type <> 'view') * 10, 1) + 0.03D AS p95"),
+        F.expr("floor(max(value) FILTER (WHERE event_type <> 'view') * 70) / 10 + 0.03D AS ip95"))
 
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
