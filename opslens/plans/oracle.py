@@ -52,9 +52,9 @@ VIEWS = {
         SELECT epoch_us(ts) // 60000000 * 60000 AS t, 'api' || user_id % 2 AS api, 'st' || user_id % 5 AS stage,
                CAST(sum(10 + event_id % 7) AS BIGINT) AS calls, count(*) FILTER (event_type = 'purchase') AS err_4xx,
                count(*) FILTER (event_type = 'error' AND event_id % 3 = 0) AS err_5xx,
-               round(min(value) * 10, 1) + 0.03::DOUBLE AS p50,
-               round(max(value) FILTER (event_type <> 'view') * 10, 1) + 0.03::DOUBLE AS p95,
-               floor(max(value) FILTER (event_type <> 'view') * 70) / 10 + 0.03::DOUBLE AS ip95
+               round(min(value) * 10, 1) + 0.0317::DOUBLE AS p50,
+               round(max(value) FILTER (event_type <> 'view') * 10, 1) + 0.0317::DOUBLE AS p95,
+               floor(max(value) FILTER (event_type <> 'view') * 70) / 10 + 0.0317::DOUBLE AS ip95
         FROM events GROUP BY ALL""",
     "v_sighting": """
         SELECT l_returnflag AS service, 's' || l_suppkey % 4 AS store, CAST(l_orderkey AS VARCHAR) AS order_id,
@@ -121,6 +121,22 @@ VIEWS = {
         SELECT tg, count(*) AS total, count(*) FILTER (state = 'healthy') AS healthy,
                count(*) FILTER (state IN ('unhealthy', 'draining', 'unavailable', 'initial')) AS bad FROM v_target
         GROUP BY tg""",
+    "v_alert": """
+        SELECT 'r' || user_id % 6 AS rule_id, 's' || user_id % 40 AS subject, epoch_us(ts) // 1000 AS at_ms,
+               CASE event_id % 7 WHEN 0 THEN 'firing' WHEN 1 THEN 'firing' WHEN 2 THEN 'escalated' WHEN 3 THEN 'repeat'
+                    WHEN 4 THEN 'muted' WHEN 5 THEN 'lowered' ELSE 'resolved' END AS event,
+               CASE WHEN event_id % 7 = 2 OR event_id % 3 = 0 THEN 'critical' ELSE 'warning' END AS level, value,
+               CASE WHEN event_id % 7 = 4 THEN 'M' || event_id % 4 END AS mute_id, 'c' || user_id % 4 AS cluster
+        FROM events""",
+    "v_snooze": """
+        SELECT 'r' || user_id % 6 AS rule_id, 's' || user_id % 40 AS subject,
+               CASE WHEN user_id % 2 = 0 THEN 1704067200000 + user_id * 21600000 END AS until
+        FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0 AND user_id < 120)""",
+    "v_grant": """
+        SELECT 'u' || c_custkey % 50 AS "user", 'c' || c_nationkey AS cluster,
+               CASE WHEN bool_or(c_custkey % 3 = 0) THEN 'none' ELSE 'view' END AS level FROM customer GROUP BY ALL
+        UNION ALL SELECT 'u' || u, '*', CASE WHEN u % 4 = 0 THEN 'none' ELSE 'view' END
+                  FROM (SELECT DISTINCT c_custkey % 60 AS u FROM customer) WHERE u % 2 = 0""",
     "v_util": "SELECT 'c' || user_id % 4 AS cluster, epoch_us(ts) // 1000 AS t_ms, value / 5 AS value FROM events",
 }
 

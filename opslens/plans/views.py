@@ -95,9 +95,9 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("t", "api", "stage").agg(
         F.expr("sum(10 + event_id % 7) AS calls"), F.expr("count_if(event_type = 'purchase') AS err_4xx"),
         F.expr("count_if(event_type = 'error' AND event_id % 3 = 0) AS err_5xx"),
-        F.expr("round(min(value) * 10, 1) + 0.03D AS p50"),
-        F.expr("round(max(value) FILTER (WHERE event_type <> 'view') * 10, 1) + 0.03D AS p95"),
-        F.expr("floor(max(value) FILTER (WHERE event_type <> 'view') * 70) / 10 + 0.03D AS ip95"))
+        F.expr("round(min(value) * 10, 1) + 0.0317D AS p50"),
+        F.expr("round(max(value) FILTER (WHERE event_type <> 'view') * 10, 1) + 0.0317D AS p95"),
+        F.expr("floor(max(value) FILTER (WHERE event_type <> 'view') * 70) / 10 + 0.0317D AS ip95"))
 
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,3 +188,41 @@ def utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CPU points of clusters out of ``events``."""
     return table(spark, sf_dir, "events").selectExpr(
         "'c' || user_id % 4 AS cluster", "'cpu' AS metric", f"{_MS.format('ts')} AS t_ms", "value / 5 AS value")
+
+
+def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert history out of ``events``."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "'r' || user_id % 6 AS rule_id", "'s' || user_id % 40 AS subject", f"{_MS.format('ts')} AS at_ms",
+        "CASE event_id % 7 WHEN 0 THEN 'firing' WHEN 1 THEN 'firing' WHEN 2 THEN 'escalated' WHEN 3 THEN 'repeat' "
+        "WHEN 4 THEN 'muted' WHEN 5 THEN 'lowered' ELSE 'resolved' END AS event",
+        "CASE WHEN event_id % 7 = 2 OR event_id % 3 = 0 THEN 'critical' ELSE 'warning' END AS level", "value",
+        "CASE WHEN event_id % 7 = 4 THEN array('M' || event_id % 4) END AS muted_by", "'c' || user_id % 4 AS cluster")
+
+
+def snoozes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "events").filter("user_id % 3 = 0 AND user_id < 120").select("user_id").distinct()
+    return users.selectExpr("'r' || user_id % 6 AS rule_id", "'s' || user_id % 40 AS subject",
+                            "CASE WHEN user_id % 2 = 0 THEN 1704067200000 + user_id * 21600000 END AS until")
+
+
+def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Access grants out of ``customer``: named clusters and '*'."""
+    customer = table(spark, sf_dir, "customer")
+    named = (customer.selectExpr("'u' || c_custkey % 50 AS user", "'c' || c_nationkey AS cluster", "c_custkey % 3 = 0 AS deny")
+             .groupBy("user", "cluster").agg(F.expr("CASE WHEN bool_or(deny) THEN 'none' ELSE 'view' END AS level")))
+    star = (customer.selectExpr("c_custkey % 60 AS u").distinct().filter("u % 2 = 0")
+            .selectExpr("'u' || u AS user", "'*' AS cluster", "CASE WHEN u % 4 = 0 THEN 'none' ELSE 'view' END AS level"))
+    return named.unionByName(star)
+
+
+def rate_findings(spark: SparkSession, sf_dir: str, hours: int = 6) -> DataFrame:
+    """Error shares per target group and some hours as findings of one rule, out of ``events``."""
+    rows = requests(spark, sf_dir).filter("tg IS NOT NULL")
+    shares = rows.groupBy("tg", floor_to("ts_ms", hours * 60 * MINUTE).alias("at_ms")).agg(
+        F.expr("round(100D * count_if(elb_code >= 500) / count(*), 2) AS value"), F.min("cluster").alias("cluster"))
+    return shares.selectExpr("'share' AS rule_id", "tg AS subject", "at_ms", "value >= 25 AS bad", "value",
+                             "CAST(NULL AS STRING) AS level", "25D AS warning", "40D AS critical", "5D AS h", "0 AS hold",
+                             "cluster", "CAST(NULL AS STRING) AS message",
+                             "CASE WHEN tg = 'tg-c5' AND value >= 25 THEN array('M1') ELSE CAST(array() AS ARRAY<STRING>) END "
+                             "AS muted_by", "CAST(NULL AS STRING) AS muted_level")
