@@ -300,13 +300,13 @@ def alert_transitions(spark, sf_dir):
     return state.transitions(found, confirm, {"warning": 24 * 60, "critical": 12 * 60}).drop("muted_by")
 
 
-@QUERIES.add("alert_gone", sql("""WITH f AS (SELECT tg AS subject, ts_ms // 21600000 * 21600000 AS at_ms FROM v_req WHERE tg IS NOT NULL GROUP BY ALL),
+@QUERIES.add("alert_gone", sql("""WITH f AS (SELECT tg AS subject, ts_ms // 3600000 * 3600000 AS at_ms FROM v_req WHERE tg IS NOT NULL GROUP BY ALL),
     c AS (SELECT at_ms, lead(at_ms) OVER (ORDER BY at_ms) AS next_check FROM (SELECT DISTINCT at_ms FROM f)),
     s AS (SELECT *, lead(at_ms) OVER (PARTITION BY subject ORDER BY at_ms) AS next_seen FROM f)
     SELECT subject, next_check AS at_ms FROM s JOIN c USING (at_ms) WHERE next_check IS NOT NULL AND (next_seen IS NULL OR next_seen > next_check)"""))
 def alert_gone(spark, sf_dir):
     """The checks at which a subject is no longer reported."""
-    rows = state.with_gone(state.complete(views.rate_findings(spark, sf_dir)))
+    rows = state.with_gone(state.complete(views.rate_findings(spark, sf_dir, 1)))
     return rows.filter("gone").select("subject", "at_ms")
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import patterns as P
-from ..functions.times import within
+from ..functions.times import HOUR, within
 
 # The column layouts of the CSV data sets.
 METRIC_SCHEMA = ("minute string, api string, stage string, calls bigint, err_4xx bigint, err_5xx bigint, "
@@ -39,10 +39,23 @@ def hour_partitions(start_ms: int, end_ms: int) -> Column:
     return ((day >= first) & (day <= last) & ((day > first) | (hour >= h0)) & ((day < last) | (hour <= h1)))
 
 
+def hour_folders(start_ms: int, end_ms: int) -> str:
+    """Path glob of the hour folders a range touches."""
+    days: dict[str, list[str]] = {}
+    for ms in range(start_ms // HOUR * HOUR, end_ms + 1, HOUR):
+        day, hour = _hour_text(ms)
+        days.setdefault(day, []).append(f"{hour:02d}")
+    return "{" + ",".join(f"dt={d}/hour={{{','.join(hours)}}}" for d, hours in days.items()) + "}"
+
+
 def read_logs(spark: SparkSession, root: str, cluster: str, start_ms: int, end_ms: int) -> DataFrame:
-    """Log lines of one cluster's hours (``cluster/dt=…/hour=…``), columns joined by name over the files."""
+    """Log lines of one cluster's hours (``cluster/dt=…/hour=…``), columns joined by name over the files.
+
+    The folders are named by a glob, so joining the schemas reads the footers of those hours only.
+    """
     folder = f"{root.rstrip('/')}/{cluster}"
-    logs = spark.read.option("mergeSchema", "true").option("basePath", folder).parquet(folder)
+    logs = spark.read.option("mergeSchema", "true").option("basePath", folder).parquet(
+        f"{folder}/{hour_folders(start_ms, end_ms)}")
     return logs.filter(hour_partitions(start_ms, end_ms))
 
 
@@ -70,7 +83,7 @@ def _timed_csv(spark: SparkSession, paths: Sequence[str], schema: str, ranges: S
 
 def block_days(root: str, ranges: Sequence[Range]) -> list[str]:
     """The day folders of 4-hour block files that ranges touch."""
-    days = {_hour_text(ms)[0] for a, b in ranges for ms in [*range(a, b, 3_600_000), b - 1]}
+    days = {_hour_text(ms)[0] for a, b in ranges for ms in [*range(a, b, HOUR), b - 1]}
     return [f"{root.rstrip('/')}/dt={d}" for d in sorted(days)]
 
 
