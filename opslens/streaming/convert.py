@@ -42,9 +42,10 @@ class RequestStore:
         rows = S.with_hour(parse_requests(lines)).filter("lb IS NOT NULL AND ts_ms IS NOT NULL")
         S.write_batch(rows, self.path("incoming"), batch, S.HOUR_KEYS)
         spark = lines.sparkSession
-        own = spark.read.parquet(self.path("incoming")).filter(F.col("batch") == batch)
-        touched = own.groupBy(*S.HOUR_KEYS).agg(F.count("*").alias("n"))
-        S.write_batch(touched, self.path("arrived"), batch)
+        incoming = self.read(spark, "incoming")
+        if incoming is not None:
+            own = incoming.filter(F.col("batch") == batch)
+            S.write_batch(own.groupBy(*S.HOUR_KEYS).agg(F.count("*").alias("n")), self.path("arrived"), batch)
         files = lines.select(F.col("file").alias("path")).distinct()
         S.write_batch(files, self.path("ledger"), batch)
 
@@ -72,8 +73,10 @@ class RequestStore:
             return
         S.write_batch(due, self.path("due"), batch)
         hours = self.read(spark, "due")
-        hours = None if hours is None else hours.filter(F.col("batch") == batch).drop("batch")
-        if hours is None or hours.isEmpty():
+        if hours is None:
+            return
+        hours = hours.filter(F.col("batch") == batch).drop("batch")
+        if hours.isEmpty():
             return
         upto = hours.select(*S.HOUR_KEYS, "upto")
         rows = (spark.read.parquet(self.path("incoming")).join(upto, S.HOUR_KEYS).filter("batch <= upto")
