@@ -44,14 +44,14 @@ def add_windows(spark, sf_dir):
 
 
 _FILES = "SELECT 'elb-' || l_suppkey % 4 AS lb, (epoch_ms(l_shipdate) + l_partkey % 1440 * 60000 - 60000) // 3600000 * 3600000 AS hour_ms, " \
-         "l_orderkey || '-' || l_linenumber AS path, l_quantity FROM lineitem"
+         "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS path, l_quantity FROM lineitem"
 _S0, _S1 = 902000000000, 912000000000
 
 
 def _files(spark, sf_dir):
     return views.table(spark, sf_dir, "lineitem").selectExpr(
         "'elb-' || l_suppkey % 4 AS lb", "unix_millis(CAST(l_shipdate AS TIMESTAMP)) + l_partkey % 1440 * 60000 - 60000 AS ms",
-        "l_orderkey || '-' || l_linenumber AS path", "l_quantity").selectExpr("lb", "ms - pmod(ms, 3600000) AS hour_ms", "path", "l_quantity")
+        "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS path", "l_quantity").selectExpr("lb", "ms - pmod(ms, 3600000) AS hour_ms", "path", "l_quantity")
 
 
 @QUERIES.add("coverage", sql(f"""SELECT *, files - converted AS pending FROM (SELECT lb, hour_ms, count(*) AS files, count(*) FILTER (l_quantity < 40) AS converted
