@@ -24,8 +24,8 @@ def tokenize(lines: DataFrame, raw: str = "raw") -> DataFrame:
 
     def field(i: int) -> Column:
         t = F.get(token, F.lit(i))
-        return F.when((F.length(t) >= 2) & F.startswith(t, F.lit('"')) & F.endswith(t, F.lit('"')),
-                      F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+        quoted = F.startswith(t, F.lit('"')) & F.endswith(t, F.lit('"')) & (t != '"')
+        return F.when(quoted, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
     return (lines.filter(F.col(raw).isNotNull() & (F.col(raw) != ""))
             .select(F.col(raw).alias("raw"), F.regexp_extract_all(raw, F.lit(P.ACCESS_TOKEN), 0).alias("_tokens"))
             .select("raw", *[field(i).alias(name) for i, name in enumerate(P.ACCESS_FIELDS)]))

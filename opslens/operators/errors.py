@@ -28,15 +28,18 @@ def error_lines(logs: DataFrame) -> DataFrame:
             .withColumn("key", X.error_key(F.col("normalized"))))
 
 
-def error_kinds(logs: DataFrame) -> DataFrame:
-    """One row per kind: n, example, service, stores, tenants, location, up to 40 variants and the template.
+def _counted(logs: DataFrame) -> DataFrame:
+    """Lines counted per (kind, variant, location, store, tenant).
 
-    Lines are first counted per (kind, variant, location, store, tenant), so a kind that holds most of
-    the lines is already small when its rows come together. Picks that could go either way take the
-    smallest value.
+    Kept for the aggregates that follow, which would otherwise each normalise every line again; what is
+    kept are counts, spilled to disk where memory is short and computed again if an executor is lost.
     """
-    fine = (error_lines(logs).groupBy(*KIND, "normalized", "location", "store", "tenant")
-            .agg(F.count("*").alias("n"), F.min("text").alias("example"), F.min("service").alias("service")))
+    return (error_lines(logs).groupBy(*KIND, "normalized", "location", "store", "tenant")
+            .agg(F.count("*").alias("n"), F.min("text").alias("example"), F.min("service").alias("service"))
+            .persist())
+
+
+def _kinds(fine: DataFrame) -> DataFrame:
     kinds = fine.groupBy(*KIND).agg(F.sum("n").alias("n"), F.min("example").alias("example"),
                                     F.min("service").alias("service"))
     located = (fine.filter(F.col("location").isNotNull()).groupBy(*KIND, "location").agg(F.sum("n").alias("n"))
@@ -51,12 +54,22 @@ def error_kinds(logs: DataFrame) -> DataFrame:
             .withColumn("error", X.error_template(F.col("variants"))))
 
 
+def error_kinds(logs: DataFrame) -> DataFrame:
+    """One row per kind: n, example, service, stores, tenants, location, up to 40 variants and the template.
+
+    Lines are first counted per (kind, variant, location, store, tenant), so a kind that holds most of
+    the lines is already small when its rows come together. Picks that could go either way take the
+    smallest value.
+    """
+    return _kinds(_counted(logs))
+
+
 def error_groups(logs: DataFrame, limit: int = 200) -> DataFrame:
     """The most frequent kinds, with the number of kinds and lines over all of them."""
-    kinds = error_kinds(logs)
-    all_kinds = error_lines(logs).groupBy(*KIND).agg(F.count("*").alias("n"))
-    totals = all_kinds.agg(F.struct(F.count("*").alias("kinds"), F.sum("n").alias("total")))
-    return (kinds.orderBy(F.desc("n"), "key", "exception").limit(limit)
+    fine = _counted(logs)
+    totals = (fine.groupBy(*KIND).agg(F.sum("n").alias("n"))
+              .agg(F.struct(F.count("*").alias("kinds"), F.sum("n").alias("total"))))
+    return (_kinds(fine).orderBy(F.desc("n"), "key", "exception").limit(limit)
             .withColumn("overall", totals.scalar())
             .select("*", F.col("overall.kinds").alias("kinds"), F.col("overall.total").alias("total")).drop("overall"))
 

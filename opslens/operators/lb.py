@@ -150,6 +150,7 @@ class RequestTables:
 
 # ---- aggregates of roll-up rows
 SUMS = ["n", "tgt_t_sum", "tgt_t_n"]
+PATH = ["method", "path_group"]
 
 
 def cells(rollup: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -190,8 +191,11 @@ def _status(counted: DataFrame, keys: Sequence[str], quantiles: Mapping[str, flo
 
 def status_totals(rollup: DataFrame) -> DataFrame:
     """Requests, status classes, who answered the 5xx, average and percentiles in one row."""
-    found = _status(cells(rollup, []), [], {"p50": 0.5, "p95": 0.95, "p99": 0.99})
-    return found.drop("s4xx", "s5xx")
+    return _totals(cells(rollup, []))
+
+
+def _totals(counted: DataFrame) -> DataFrame:
+    return _status(counted, [], {"p50": 0.5, "p95": 0.95, "p99": 0.99}).drop("s4xx", "s5xx")
 
 
 def status_buckets(rollup: DataFrame, step: int) -> DataFrame:
@@ -209,7 +213,10 @@ def bin_percentiles(rollup: DataFrame, keys: Sequence[str], quantiles: Mapping[s
 
 def target_groups(rollup: DataFrame) -> DataFrame:
     """Per target group; NULL (no group) is one of them."""
-    counted = cells(rollup, ["tg", "cluster", "lb"])
+    return _target_groups(cells(rollup, ["tg", "cluster", "lb"]).persist())
+
+
+def _target_groups(counted: DataFrame) -> DataFrame:
     where = (counted.groupBy("tg").agg(F.min("cluster").alias("cluster"),
                                        F.sort_array(F.collect_set("lb")).alias("lbs"))
              .withColumnRenamed("tg", "tg_"))
@@ -231,13 +238,29 @@ def top_error_paths(paths: DataFrame) -> DataFrame:
 
 def target_group_table(rollup: DataFrame, paths: DataFrame | None) -> DataFrame:
     """The table of target groups with their top failing path, most failing first."""
-    rows = target_groups(rollup)
+    return _with_top_error(target_groups(rollup), paths)
+
+
+def _with_top_error(rows: DataFrame, paths: DataFrame | None) -> DataFrame:
     if paths is not None:
         top = top_error_paths(paths).withColumnRenamed("tg", "error_tg")
         rows = rows.join(top, F.col("tg").eqNullSafe(F.col("error_tg")), "left").drop("error_tg")
     return rows.orderBy(F.desc("s5xx"), F.desc("s4xx"), F.desc("requests"), F.coalesce("tg", F.lit("~")))
 
 
+def summary(query: RequestQuery, tables: RequestTables, step: int) -> dict[str, DataFrame]:
+    """The summary page: totals, buckets and target groups out of one pass over the roll-up.
+
+    The pass is kept as ``cells`` (codes x bins per target group and bucket); unpersist it when done.
+    """
+    t = floor_to("minute_ms", step)
+    kept = cells(query.minutes(tables).withColumn("t", t), ["tg", "cluster", "lb", "t"]).persist()
+    buckets = kept.filter("t IS NOT NULL").groupBy("t").agg(*_class_sums())
+    paths = None if query.domains and query.level() == MINUTES else query.paths(tables)
+    return {"cells": kept, "totals": _totals(kept), "buckets": buckets,
+            "target_groups": _with_top_error(_target_groups(kept), paths)}
+
+
 def code_counts(rollup: DataFrame) -> DataFrame:
     return (rollup.filter(F.col("elb_code").isNotNull()).groupBy("elb_code")
             .agg(F.sum("n").alias("n"), sum_when("tgt_code IS NOT NULL", "n").alias("app")))
@@ -250,8 +273,11 @@ def path_code_counts(paths: DataFrame) -> DataFrame:
 
 def path_stats(paths: DataFrame) -> DataFrame:
     """Per method and grouped path: requests, classes, average, p95, first 3 target groups, top code."""
-    keys = ["method", "path_group"]
-    counted = cells(paths, [*keys, "tg"])
+    return _path_stats(cells(paths, [*PATH, "tg"]).persist())
+
+
+def _path_stats(counted: DataFrame) -> DataFrame:
+    keys = PATH
     stats = _status(counted, keys, {"p95": 0.95}).drop("other", "s5xx_app", "s5xx_lb")
     top = (counted.groupBy(*keys, "elb_code").agg(F.sum("n").alias("n"))
            .groupBy(*keys).agg(F.max_by("elb_code", F.struct("n", "elb_code")).alias("top_code")))
@@ -269,8 +295,9 @@ def path_table(paths: DataFrame, sort: str = "errors", limit: int = 50) -> DataF
     orders = {"errors": [F.desc("s5xx"), F.desc("s4xx"), F.desc("requests")],
               "slow": [F.desc_nulls_last("p95"), F.desc("requests")]}
     order = orders.get(sort, [F.desc("requests")])
-    groups = paths.select("method", "path_group").distinct().agg(F.count("*"))
-    return (path_stats(paths).orderBy(*order, "path_group", "method").limit(min(limit, 200))
+    counted = cells(paths, [*PATH, "tg"]).persist()
+    groups = counted.select(*PATH).distinct().agg(F.count("*"))
+    return (_path_stats(counted).orderBy(*order, "path_group", "method").limit(min(limit, 200))
             .withColumn("groups", groups.scalar()))
 
 
