@@ -20,7 +20,7 @@ def con():
 
 @pytest.mark.parametrize("name", SOME)
 def test_query_matches_its_sql(spark, con, name):
-    ok, note = compare(spark, con, SMALL, name, entry.queries()[name], entry.oracle_sql()[name])
+    ok, note = compare(spark, con, SMALL, name, entry.queries()[name], entry.oracle_sql()[name], allow_empty=True)
     assert ok, note
 
 
