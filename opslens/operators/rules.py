@@ -25,14 +25,16 @@ FINDING = ["rule_id", "at_ms", "subject", "bad", "value", "level", "warning", "c
 
 def findings(rows: DataFrame, rule_id: str, at_ms: int | Column, subject: Column, bad: Column, value: Column | None = None,
              level: Column | None = None, lines: Mapping[str, Column] | None = None, hold: Column | None = None,
-             cluster: Column | None = None, message: Column | None = None) -> DataFrame:
+             cluster: Column | None = None, message: Column | None = None, muted_by: Column | None = None,
+             muted_level: Column | None = None) -> DataFrame:
     none = F.lit(None)
     lines = lines or {}
     given = {"rule_id": F.lit(rule_id), "at_ms": (F.lit(at_ms) if isinstance(at_ms, int) else at_ms).cast("bigint"), "subject": subject,
              "bad": F.coalesce(bad, F.lit(False)), "value": none if value is None else value,
              "level": none if level is None else level, "hold": F.lit(0) if hold is None else hold,
              "cluster": none if cluster is None else cluster, "message": none if message is None else message,
-             "muted_by": F.expr(NO_IDS), "muted_level": none,
+             "muted_by": F.expr(NO_IDS) if muted_by is None else muted_by,
+             "muted_level": none if muted_level is None else muted_level,
              **{c: lines.get(c, none) for c in ("warning", "critical", "h")}}
     kinds = {"value": "double", "warning": "double", "critical": "double", "h": "double", "hold": "int",
              "level": "string", "cluster": "string", "message": "string", "muted_level": "string"}
@@ -181,13 +183,10 @@ def _lb_findings(rows: DataFrame, rule_id: str, now: int, value: Column, before:
                  lines: Mapping[str, float]) -> DataFrame:
     """Findings of judged target groups; muted ones keep the level they had before paths were taken out."""
     muted = F.size("ids") > 0
-    watch = F.col("watch") & ~muted
-    found = findings(rows.withColumn("bad", F.col("bad") & ~muted), rule_id, now, F.col("tg"), F.col("bad"), value,
-                     lines=_lit_lines(lines, watch), cluster=F.col("cluster"))
     was = F.coalesce(level_now(before, F.lit(float(lines["warning"])), F.lit(float(lines["critical"]))), F.lit("warning"))
-    extra = rows.select(F.col("tg").alias("subject"), F.col("ids"), F.when(muted, was).alias("was"))
-    return (found.join(extra, "subject").withColumns({"muted_by": F.col("ids"), "muted_level": F.col("was")})
-            .select(*FINDING))
+    return findings(rows, rule_id, now, F.col("tg"), F.col("bad") & ~muted, value,
+                    lines=_lit_lines(lines, F.col("watch") & ~muted), cluster=F.col("cluster"), muted_by=F.col("ids"),
+                    muted_level=F.when(muted, was))
 
 
 def lb_errors(minutes: DataFrame, rule_id: str, now: int, window_minutes: int, threshold_percent: float,
