@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +17,10 @@ SETTINGS = {
 }
 
 
+#: stand-in folders of sessions on one machine
+_LOCAL: WeakKeyDictionary[SparkSession, str] = WeakKeyDictionary()
+
+
 def build_session(app_name: str = "opslens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the library's settings; ``conf`` keys use '__' for '.'."""
     builder = SparkSession.builder.appName(app_name)
@@ -27,23 +32,27 @@ def build_session(app_name: str = "opslens", master: str | None = None, **conf:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Event times are epoch milliseconds in UTC: pin the session zone of a session made elsewhere."""
-    for key in ("spark.sql.session.timeZone", "spark.python.sql.dataFrameDebugging.enabled"):
-        if spark.conf.get(key, None) != SETTINGS[key]:
-            spark.conf.set(key, SETTINGS[key])
+    """Event times are epoch milliseconds in UTC: pin the session zone of a session made elsewhere.
+
+    Only this runtime setting is touched; static ones belong to ``build_session``.
+    """
+    zone = "spark.sql.session.timeZone"
+    if spark.conf.get(zone, None) != SETTINGS[zone]:
+        spark.conf.set(zone, SETTINGS[zone])
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder for written intermediate tables and checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder stands in.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a
+    temporary folder stands in, kept for the life of the session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="opslens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if spark not in _LOCAL:
+        _LOCAL[spark] = tempfile.mkdtemp(prefix="opslens-")
+    return _LOCAL[spark]
