@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sql, tokens
+from . import decontaminate, exact_dedup, mixing, sql, tokens
 from .common import table
 from .registry import QUERIES
 
@@ -13,6 +13,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@QUERIES.add("op5_decontamination", sql.DECONTAMINATION)
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_shared", "containment")
+
+
 @QUERIES.add("op6_exact_dedup", sql.EXACT_DEDUP)
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.duplicates(table(spark, sf_dir, "documents"))

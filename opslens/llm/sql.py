@@ -46,3 +46,17 @@ SELECT i.doc_id, i.size, b.source_size, b.target,
 FROM items i JOIN budgets b ON i.source IS NOT DISTINCT FROM b.source
 LEFT JOIN borders r ON i.source IS NOT DISTINCT FROM r.source
 """
+
+#: doc_id, item_id, n_shingles, n_shared by exact counting of shared five-word shingles
+DECONTAMINATION = r"""
+WITH doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+item_shingles AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM item_words),
+doc_shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM doc_words),
+sizes AS (SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id),
+shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM doc_shingles JOIN item_shingles USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles::DOUBLE AS containment
+FROM shared JOIN sizes USING (item_id) WHERE n_shared >= ceil(round(n_shingles * 0.8, 6))
+"""
