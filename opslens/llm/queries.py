@@ -3,11 +3,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, sql, tokens
+from . import decontaminate, exact_dedup, mixing, pii, secrets, spans, sql, tokens
 from .common import table
 from .registry import QUERIES
 
 
+@QUERIES.add("op3_secrets")
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = secrets.fit([*secrets.labelled_samples(), *secrets.ordinary_words(docs)])
+    return spans.digest(secrets.secret_spans(docs, model), secrets.KINDS, secrets.BASE_KINDS, kind_first=False)
+
+
 @QUERIES.add("op4_mixing", sql.MIXING)
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -25,6 +32,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@QUERIES.add("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pii_spans(table(spark, sf_dir, "documents"), pii.fit(pii.labelled_table()))
+    return spans.digest(found, pii.KINDS, pii.KINDS, kind_first=True)
+
+
 @QUERIES.add("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
