@@ -3,11 +3,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, pii, secrets, spans, sql, tokens
+from . import decontaminate, exact_dedup, langid, mixing, pii, secrets, spans, sql, tokens
 from .common import table
 from .registry import QUERIES
 
 
+@QUERIES.add("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.remainder("doc_id", 3) == 1
+    model = langid.fit(docs.where(~held_out))
+    found = langid.predictions(docs, model, doc_id="doc_id", held_out=held_out)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @QUERIES.add("op3_secrets")
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
