@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, langid, mixing, pii, secrets, spans, sql, tokens
+from . import decontaminate, exact_dedup, langid, mixing, near_dedup, pii, secrets, spans, sql, tokens
 from .common import table
 from .registry import QUERIES
 
@@ -41,6 +41,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@QUERIES.add("op8_near_dedup")
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 @QUERIES.add("op9_pii")
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pii_spans(table(spark, sf_dir, "documents"), pii.fit(pii.labelled_table()))
