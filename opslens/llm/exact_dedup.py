@@ -121,4 +121,4 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: Column | str = "text"
 def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts (see ``duplicates``)."""
     docs = materialized(docs)
-    return only_rows(docs, duplicates(docs, key, text).where("kept"))
+    return only_rows(docs, duplicates(docs, key, text).where("not kept"), "left_anti")

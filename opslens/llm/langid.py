@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, materialized, only_rows, keyed, ROW, stored, texts
+from .common import ROW, arrow_pass, keyed, materialized, only_rows, stored, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 #: the sample a model is fitted on: rows of each language (those with the smallest hash of the key) and words in all (the most frequent)
@@ -153,4 +153,5 @@ def in_known_language(docs: DataFrame, model: Model, least: float = 0.3, text: s
     docs = materialized(docs)
     found = keyed(docs, _t=text)
     judged = predictions(found, model, "_t", **{n: n for n in ROW})
-    return only_rows(docs, stored(judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*ROW), "in_language"))
+    rejected = judged.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(*ROW)
+    return only_rows(docs, stored(rejected, "rejected"), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, keyed, materialized, stored
+from .common import ROW, free_name, keyed, materialized, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -98,8 +98,6 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with the column copies (how often; renamed if ``docs`` has it)."""
-    from .common import free_name
-
     docs = materialized(docs)
     a, b, c = (free_name(docs, n) for n in ("row_file_", "row_no_", "copies"))
     taken = mix(docs, **options).where("copies > 0").select(F.col(ROW[0]).alias(a), F.col(ROW[1]).alias(b), F.col("copies").alias(c))

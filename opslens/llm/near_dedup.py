@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: Column | str = "
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class (see ``near_duplicates``)."""
     docs = materialized(docs)
-    return only_rows(docs, near_duplicates(docs, **options).where("kept"))
+    return only_rows(docs, near_duplicates(docs, **options).where("not kept"), "left_anti")
 
 
 def brute_force(rows: Sequence[tuple[int, str]], share: float = SHARE) -> dict[int, int]:
