@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, langid, mixing, near_dedup, pii, secrets, spans, sql, tokens
+from . import decontaminate, exact_dedup, langid, mixing, near_dedup, pii, secrets, spans, sql, tokens, toxicity
 from .common import table
 from .registry import QUERIES
 
@@ -41,6 +41,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@QUERIES.add("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), langid.remainder("doc_id", 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.toxicity(docs, model, doc_id="doc_id", held_out=held_out)
+
+
 @QUERIES.add("op8_near_dedup")
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
