@@ -48,8 +48,8 @@ class Model:
         return np.zeros(len(self.languages))
 
 
-def _logs(counts: dict[str, np.ndarray], keys: list[str], smooth: float) -> np.ndarray:
-    table = np.array([counts[k] for k in keys], float).reshape(len(keys), -1)
+def _logs(counts: dict[str, np.ndarray], keys: list[str], languages: int, smooth: float) -> np.ndarray:
+    table = np.array([counts[k] for k in keys], float).reshape(len(keys), languages)
     return np.log((table + smooth) / (table.sum(0) + smooth * max(1, len(keys))))
 
 
@@ -86,8 +86,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             for i in range(len(padded) - n + 1):
                 tally[padded[i : i + n]] += there
         keys = [k for k, _ in Counter({k: v.sum() for k, v in tally.items()}).most_common(GRAMS)]
-        grams[n], logs[n] = {k: i for i, k in enumerate(keys)}, _logs(tally, keys, 0.5)
-    return Model(languages, {w: i for i, w in enumerate(words)}, _logs(counts, words, 0.1), grams, logs)
+        grams[n], logs[n] = {k: i for i, k in enumerate(keys)}, _logs(tally, keys, len(languages), 0.5)
+    return Model(languages, {w: i for i, w in enumerate(words)}, _logs(counts, words, len(languages), 0.1), grams, logs)
 
 
 class Scorer(dict):
