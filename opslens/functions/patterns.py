@@ -17,11 +17,7 @@ ERROR_VARIATIONS = [
 ]
 REPEATED_WILDCARD = r"<\*>(?:[\s,|]*<\*>)+"
 KEY_WORDS = 8
-LINE_CHARS = 1000
-NORMALIZED_CHARS = 600
-VARIANTS_KEPT = 40
 CELL_CHARS = 1500
-ERROR_TEXT_CHARS = 2000
 
 # Log columns: searched by free text, counted as facets, and shown first.
 TEXT_COLUMNS = ["msg", "body", "raw", "exception", "error_message", "error_code", "error_identifier", "class",

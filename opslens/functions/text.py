@@ -69,17 +69,22 @@ def first_text(columns: Sequence[str]) -> Column:
     return F.coalesce(*[trimmed(c) for c in columns], F.lit(""))
 
 
-def grouping_line(text: Column) -> Column:
-    """First line, 1000 characters, runs of space folded."""
-    head = F.left(F.split_part(text, F.lit("\n"), F.lit(1)), F.lit(P.LINE_CHARS))
-    return F.trim(F.regexp_replace(head, r"\s+", " "))
+def cut_to(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters; all of them for None."""
+    return text if chars is None else F.left(text, F.lit(chars))
 
 
-def normalize_error(line: Column) -> Column:
+def grouping_line(text: Column, first_line: bool = False, chars: int | None = None) -> Column:
+    """The text, or its first line, with runs of space folded; cut to ``chars`` first, if given."""
+    head = F.split_part(text, F.lit("\n"), F.lit(1)) if first_line else text
+    return F.trim(F.regexp_replace(cut_to(head, chars), r"\s+", " "))
+
+
+def normalize_error(line: Column, chars: int | None = None) -> Column:
     """The line with stores, times and words holding digits replaced by placeholders."""
     for pattern, replacement in P.ERROR_VARIATIONS:
         line = F.regexp_replace(line, pattern, replacement)
-    return F.left(line, F.lit(P.NORMALIZED_CHARS))
+    return cut_to(line, chars)
 
 
 def error_key(normalized: Column) -> Column:
@@ -107,39 +112,11 @@ def code_location(cls: Column | None, method: Column | None = None, line: Column
     return F.nullif(F.concat_ws("", *parts), F.lit(""))
 
 
-def error_template(variants: Column) -> Column:
-    """One text for several normalised lines of a kind.
-
-    Same number of words: words that differ become ``<*>``. Otherwise the common first and last
-    words around an ellipsis. Runs on the few variants kept per kind.
-    """
-    lines = F.array_distinct(F.filter(variants, lambda v: v.isNotNull()))
-    words = F.transform(lines, lambda v: F.split(v, " ", -1))
-    shortest = F.array_min(F.transform(words, lambda w: F.size(w)))
-    longest = F.array_max(F.transform(words, lambda w: F.size(w)))
-
-    def agreement(lists: Column, upto: Column) -> Column:
-        """For each word position: do all lines have the same word there?"""
-        return F.transform(F.sequence(F.lit(0), upto - 1),
-                           lambda i: F.forall(lists, lambda w: F.get(w, i) == F.get(F.get(lists, F.lit(0)), i)))
-
-    def leading(flags: Column) -> Column:
-        gap = F.array_position(flags, F.lit(False)).cast("int")
-        return F.when(gap == 0, F.size(flags)).otherwise(gap - 1)
-
-    first = F.get(words, F.lit(0))
-    same = F.regexp_replace(
-        F.array_join(F.zip_with(first, agreement(words, shortest), lambda w, ok: F.when(ok, w).otherwise("<*>")), " "),
-        P.REPEATED_WILDCARD, "<*>")
-    backwards = F.transform(words, lambda w: F.reverse(w))
-    head = leading(agreement(words, shortest))
-    tail = F.least(leading(agreement(backwards, shortest)), shortest - head)
-    ends = F.trim(F.concat(
-        F.array_join(F.slice(first, F.lit(1), head), " "), F.lit(" …"),
-        F.when(tail > 0, F.concat(F.lit(" "), F.array_join(F.reverse(F.slice(F.get(backwards, F.lit(0)), F.lit(1),
-                                                                             tail)), " "))).otherwise("")))
-    return (F.when(F.size(lines) == 0, "").when(F.size(lines) == 1, F.get(lines, F.lit(0)))
-            .when(shortest == longest, same).otherwise(ends))
+def shared_words(low: Column, high: Column) -> Column:
+    """How many first words the smallest and the largest word list share, and so all lists between them."""
+    both = F.zip_with(low, F.slice(high, F.lit(1), F.size(low)), lambda a, b: a.eqNullSafe(b))
+    gap = F.array_position(both, F.lit(False)).cast("int")
+    return F.when(gap == 0, F.least(F.size(low), F.size(high))).otherwise(gap - 1)
 
 
 def error_label(exception: Column, text: Column) -> Column:
@@ -156,8 +133,8 @@ def error_label(exception: Column, text: Column) -> Column:
     return F.regexp_replace(without_packages, r"^([^:]{3,60}:)\1+", "$1")
 
 
-def error_text(msg: Column, body: Column, raw: Column, exception: Column) -> Column:
-    """An error's text in full without the stack trace, at most 2000 characters."""
+def error_text(msg: Column, body: Column, raw: Column, exception: Column, chars: int | None = None) -> Column:
+    """An error's text without the stack trace; beyond ``chars`` characters, if given, an ellipsis stands for the rest."""
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     said = strip(F.coalesce(*[F.nullif(c, F.lit("")) for c in (msg, body, raw)], F.lit("")))
     named = strip(F.coalesce(exception, F.lit("")))
@@ -165,5 +142,4 @@ def error_text(msg: Column, body: Column, raw: Column, exception: Column) -> Col
             .otherwise(F.concat_ws(": ", named, said)))
     text = F.regexp_replace(text, r"\n\s*at [\w$.<>]+\((?s:.*)$", "")
     text = strip(F.regexp_replace(text, r"[ \t]+", " "))
-    return F.concat(F.left(text, F.lit(P.ERROR_TEXT_CHARS)),
-                    F.when(F.length(text) > P.ERROR_TEXT_CHARS, "…").otherwise(""))
+    return text if chars is None else F.concat(cut_to(text, chars), F.when(F.length(text) > chars, "…").otherwise(""))

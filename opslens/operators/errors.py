@@ -1,6 +1,8 @@
 """Error lines grouped by kind."""
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions import patterns as P
@@ -9,68 +11,103 @@ from ..functions import text as X
 KIND = ["exception", "key"]
 
 
-def error_lines(logs: DataFrame) -> DataFrame:
+class Cut(NamedTuple):
+    """What a screen shows of long lines; nothing is cut unless asked for."""
+    first_line: bool = False
+    line_chars: int | None = None
+    normalized_chars: int | None = None
+    variants: int = 0
+
+
+def error_lines(logs: DataFrame, cut: Cut = Cut()) -> DataFrame:
     """(exception, key, normalized, line, service, location, store, tenant) of every log line."""
     have = set(logs.columns)
 
     def optional(name: str) -> Column:
         return X.trimmed(name) if name in have else F.lit(None).cast("string")
     said = [c for c in ("msg", "body", "raw") if c in have]
-    line = X.grouping_line(X.first_text(said)) if said else F.lit("")
+    line = X.grouping_line(X.first_text(said), cut.first_line, cut.line_chars) if said else F.lit("")
     location = X.code_location(*[F.col(c) if c in have else None for c in ("class", "method", "line")])
     service = F.col("service").cast("string") if "service" in have else F.lit(None).cast("string")
     return (logs.select(F.coalesce(optional("exception"), F.lit("")).alias("exception"), line.alias("text"),
                         service.alias("service"), location.alias("location"),
                         optional("tenant_id").alias("tenant_column"))
-            .select("exception", "text", "service", "location", X.normalize_error(F.col("text")).alias("normalized"),
+            .select("exception", "text", "service", "location", X.normalize_error(F.col("text"), cut.normalized_chars).alias("normalized"),
                     X.store_in(F.col("text")).alias("store"),
                     F.coalesce("tenant_column", X.tenant_in(F.col("text"))).alias("tenant"))
             .withColumn("key", X.error_key(F.col("normalized"))))
 
 
-def _counted(logs: DataFrame) -> DataFrame:
-    """Lines counted per (kind, variant, location, store, tenant).
+def _counted(logs: DataFrame, cut: Cut) -> DataFrame:
+    """Lines counted per (kind, variant, location, store, tenant): what all further aggregates start from."""
+    return (error_lines(logs, cut).groupBy(*KIND, "normalized", "location", "store", "tenant")
+            .agg(F.count("*").alias("n"), F.min("text").alias("example"), F.min("service").alias("service")))
 
-    Kept for the aggregates that follow, which would otherwise each normalise every line again; what is
-    kept are counts, spilled to disk where memory is short and computed again if an executor is lost.
-    """
-    return (error_lines(logs).groupBy(*KIND, "normalized", "location", "store", "tenant")
-            .agg(F.count("*").alias("n"), F.min("text").alias("example"), F.min("service").alias("service"))
-            .persist())
 
+def templates(variants: DataFrame) -> DataFrame:
+    """KIND, error and n_variants from the distinct normalised lines of each kind.
 
-def _kinds(fine: DataFrame) -> DataFrame:
-    kinds = fine.groupBy(*KIND).agg(F.sum("n").alias("n"), F.min("example").alias("example"),
-                                    F.min("service").alias("service"))
-    located = (fine.filter(F.col("location").isNotNull()).groupBy(*KIND, "location").agg(F.sum("n").alias("n"))
+    Lines of as many words: words that differ become ``<*>``. Otherwise the first and last words that all share, around an
+    ellipsis. Minima and maxima by word position and of whole word lists tell what is shared, so that no list of the lines is needed.
+    """
+    words = variants.select(*KIND, "normalized", F.split("normalized", " ", -1).alias("words"))
+    back = F.reverse("words")
+    ends = words.groupBy(*KIND).agg(
+        F.count("*").alias("n_variants"), F.min("normalized").alias("only"), F.min(F.size("words")).alias("shortest"), F.max(F.size("words")).alias("longest"),
+        F.min("words").alias("low"), F.max("words").alias("high"), F.min(back).alias("low_back"), F.max(back).alias("high_back"))
+    spots = words.select(*KIND, F.posexplode("words").alias("spot", "word")).groupBy(*KIND, "spot").agg(F.min("word").alias("a"), F.max("word").alias("b"))
+    word = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("<*>")
+    aligned = spots.groupBy(*KIND).agg(F.array_sort(F.collect_list(F.struct("spot", word.alias("word")))).alias("spots"))
+    same = F.regexp_replace(F.array_join(F.transform("spots", lambda s: s["word"]), " "), P.REPEATED_WILDCARD, "<*>")
+    head = F.least(X.shared_words(F.col("low"), F.col("high")), "shortest")
+    tail = F.least(X.shared_words(F.col("low_back"), F.col("high_back")), F.col("shortest") - head)
+    last = F.array_join(F.reverse(F.slice("low_back", F.lit(1), tail)), " ")
+    around = F.trim(F.concat(F.array_join(F.slice("low", F.lit(1), head), " "), F.lit(" …"), F.when(tail > 0, F.concat(F.lit(" "), last)).otherwise("")))
+    error = F.when(F.col("n_variants") == 1, F.col("only")).when(F.col("shortest") == F.col("longest"), same).otherwise(around)
+    return ends.join(aligned, KIND).select(*KIND, error.alias("error"), "n_variants")
+
+
+def _detailed(kinds: DataFrame, fine: DataFrame, cut: Cut) -> DataFrame:
+    """``kinds`` (KIND, n, example, service) with stores, tenants, location and template, from the counts of those kinds only."""
+    own = fine.join(kinds.select(*KIND), KIND, "left_semi")
+    located = (own.filter(F.col("location").isNotNull()).groupBy(*KIND, "location").agg(F.sum("n").alias("n"))
                .groupBy(*KIND).agg(F.min_by("location", F.struct(-F.col("n"), "location")).alias("location")))
-    names = (fine.groupBy(*KIND).agg(F.sort_array(F.collect_set("store")).alias("stores"),
-                                     F.sort_array(F.collect_set("tenant")).alias("tenants")))
-    first = W.partitionBy(*KIND).orderBy("normalized")
-    variants = (fine.select(*KIND, "normalized").distinct()
-                .withColumn("r", F.row_number().over(first)).filter(F.col("r") <= P.VARIANTS_KEPT)
-                .groupBy(*KIND).agg(F.sort_array(F.collect_list("normalized")).alias("variants")))
-    return (kinds.join(names, KIND).join(variants, KIND).join(located, KIND, "left")
-            .withColumn("error", X.error_template(F.col("variants"))))
+    names = own.groupBy(*KIND).agg(F.sort_array(F.collect_set("store")).alias("stores"), F.sort_array(F.collect_set("tenant")).alias("tenants"))
+    variants = own.select(*KIND, "normalized").distinct()
+    found = kinds.join(names, KIND).join(templates(variants), KIND).join(located, KIND, "left")
+    if cut.variants:
+        first = W.partitionBy(*KIND).orderBy("normalized")
+        few = variants.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= cut.variants)
+        found = found.join(few.groupBy(*KIND).agg(F.sort_array(F.collect_list("normalized")).alias("variants")), KIND)
+    return found
 
 
-def error_kinds(logs: DataFrame) -> DataFrame:
-    """One row per kind: n, example, service, stores, tenants, location, up to 40 variants and the template.
+def _sums(fine: DataFrame) -> DataFrame:
+    return fine.groupBy(*KIND).agg(F.sum("n").alias("n"), F.min("example").alias("example"), F.min("service").alias("service"))
+
+
+def error_kinds(logs: DataFrame, cut: Cut = Cut()) -> DataFrame:
+    """One row per kind: n, example, service, stores, tenants, location, the template and the number of variants (and ``cut.variants`` of them).
 
     Lines are first counted per (kind, variant, location, store, tenant), so a kind that holds most of
     the lines is already small when its rows come together. Picks that could go either way take the
     smallest value.
     """
-    return _kinds(_counted(logs))
+    fine = _counted(logs, cut)
+    return _detailed(_sums(fine), fine, cut)
 
 
-def error_groups(logs: DataFrame, limit: int = 200) -> DataFrame:
-    """The most frequent kinds, with the number of kinds and lines over all of them."""
-    fine = _counted(logs)
-    totals = (fine.groupBy(*KIND).agg(F.sum("n").alias("n"))
-              .agg(F.struct(F.count("*").alias("kinds"), F.sum("n").alias("total"))))
-    return (_kinds(fine).orderBy(F.desc("n"), "key", "exception").limit(limit)
-            .withColumn("overall", totals.scalar())
+def error_groups(logs: DataFrame, limit: int | None = 200, cut: Cut = Cut()) -> DataFrame:
+    """The ``limit`` most frequent kinds (None: all), with the number of kinds and lines over all of them.
+
+    Kinds are ranked by their counts first; only those shown are looked at in detail.
+    """
+    fine = _counted(logs, cut)
+    sums = _sums(fine)
+    totals = sums.agg(F.struct(F.count("*").alias("kinds"), F.sum("n").alias("total")))
+    order = [F.desc("n"), "key", "exception"]
+    top = sums if limit is None else sums.orderBy(*order).limit(limit)
+    return (_detailed(top, fine, cut).orderBy(*order).withColumn("overall", totals.scalar())
             .select("*", F.col("overall.kinds").alias("kinds"), F.col("overall.total").alias("total")).drop("overall"))
 
 

@@ -297,7 +297,7 @@ def path_table(paths: DataFrame, sort: str = "errors", limit: int = 50) -> DataF
     order = orders.get(sort, [F.desc("requests")])
     counted = cells(paths, [*PATH, "tg"]).persist()
     groups = counted.select(*PATH).distinct().agg(F.count("*"))
-    return (_path_stats(counted).orderBy(*order, "path_group", "method").limit(min(limit, 200))
+    return (_path_stats(counted).orderBy(*order, "path_group", "method").limit(limit)
             .withColumn("groups", groups.scalar()))
 
 
@@ -357,8 +357,8 @@ def request_page(query: RequestQuery, tables: RequestTables, size: int = 100, of
     The counts per hour name the hours that hold the page; their bounds come back as one row and
     reach the scan as literals, so only those partitions are read and sorted.
     """
-    if not 0 < size <= 500 or not 0 <= offset <= 1_000_000:
-        raise ValueError("a page has 1 to 500 rows and starts at most 1,000,000 rows in")
+    if size <= 0 or offset < 0:
+        raise ValueError("a page has at least one row and starts at row 0 or later")
     hours = page_hours(hour_counts(query, tables), offset, size, descending)
     lo, hi, before = hours.agg(F.min("hour_ms"), F.max("hour_ms"), F.min("before")).first()
     rows = _all_requests(tables).filter(query.condition(ROWS))
@@ -372,24 +372,22 @@ def request_page(query: RequestQuery, tables: RequestTables, size: int = 100, of
 def slowest(query: RequestQuery, tables: RequestTables, limit: int = 5) -> DataFrame:
     """The requests the targets took longest to answer.
 
-    The highest latency bins that hold ``limit`` requests give a lower bound for the answer time,
-    which the scan can use; finished hours below it are never read.
+    Where a roll-up can apply all of the query's filters, the highest latency bins that hold ``limit`` of its requests give a
+    lower bound for the answer time, which the scan can use; finished hours below it are never read. Other filters (paths,
+    clients, words …) are only known from the rows, which are then all compared.
     """
-    if not 0 < limit <= 20:
-        raise ValueError("at most 20 of the slowest requests")
     rows = _all_requests(tables).filter(query.condition(ROWS) & F.col("tgt_t").isNotNull())
-    whole = replace(query, start_ms=-(-query.start_ms // MINUTE) * MINUTE,
-                    end_ms=(query.end_ms + 1) // MINUTE * MINUTE - 1)
-    per_bin = (tables.minutes.filter(whole.condition(MINUTES) & F.col("lat_bin").isNotNull())
-               .groupBy("lat_bin").agg(F.sum("n").alias("n")))
-    running = W.orderBy(F.desc("lat_bin")).rowsBetween(W.unboundedPreceding, W.currentRow)   # 24 bins
-    enough = per_bin.withColumn("upto", F.sum("n").over(running)).filter(F.col("upto") >= limit)
-    lowest = enough.agg(F.max("lat_bin")).first()[0]
-    if lowest is not None:
-        # a hair below the edge: the bin compared milliseconds, the column holds seconds
-        rows = rows.filter(F.col("tgt_t") >= P.LATENCY_EDGES[lowest] / 1000 * (1 - 1e-12))
+    level = query.level()
+    if level != ROWS:
+        whole = replace(query, start_ms=-(-query.start_ms // MINUTE) * MINUTE,
+                        end_ms=(query.end_ms + 1) // MINUTE * MINUTE - 1)
+        rollup = tables.minutes if level == MINUTES else tables.paths
+        per_bin = (rollup.filter(whole.condition(level) & F.col("lat_bin").isNotNull())
+                   .groupBy("lat_bin").agg(F.sum("n").alias("n")))
+        running = W.orderBy(F.desc("lat_bin")).rowsBetween(W.unboundedPreceding, W.currentRow)   # 24 bins
+        enough = per_bin.withColumn("upto", F.sum("n").over(running)).filter(F.col("upto") >= limit)
+        lowest = enough.agg(F.max("lat_bin")).first()[0]
+        if lowest is not None:
+            # a hair below the edge: the bin compared milliseconds, the column holds seconds
+            rows = rows.filter(F.col("tgt_t") >= P.LATENCY_EDGES[lowest] / 1000 * (1 - 1e-12))
     return rows.orderBy(F.desc("tgt_t"), F.desc("ts_ms"), "trace_id").limit(limit)
-
-
-SLOWEST_COLUMNS = ["time", "ts_ms", "lb", "tg", "cluster", "domain", "method", "path", "path_group", "url", "elb_code",
-                   "tgt_code", "target", "req_t", "tgt_t", "resp_t", "trace_id", "type"]

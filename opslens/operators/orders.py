@@ -72,8 +72,8 @@ def first_seen_by_utc_day(sightings: DataFrame) -> DataFrame:
 
 def zone_first_seen(by_day: DataFrame, day: ZoneDay) -> DataFrame:
     """First sightings of a zone's day from the UTC days it overlaps; earlier days are not looked at."""
-    days = [F.lit(d).cast("date") for d in day.utc_days()]
-    merged = by_day.filter(F.col("day").isin(days)).groupBy(*KEY).agg(F.min("first_ms").alias("first_ms"))
+    first, last = (F.date_from_unix_date(F.lit(d)) for d in day.utc_days)
+    merged = by_day.filter(F.col("day").between(first, last)).groupBy(*KEY).agg(F.min("first_ms").alias("first_ms"))
     return merged.filter(within("first_ms", day.start, day.end))
 
 

@@ -397,7 +397,7 @@ def explain(tables: lb.RequestTables, logs: DataFrame, tg: str, codes: Sequence[
     out = {"codes": lb.code_counts(query.minutes(tables)),
            "paths": failing.join(whole, keys, "left").orderBy(F.desc("requests")),
            "usual": tg_rates(tables.minutes, start, end, codes, [tg]).select("tg", "usual", "usual_n", "usual_total"),
-           "errors": errors.without_muted(errors.error_groups(window, 300), list(signatures))}
+           "errors": errors.without_muted(errors.error_groups(window, None), list(signatures))}
     if snap is not None:
         out["health"] = health.target_group_health(snap["targets"].filter(F.col("tg") == tg))
     return out

@@ -130,10 +130,10 @@ def log_truncated(spark, sf_dir):
 
 @QUERIES.add("log_export_zone", sql(f"""SELECT row_id, strftime(make_timestamp(log_time_ms * 1000) + INTERVAL 330 MINUTE,
     '%Y-%m-%d %H:%M:%S.%g') || ' +05:30' AS log_time, level FROM v_logs
-    WHERE log_time_ms BETWEEN {START} AND {END} ORDER BY log_time_ms DESC, row_id DESC LIMIT 10000"""))
+    WHERE log_time_ms BETWEEN {START} AND {END} ORDER BY log_time_ms DESC, row_id DESC"""))
 def log_export_zone(spark, sf_dir):
     logs = _timed().apply(views.logs(spark, sf_dir)).withColumn("log_time", F.lit(None).cast("string"))
-    return search.export_rows(logs, ["row_id", "log_time", "level"], 10_000, zone="Asia/Kolkata",
+    return search.export_rows(logs, ["row_id", "log_time", "level"], zone="Asia/Kolkata",
                               keys=("log_time_ms", "row_id"))
 
 
@@ -155,36 +155,51 @@ for _rx, _to in [
     (r"§([1-5][0-9][0-9])§", r"\1"),
 ]:
     _NORMAL = f"regexp_replace({_NORMAL}, '{_rx}', '{_to}', 'g')"
-_LINE = "trim(regexp_replace(left(split_part(coalesce(nullif(trim(msg), ''), ''), chr(10), 1), 1000), '\\s+', ' ', 'g'))"
+_LINE = "trim(regexp_replace(coalesce(nullif(trim(msg), ''), ''), '\\s+', ' ', 'g'))"
+_SHOWN = "trim(regexp_replace(left(split_part(coalesce(nullif(trim(msg), ''), ''), chr(10), 1), 1000), '\\s+', ' ', 'g'))"
+#: what the original shows of a kind
+SCREEN = errors.Cut(first_line=True, line_chars=1000, normalized_chars=600, variants=40)
 
 
-def _kinds(source: str, exception: str) -> str:
+def _kinds(source: str, exception: str, line: str = _LINE, normal: str = _NORMAL, also: str = "") -> str:
     return f"""
-      t AS (SELECT {exception} AS exception, {_LINE} AS line, service FROM {source}),
-      d AS (SELECT *, left({_NORMAL}, 600) AS normalized FROM t),
+      t AS (SELECT {exception} AS exception, {line} AS line, service{also} FROM {source}),
+      d AS (SELECT *, {normal} AS normalized FROM t),
       k AS (SELECT *, array_to_string(string_split(normalized, ' ')[1:8], ' ') AS key FROM d),
-      g AS (SELECT exception, key, count(*) AS n, min(line) AS example, min(service) AS service,
+      g AS (SELECT exception, key, count(*) AS n, min(line) AS example, min(service) AS service, count(DISTINCT normalized) AS n_variants,
                    array_to_string(list_sort(list(DISTINCT normalized))[1:40], '~') AS variants
             FROM k GROUP BY exception, key)"""
 
 
-_TOP = """SELECT exception, key, n, example, service, variants, (SELECT count(*) FROM g) AS kinds,
-    CAST((SELECT sum(n) FROM g) AS BIGINT) AS total FROM g ORDER BY n DESC, key, exception LIMIT 200"""
-
-
-def _grouped(groups):
-    return groups.select("exception", "key", "n", "example", "service",
-                         F.array_join("variants", "~").alias("variants"), "kinds", "total")
-
-
-@QUERIES.add("error_kinds", sql(f"WITH {_kinds('v_logs', '''coalesce(exception, '')''')} {_TOP}"))
+#: the template of a kind from its list of variants, by word positions
+_TEMPLATES = r"""
+      v AS (SELECT exception, key, list_sort(list(DISTINCT normalized)) AS lines FROM k GROUP BY ALL),
+      w AS (SELECT *, list_transform(lines, lambda x: string_split(x, ' ')) AS words FROM v),
+      s AS (SELECT *, list_min(list_transform(words, lambda x: len(x))) AS shortest, list_max(list_transform(words, lambda x: len(x))) AS longest FROM w),
+      a AS (SELECT *, list_transform(range(1, shortest + 1), lambda i: len(list_distinct(list_transform(words, lambda x: x[i]))) = 1) AS ahead,
+                   list_transform(range(1, shortest + 1), lambda i: len(list_distinct(list_transform(words, lambda x: x[len(x) + 1 - i]))) = 1) AS behind FROM s),
+      p AS (SELECT *, coalesce(nullif(list_position(ahead, false), 0), shortest + 1) - 1 AS head,
+                   coalesce(nullif(list_position(behind, false), 0), shortest + 1) - 1 AS rear FROM a),
+      e AS (SELECT exception, key, CASE WHEN len(lines) = 1 THEN lines[1]
+              WHEN shortest = longest THEN regexp_replace(array_to_string(list_transform(range(1, shortest + 1),
+                lambda i: CASE WHEN ahead[i] THEN words[1][i] ELSE '<*>' END), ' '), '<\*>(?:[\s,|]*<\*>)+', '<*>', 'g')
+              ELSE trim(array_to_string(words[1][1:head], ' ') || ' …' || CASE WHEN least(rear, shortest - head) > 0
+                THEN ' ' || array_to_string(words[1][len(words[1]) + 1 - least(rear, shortest - head):], ' ') ELSE '' END) END AS error FROM p)"""
+_EXCEPTION = "coalesce(exception, '')"
+_SUMS = "(SELECT count(*) FROM g) AS kinds, CAST((SELECT sum(n) FROM g) AS BIGINT) AS total FROM g"
+
+
+@QUERIES.add("error_kinds", sql(f"""WITH {_kinds('v_logs', _EXCEPTION, _SHOWN, f'left({_NORMAL}, 600)')}
+    SELECT exception, key, n, example, service, variants, {_SUMS} ORDER BY n DESC, key, exception LIMIT 200"""))
 def error_kinds(spark, sf_dir):
-    return _grouped(errors.error_groups(views.logs(spark, sf_dir)))
+    groups = errors.error_groups(views.logs(spark, sf_dir), 200, SCREEN)
+    return groups.select("exception", "key", "n", "example", "service", F.array_join("variants", "~").alias("variants"), "kinds", "total")
 
 
-@QUERIES.add("error_kinds_documents", sql(f"WITH {_kinds('v_text', chr(39) * 2)} {_TOP}"))
+@QUERIES.add("error_kinds_documents", sql(f"WITH {_kinds('v_text', chr(39) * 2)} SELECT exception, key, n, example, service, n_variants, {_SUMS}"))
 def error_kinds_documents(spark, sf_dir):
-    return _grouped(errors.error_groups(views.texts(spark, sf_dir)))
+    groups = errors.error_groups(views.texts(spark, sf_dir), None)
+    return groups.select("exception", "key", "n", "example", "service", "n_variants", "kinds", "total")
 
 
 @QUERIES.add("error_lines", sql(f"WITH {_kinds('v_text', chr(39) * 2)} SELECT line AS text, normalized, key, service FROM k"))
@@ -192,9 +207,26 @@ def error_lines(spark, sf_dir):
     return errors.error_lines(views.texts(spark, sf_dir)).select("text", "normalized", "key", "service")
 
 
-@QUERIES.add("error_templates", None)
+@QUERIES.add("error_templates", sql(f"WITH {_kinds('v_logs', _EXCEPTION)}, {_TEMPLATES} SELECT exception, key, n, n_variants, error FROM g JOIN e USING (exception, key)"))
 def error_templates(spark, sf_dir):
-    return errors.error_kinds(views.logs(spark, sf_dir)).select("exception", "key", "n", "error")
+    return errors.error_kinds(views.logs(spark, sf_dir)).select("exception", "key", "n", "n_variants", "error")
+
+
+#: log lines that name stores, tenants and the place in the code
+_PLACED = ["event_type || ' of a' || user_id % 9 || '.myshopify.com failed, tenant_id=t-' || user_id % 4 || ' in step ' || event_id AS msg",
+           "'svc-' || user_id % 5 AS service", "CASE WHEN event_type = 'error' THEN 'java.lang.E' || user_id % 3 END AS exception",
+           "'com.shop.Worker$K' || user_id % 2 AS class", "'run' AS method", "event_id % 3 AS line", "CASE WHEN event_id % 10 = 0 THEN ' t-0 ' END AS tenant_id"]
+
+
+@QUERIES.add("error_kinds_full", sql(f"""WITH placed AS (SELECT {', '.join(x.replace(' AS line', ' AS code_line') for x in _PLACED)} FROM events),
+    {_kinds('placed', _EXCEPTION, also=", 'K' || right(class, 1) || '.run:' || code_line AS location, split_part(split_part(msg, ' of ', 2), '.', 1) AS store, coalesce(trim(tenant_id), 't-' || split_part(msg, 'tenant_id=t-', 2)[1]) AS tenant")},
+    l AS (SELECT exception, key, first(location ORDER BY m DESC, location) AS location FROM (SELECT exception, key, location, count(*) AS m FROM k GROUP BY ALL) GROUP BY ALL),
+    o AS (SELECT exception, key, string_agg(DISTINCT store, ',' ORDER BY store) AS stores, string_agg(DISTINCT tenant, ',' ORDER BY tenant) AS tenants FROM k GROUP BY ALL), {_TEMPLATES}
+    SELECT exception, key, n, example, service, n_variants, stores, tenants, location, error FROM g JOIN l USING (exception, key) JOIN o USING (exception, key) JOIN e USING (exception, key)"""))
+def error_kinds_full(spark, sf_dir):
+    kinds = errors.error_kinds(views.table(spark, sf_dir, "events").selectExpr(*_PLACED))
+    return kinds.select("exception", "key", "n", "example", "service", "n_variants", F.array_join("stores", ",").alias("stores"),
+                        F.array_join("tenants", ",").alias("tenants"), "location", "error")
 
 
 @QUERIES.add("error_labels", sql("""SELECT row_id, 'E' || split_part(exception, '.E', 2) || ': ' || msg AS label
@@ -204,7 +236,7 @@ def error_labels(spark, sf_dir):
     return logs.select("row_id", X.error_label(F.col("exception"), F.col("msg")).alias("label"))
 
 
-@QUERIES.add("error_texts", sql("""SELECT row_id, left(t, 2000) || CASE WHEN length(t) > 2000 THEN '…' ELSE '' END AS text
+@QUERIES.add("error_texts", sql("""SELECT row_id, t AS text
     FROM (SELECT row_id, trim(regexp_replace(msg, '[ \\t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS t
           FROM v_text)"""))
 def error_texts(spark, sf_dir):

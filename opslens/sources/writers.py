@@ -81,19 +81,29 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 # ---- exports
+def _as_arrays(batches):
+    """The lines of a task as one json array, a line at a time."""
+    import pyarrow as pa
+    mark = "["
+    for batch in batches:
+        lines = batch.column(0).to_pylist()
+        if lines:
+            yield pa.RecordBatch.from_arrays([pa.array([(mark if i == 0 else ",") + x for i, x in enumerate(lines)])], ["value"])
+            mark = ","
+    yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"])], ["value"])
+
+
 def export(rows: DataFrame, path: str, fmt: str) -> None:
-    """Writes an export (10,000 rows at most) as one file: csv with a header, ndjson, or one json array.
+    """Writes an export in row order over its files: csv with a header each, ndjson, or json arrays.
 
-    NULL is empty in csv and left out of json.
+    Every task writes a file of its own; NULL is empty in csv and left out of json.
     """
-    one = rows.coalesce(1).write.mode("overwrite")
     if fmt == "csv":
-        one.option("header", True).option("escape", '"').csv(path)
+        rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     elif fmt == "ndjson":
-        one.json(path)
+        rows.write.mode("overwrite").json(path)
     elif fmt == "json":
-        lines = rows.select(F.to_json(F.struct("*")).alias("line")).coalesce(1).agg(F.collect_list("line").alias("l"))
-        lines.select(F.concat(F.lit("[\n"), F.array_join("l", ",\n"), F.lit("\n]"))).write.mode("overwrite").text(path)
+        rows.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(_as_arrays, "value string").write.mode("overwrite").text(path)
     else:
         raise ValueError("formats are csv, json and ndjson")
 

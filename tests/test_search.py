@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from conftest import tuples
 
@@ -123,7 +125,7 @@ def test_exports(spark, rows, tmp_path):
         return next((tmp_path / fmt).glob("part-*")).read_text()
     assert text("csv") == 'msg,n\n"",5\n"a,""b""",""\n' or text("csv").splitlines()[0] == "msg,n"
     assert text("ndjson") == '{"n":5}\n{"msg":"a,\\"b\\""}\n'
-    assert text("json").strip() == '[\n{"n":5},\n{"msg":"a,\\"b\\""}\n]'
+    assert [x for f in (tmp_path / "json").glob("part-*") for x in json.loads(f.read_text())] == [{"n": 5}, {"msg": 'a,"b"'}]
     report = writers.export_report(data, data.limit(1)).first()
     assert (report.rows, report.total) == (1, 2)
 
@@ -140,9 +142,16 @@ def test_error_kinds(rows):
     assert (boom.kinds, boom.total) == (2, 7) and groups[("", "")].n == 1
 
 
-def test_many_variants_are_cut_to_forty(rows):
+def test_all_variants_make_the_template(rows):
+    """The forty-first variant alone differs in a word."""
+    lines = [f"one two three four five six seven eight same tail{chr(97 + i % 26)}{'x' * i}" for i in range(40)]
+    kind = errors.error_kinds(rows([(x,) for x in [*lines, "one two three four five six seven eight zzz tail"]], "msg string")).first()
+    assert kind.n == kind.n_variants == 41 and kind.error == "one two three four five six seven eight <*>"
+
+
+def test_the_screen_shows_forty_variants(rows):
     logs = rows([(f"one two three four five six seven eight tail{chr(97 + i % 26)}{'x' * i}",) for i in range(60)], "msg string")
-    kind = errors.error_kinds(logs).first()
+    kind = errors.error_kinds(logs, errors.Cut(variants=40)).first()
     assert kind.n == 60 and len(kind.variants) == 40 and kind.error == "one two three four five six seven eight <*>"
 
 
