@@ -1,18 +1,21 @@
-"""Access log conversion as a stream of files, with exact re-merging of late ones.
+"""Access log conversion as a stream of files or over a range, every file once, with exact re-merging of late ones.
 
 Tables under one root:
 
-``incoming``  request rows by lb, dt, hour, batch: what each micro-batch brought
+``runs``      (name, batch): the store's own batch numbers, one for each micro-batch or range
+``incoming``  request rows by lb, dt, hour, batch: what each batch brought
 ``arrived``   (lb, dt, hour, n) per batch: which hours a batch touched
-``requests``  finished hours by lb, dt, hour
-``paths``, ``minutes``  their roll-ups, by lb, dt, hour
 ``ledger``    files converted, per batch
-``merged``    (lb, dt, hour, upto) per merge: written last, so nothing is taken for finished before it is
+``requests``, ``paths``, ``minutes``  finished hours and their roll-ups, by lb, dt, hour, upto
+``merged``    (lb, dt, hour, upto) per merge
 
-An hour is merged some minutes after it ends, and merged again as a whole when a late file touches it.
+An hour is merged some minutes after it ends, and merged again as a whole when a late file touches it. A merge of the batches up to a number
+writes partitions of that number, and the marker in ``merged`` is written last: readers look only at the newest marked number of an
+hour, so that the three tables and the rows not merged yet all switch at once, and a merge that is repeated replaces itself.
 """
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,6 +40,21 @@ class RequestStore:
         return S.read_or_none(spark, self.path(name))
 
     # -- conversion
+    def batch_of(self, spark: SparkSession, name: str) -> int:
+        """The store's number of a batch: the one it was given before, or else the next. One writer at a time."""
+        runs = self.read(spark, "runs")
+        known = None if runs is None else runs.agg(F.max("batch"), F.max(F.when(F.col("name") == name, F.col("batch")))).first()
+        if known is not None and known[1] is not None:
+            return known[1]
+        batch = 0 if known is None else known[0] + 1
+        S.write_batch(spark.createDataFrame([(name,)], "name string"), self.path("runs"), batch)
+        return batch
+
+    def converted(self, spark: SparkSession, batch: int) -> DataFrame | None:
+        """Files that other batches hold."""
+        ledger = self.read(spark, "ledger")
+        return None if ledger is None else ledger.filter(F.col("batch") != batch).select(F.col("path").alias("file"))
+
     def add(self, lines: DataFrame, batch: int) -> None:
         """Parse one batch of (raw, file) lines. A batch that is repeated replaces what it wrote."""
         rows = S.with_hour(parse_requests(lines)).filter("lb IS NOT NULL AND ts_ms IS NOT NULL")
@@ -49,84 +67,108 @@ class RequestStore:
         files = lines.select(F.col("file").alias("path")).distinct()
         S.write_batch(files, self.path("ledger"), batch)
 
-    def due(self, spark: SparkSession, now: int) -> DataFrame | None:
-        """(lb, dt, hour, upto): ended hours with batches that are not merged yet."""
-        arrived, merged = self.read(spark, "arrived"), self.read(spark, "merged")
-        if arrived is None:
-            return None
-        newest = arrived.groupBy(*S.HOUR_KEYS).agg(F.max("batch").alias("upto"))
-        start = F.unix_millis(F.col("dt").cast("timestamp")) + F.col("hour") * HOUR
-        newest = newest.filter(start + HOUR + SETTLE_MS <= now)
-        if merged is None:
-            return newest
-        done = merged.groupBy(*S.HOUR_KEYS).agg(F.max("upto").alias("done"))
-        return newest.join(done, S.HOUR_KEYS, "left").filter("done IS NULL OR done < upto").drop("done")
+    def done(self, spark: SparkSession) -> DataFrame | None:
+        """(lb, dt, hour, done): up to which batch an hour is merged."""
+        merged = self.read(spark, "merged")
+        return None if merged is None else merged.groupBy(*S.HOUR_KEYS).agg(F.max("upto").alias("done"))
+
+    def waiting(self, spark: SparkSession) -> DataFrame | None:
+        """(lb, dt, hour, batch) that arrived and isn't merged yet."""
+        arrived, done = self.read(spark, "arrived"), self.done(spark)
+        if arrived is None or done is None:
+            return None if arrived is None else arrived.select(*S.HOUR_KEYS, "batch")
+        return arrived.join(done, S.HOUR_KEYS, "left").filter("done IS NULL OR batch > done").select(*S.HOUR_KEYS, "batch")
 
     def merge(self, spark: SparkSession, now: int, batch: int) -> None:
-        """Rebuild every due hour: requests, then paths, then minutes, and the marker last.
+        """Rebuild every ended hour with rows not merged yet: requests, paths, minutes, and the marker last.
 
-        The list of hours is written first; read back, its size is known, so the scan of ``incoming``
-        is pruned to those partitions by a broadcast.
+        The list of hours is written first; read back, its size is known, so the scans are pruned to those partitions.
         """
-        due = self.due(spark, now)
-        if due is None:
+        waiting = self.waiting(spark)
+        if waiting is None:
             return
+        start = F.unix_millis(F.col("dt").cast("timestamp")) + F.col("hour") * HOUR
+        due = waiting.filter(start + HOUR + SETTLE_MS <= now).groupBy(*S.HOUR_KEYS).agg(F.max("batch").alias("upto"))
         S.write_batch(due, self.path("due"), batch)
         hours = self.read(spark, "due")
-        if hours is None:
-            return
-        hours = hours.filter(F.col("batch") == batch).drop("batch")
-        if hours.isEmpty():
+        hours = None if hours is None else hours.filter(F.col("batch") == batch).drop("batch")
+        if hours is None or hours.isEmpty():
             return
-        upto = hours.select(*S.HOUR_KEYS, "upto")
-        rows = (spark.read.parquet(self.path("incoming")).join(upto, S.HOUR_KEYS).filter("batch <= upto")
-                .drop("batch", "upto"))
-        S.write_partitions(rows, self.path("requests"), S.HOUR_KEYS)
-        merged = spark.read.parquet(self.path("requests")).join(hours.select(*S.HOUR_KEYS), S.HOUR_KEYS, "left_semi")
+        keys = [*S.HOUR_KEYS, "upto"]
+        rows = spark.read.parquet(self.path("incoming")).join(hours, S.HOUR_KEYS).filter("batch <= upto").drop("batch")
+        S.write_partitions(rows, self.path("requests"), keys)
+        merged = spark.read.parquet(self.path("requests")).join(hours, keys, "left_semi")
         for name, rollup in (("paths", path_rollup), ("minutes", minute_rollup)):
-            S.write_partitions(S.with_hour(rollup(merged), "minute_ms"), self.path(name), S.HOUR_KEYS)
-        S.write_batch(upto, self.path("merged"), batch)
+            rolled = S.with_hour(rollup(merged), "minute_ms").join(hours, S.HOUR_KEYS)
+            S.write_partitions(rolled, self.path(name), keys)
+        S.write_batch(hours.select(*keys), self.path("merged"), batch)
 
     # -- reading
     def unmerged(self, spark: SparkSession) -> DataFrame | None:
-        """Rows of hours not merged yet, and late rows of merged hours."""
-        incoming, merged = self.read(spark, "incoming"), self.read(spark, "merged")
-        if incoming is None or merged is None:
-            return incoming
-        done = merged.groupBy(*S.HOUR_KEYS).agg(F.max("upto").alias("done"))
-        return (incoming.join(done, S.HOUR_KEYS, "left").filter("done IS NULL OR batch > done")
-                .drop("done"))
+        """Rows of hours not merged yet, and late rows of merged hours; only their partitions are read."""
+        incoming, waiting = self.read(spark, "incoming"), self.waiting(spark)
+        return incoming if incoming is None or waiting is None else incoming.join(waiting, [*S.HOUR_KEYS, "batch"], "left_semi")
+
+    def current(self, spark: SparkSession, name: str) -> DataFrame | None:
+        """The newest marked version of every finished hour."""
+        rows, done = self.read(spark, name), self.done(spark)
+        if rows is None or done is None:
+            return None
+        return rows.join(done.withColumnRenamed("done", "upto"), [*S.HOUR_KEYS, "upto"], "left_semi").drop("dt", "hour", "upto")
 
     def tables(self, spark: SparkSession) -> RequestTables:
         """What queries read: finished hours, their roll-ups, and the rest as rows."""
         rest = self.unmerged(spark)
-        parts = [self.read(spark, n) for n in ("requests", "minutes", "paths")]
+        rest = None if rest is None else rest.drop("dt", "hour", "batch")
+        parts = [self.current(spark, n) for n in ("requests", "minutes", "paths")]
         if any(p is None for p in parts):
-            empty = rest.limit(0).drop("batch")
+            empty = rest.limit(0)
             parts = [empty, minute_rollup(empty), path_rollup(empty)]
-        return RequestTables(parts[0].drop("dt", "hour"), parts[1].drop("dt", "hour"), parts[2].drop("dt", "hour"),
-                             None if rest is None else rest.drop("dt", "hour", "batch"))
-
-
-def convert_batch(store: RequestStore, lines: DataFrame, batch: int, now: int) -> None:
+        return RequestTables(*parts, rest)
+
+
+def convert_batch(store: RequestStore, lines: DataFrame, name: str, now: int) -> None:
+    """One named batch of (raw, file) lines without the files that other batches hold. Repeated under its name, it replaces itself."""
+    spark = lines.sparkSession
+    batch = store.batch_of(spark, name)
+    other = store.converted(spark, batch)
+    if other is not None:
+        again = lines.select("file").distinct().join(other, "file", "left_semi")
+        if not again.isEmpty():
+            lines = lines.join(again, "file", "left_anti").select("raw", "file")
     store.add(lines, batch)
-    store.merge(lines.sparkSession, now, batch)
+    store.merge(spark, now, batch)
 
 
 def stream_convert(spark: SparkSession, source: str, store: RequestStore, checkpoint: str, now: int | None = None,
                    trigger: dict | None = None) -> StreamingQuery:
-    """New log files every five minutes by default; the checkpoint makes every file count once."""
+    """New log files every five minutes by default.
+
+    A batch is named by the checkpoint's own id and its number, so that a repeated one is known again and those of a new checkpoint are not
+    taken for old ones; the ledger keeps files out that were converted before.
+    """
+    import json
     import time
     lines = (spark.readStream.format("text").option("recursiveFileLookup", "true").load(source)
              .select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file")))
 
     def convert(batch_rows: DataFrame, batch: int) -> None:
-        convert_batch(store, batch_rows, batch, int(time.time() * 1000) if now is None else now)
+        query = json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+        convert_batch(store, batch_rows, f"{query}/{batch}", int(time.time() * 1000) if now is None else now)
     return (lines.writeStream.foreachBatch(convert).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "5 minutes"})).start())
 
 
-def convert_range(spark: SparkSession, paths: list[str], store: RequestStore, batch: int, now: int) -> None:
-    """The same conversion for chosen old files, as one batch."""
+def convert_range(spark: SparkSession, paths: list[str], store: RequestStore, now: int) -> int:
+    """The same conversion for chosen old files, as one batch named by the files that are not converted yet; how many those were.
+
+    File names come to the driver, as they do for any scan; a range converted before, by a stream or a range, changes nothing.
+    """
     from ..sources.readers import read_access_lines
-    convert_batch(store, read_access_lines(spark, *paths), batch, now)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path")
+    pending = listed.join(ledger.select("path"), "path", "left_anti") if (ledger := store.read(spark, "ledger")) is not None else listed
+    files = sorted(r.path for r in pending.distinct().collect())
+    if files:
+        name = hashlib.sha256("\n".join(files).encode()).hexdigest()
+        convert_batch(store, read_access_lines(spark, *files), f"range/{name}", now)
+    return len(files)

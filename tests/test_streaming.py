@@ -53,6 +53,30 @@ def test_files_are_converted_once_and_late_ones_merge_the_hour_again(spark, tmp_
     assert store.unmerged(spark).count() == 1
 
 
+def test_a_range_is_converted_once_and_in_any_order(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    store, now = convert.RequestStore(str(tmp_path / "store")), T0 + DAY
+    write_log(logs, "a", ["2026-10-07T06:10:00Z", "2026-10-07T06:20:00Z"])
+
+    def total():
+        tables = store.tables(spark)
+        return lb.status_totals(RequestQuery(T0, T0 + DAY).minutes(tables)).first().requests, tables.requests.count(), tables.unmerged.count()
+    assert convert.convert_range(spark, [str(logs)], store, now) == 1
+    assert convert.convert_range(spark, [str(logs)], store, now) == 0 and total() == (2, 2, 0)
+    write_log(logs, "b", ["2026-10-07T06:30:00Z"])
+    convert.stream_convert(spark, str(logs), store, str(tmp_path / "one"), now, ONCE).awaitTermination()
+    assert total() == (3, 3, 0)                                  # the stream finds "a" in the ledger
+    convert.stream_convert(spark, str(logs), store, str(tmp_path / "two"), now, ONCE).awaitTermination()
+    assert convert.convert_range(spark, [str(logs)], store, now) == 0 and total() == (3, 3, 0)
+    # a crash before the marker leaves the old version in sight
+    rows = spark.read.text(str(logs / "b.log.gz")).select(F.col("value").alias("raw"), F.lit("late").alias("file"))
+    store.add(rows, store.batch_of(spark, "late"))
+    assert total() == (4, 3, 1)
+    store.merge(spark, now, store.batch_of(spark, "late"))
+    assert total() == (4, 4, 0) and store.batch_of(spark, "late") == store.batch_of(spark, "late")
+
+
 def test_hot_hours_are_split_over_tasks(spark, tmp_path):
     rows = spark.range(200_000).selectExpr("'lb' AS lb", "date'2026-01-01' AS dt", "IF(id % 10 = 0, 1, 0) AS hour", "uuid() AS x")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512kb")
