@@ -177,16 +177,15 @@ _CLASS_NAMES = [f"c{c}" for c in P.STATUS_CLASSES] + ["other"]
 _BLAME_NAMES = ["s5xx_app", "s5xx_lb", "s4xx"]
 
 
-def _status(counted: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
-    """Counts, classes, blame, average and percentiles per key from ``cells`` rows."""
-    per_bin = counted.groupBy(*keys, "lat_bin").agg(*[F.sum(c).alias(c) for c in SUMS], *_class_sums(), *_blame_sums())
-    whole = per_bin.groupBy(*keys).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("requests"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _CLASS_NAMES + _BLAME_NAMES],
-        ratio(F.sum("tgt_t_sum"), F.sum("tgt_t_n")).alias("avg"), web.bin_list().alias("bins"))
+def _status(counted: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float], **more: Column) -> DataFrame:
+    """Counts, classes, blame, average, percentiles and ``more`` aggregates per key from ``cells`` rows, in one aggregate."""
+    bins = F.array(*[F.struct(F.lit(b).alias("lat_bin"), sum_when(f"lat_bin = {b}", "n").alias("n")) for b in range(len(P.LATENCY_EDGES))])
+    whole = counted.groupBy(*keys).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("requests"), *[F.coalesce(c, F.lit(0)).alias(n) for c, n in zip(_class_sums() + _blame_sums(), _CLASS_NAMES + _BLAME_NAMES)],
+        ratio(F.sum("tgt_t_sum"), F.sum("tgt_t_n")).alias("avg"), bins.alias("bins"), *[c.alias(n) for n, c in more.items()])
     return whole.select(*keys, "requests", *_CLASS_NAMES, *_BLAME_NAMES,
                         (F.col("s5xx_app") + F.col("s5xx_lb")).alias("s5xx"), "avg",
-                        *[web.bin_percentile("bins", p).alias(name) for name, p in quantiles.items()])
+                        *[web.bin_percentile("bins", p).alias(name) for name, p in quantiles.items()], *more)
 
 
 def status_totals(rollup: DataFrame) -> DataFrame:
@@ -213,15 +212,12 @@ def bin_percentiles(rollup: DataFrame, keys: Sequence[str], quantiles: Mapping[s
 
 def target_groups(rollup: DataFrame) -> DataFrame:
     """Per target group; NULL (no group) is one of them."""
-    return _target_groups(cells(rollup, ["tg", "cluster", "lb"]).persist())
+    return _target_groups(cells(rollup, ["tg", "cluster", "lb"]))
 
 
 def _target_groups(counted: DataFrame) -> DataFrame:
-    where = (counted.groupBy("tg").agg(F.min("cluster").alias("cluster"),
-                                       F.sort_array(F.collect_set("lb")).alias("lbs"))
-             .withColumnRenamed("tg", "tg_"))
-    rows = _status(counted, ["tg"], {"p95": 0.95}).drop(*_CLASS_NAMES)
-    return rows.join(where, F.col("tg").eqNullSafe(F.col("tg_"))).drop("tg_")
+    where = {"cluster": F.min("cluster"), "lbs": F.sort_array(F.collect_set("lb"))}
+    return _status(counted, ["tg"], {"p95": 0.95}, **where).drop(*_CLASS_NAMES)
 
 
 def top_error_paths(paths: DataFrame) -> DataFrame:
@@ -272,22 +268,14 @@ def path_code_counts(paths: DataFrame) -> DataFrame:
 
 
 def path_stats(paths: DataFrame) -> DataFrame:
-    """Per method and grouped path: requests, classes, average, p95, first 3 target groups, top code."""
-    return _path_stats(cells(paths, [*PATH, "tg"]).persist())
+    """Per method and grouped path: requests, classes, average, p95, first 3 target groups, top code.
 
-
-def _path_stats(counted: DataFrame) -> DataFrame:
-    keys = PATH
-    stats = _status(counted, keys, {"p95": 0.95}).drop("other", "s5xx_app", "s5xx_lb")
-    top = (counted.groupBy(*keys, "elb_code").agg(F.sum("n").alias("n"))
-           .groupBy(*keys).agg(F.max_by("elb_code", F.struct("n", "elb_code")).alias("top_code")))
-    tgs = (counted.select(*keys, "tg").distinct()
-           .groupBy(*keys).agg(F.slice(F.sort_array(F.collect_set("tg")), 1, 3).alias("tgs")))
-    for side in (top, tgs):
-        side = side.withColumnsRenamed({k: f"{k}_" for k in keys})
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
-        stats = stats.join(side, same).drop(*[f"{k}_" for k in keys])
-    return stats
+    The cells are dealt out by path once; the sums per code, from which the top code is picked, and the sums per path both use that.
+    """
+    by_path = cells(paths, [*PATH, "tg"]).repartition(*PATH)
+    coded = by_path.withColumn("same", F.sum("n").over(W.partitionBy(*PATH, "elb_code")))
+    picked = {"tgs": F.slice(F.sort_array(F.collect_set("tg")), 1, 3), "top_code": F.max_by("elb_code", F.struct("same", "elb_code"))}
+    return _status(coded, PATH, {"p95": 0.95}, **picked).drop("other", "s5xx_app", "s5xx_lb")
 
 
 def path_table(paths: DataFrame, sort: str = "errors", limit: int = 50) -> DataFrame:
@@ -295,10 +283,8 @@ def path_table(paths: DataFrame, sort: str = "errors", limit: int = 50) -> DataF
     orders = {"errors": [F.desc("s5xx"), F.desc("s4xx"), F.desc("requests")],
               "slow": [F.desc_nulls_last("p95"), F.desc("requests")]}
     order = orders.get(sort, [F.desc("requests")])
-    counted = cells(paths, [*PATH, "tg"]).persist()
-    groups = counted.select(*PATH).distinct().agg(F.count("*"))
-    return (_path_stats(counted).orderBy(*order, "path_group", "method").limit(limit)
-            .withColumn("groups", groups.scalar()))
+    groups = paths.select(*PATH).distinct().agg(F.count("*"))
+    return path_stats(paths).orderBy(*order, "path_group", "method").limit(limit).withColumn("groups", groups.scalar())
 
 
 def overview(rollup: DataFrame) -> DataFrame:
