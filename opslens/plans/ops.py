@@ -6,7 +6,7 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY, HOUR, MINUTE, WEEK, zone_buckets, zone_day, zone_midnight_ms
-from ..operators import inbound, metrics, orders
+from ..operators import inbound, metrics, orders, reports
 from . import views
 from .oracle import sql
 from .registry import Registry
@@ -222,7 +222,7 @@ def peak_minute(spark, sf_dir):
     return metrics.peak_minute(views.metrics(spark, sf_dir), TODAY.start, TODAY.end)
 
 
-@QUERIES.add("freshness", sql(f"""SELECT max(t) AS as_of, {END + DAY * 30} - max(t) - 60000 AS age_ms, true AS stale FROM v_metric"""))
+@QUERIES.add("freshness", sql(f"""SELECT max(t) AS as_of, {END + DAY * 30} - max(t) - 60000 AS age_ms, {END + DAY * 30} - max(t) - 60000 > 15 * 60000 AS stale FROM v_metric"""))
 def freshness(spark, sf_dir):
     return metrics.freshness(views.metrics(spark, sf_dir), END + DAY * 30)
 
@@ -453,3 +453,97 @@ def inbound_compare(spark, sf_dir):
     return inbound.compare_with_dates(rows.filter("source = 0"), rows.filter("source = 1"))
 
 
+
+
+# ---- the summary of a day in progress and the report of a finished one
+def _summary(spark, sf_dir, part, day=TODAY, before=LAST_WEEK, as_of=AS_OF):
+    by_day = orders.first_seen_by_utc_day(views.sightings(spark, sf_dir))
+    return reports.ops_summary(views.metrics(spark, sf_dir), by_day, views.inbound(spark, sf_dir), day, before, as_of, THRESHOLDS, _EXCLUDE)[part]
+
+
+@QUERIES.add("ops_summary_stages", sql(f"""WITH {_judge(_weeks((TODAY.start, _UPTO), (LAST_WEEK.start, _CUT)))}
+    SELECT api, stage, calls, lw_calls, p95, status, reasons, {_change('calls', 'lw_calls')} AS change FROM j"""))
+def ops_summary_stages(spark, sf_dir):
+    rows = _summary(spark, sf_dir, "stages")
+    return rows.select("api", "stage", "calls", "lw_calls", "p95", "status", F.array_join("reasons", "; ").alias("reasons"), "change")
+
+
+@QUERIES.add("ops_summary_peak", sql(f"""SELECT arg_max(t, (calls, -t)) AS t, CAST(max(calls) AS BIGINT) AS calls FROM (
+    SELECT t, sum(calls) AS calls FROM v_metric WHERE t >= {TODAY.start} AND t < {_UPTO} GROUP BY t)"""))
+def ops_summary_peak(spark, sf_dir):
+    return _summary(spark, sf_dir, "peak")
+
+
+@QUERIES.add("ops_summary_orders", sql(f"""SELECT service, coalesce(orders, 0) AS orders, coalesce(lw_orders, 0) AS lw_orders, coalesce(lw_day_orders, 0) AS lw_day_orders,
+        {_change('coalesce(orders, 0)', 'coalesce(lw_orders, 0)')} AS change
+    FROM (SELECT service, count(*) AS orders FROM ({_zone_firsts(SALE)}) WHERE first_ms <= {_SALE_AS_OF} GROUP BY ALL)
+    FULL JOIN (SELECT service, count(*) FILTER (first_ms < {_SALE_AS_OF + MINUTE - WEEK}) AS lw_orders, count(*) AS lw_day_orders
+               FROM ({_zone_firsts(SALE_WEEK)}) GROUP BY ALL) USING (service)"""))
+def ops_summary_orders(spark, sf_dir):
+    return _summary(spark, sf_dir, "orders", SALE, SALE_WEEK, _SALE_AS_OF)
+
+
+@QUERIES.add("ops_summary_inbound", sql(f"""SELECT *, {_change('orders', 'lw_orders')} AS change, upper(left(tenant, 1)) || split_part(substr(tenant, 2), '.', 1) AS name
+    FROM (SELECT tenant, CAST(coalesce(sum(orders) FILTER (t BETWEEN {_ID.start} AND {_IUPTO}), 0) AS BIGINT) AS orders,
+                 CAST(coalesce(sum(orders) FILTER (t BETWEEN {_ILW.start} AND {_IUPTO - WEEK}), 0) AS BIGINT) AS lw_orders,
+                 CAST(coalesce(sum(orders) FILTER (t >= {_ILW.start} AND t < {_ILW.end}), 0) AS BIGINT) AS lw_day_orders
+          FROM v_inbound WHERE {_OUT} GROUP BY tenant) WHERE orders > 0 OR lw_orders > 0"""))
+def ops_summary_inbound(spark, sf_dir):
+    return _summary(spark, sf_dir, "inbound", _ID, _ILW, _IUPTO)
+
+
+def _history_sql(test: str) -> str:
+    def day(d, shift):
+        return (f"SELECT (first_ms - {d.start}) // 60000 * 60000 + {d.start + shift} AS t, count(*) AS n FROM ({_zone_firsts(d)}) "
+                f"WHERE {test} GROUP BY 1")
+    return sql(f"""SELECT c.t, CASE WHEN c.t <= {_SALE_AS_OF} THEN coalesce(a.n, 0) END AS orders, coalesce(b.n, 0) AS lw_orders
+        FROM (SELECT unnest(range({SALE.start}, {SALE.end}, 60000)) AS t) c LEFT JOIN ({day(SALE, 0)}) a USING (t) LEFT JOIN ({day(SALE_WEEK, WEEK)}) b USING (t)""")
+
+
+@QUERIES.add("order_history_service", _history_sql("service = (SELECT min(service) FROM v_sighting)"))
+def order_history_service(spark, sf_dir):
+    seen = views.sightings(spark, sf_dir)
+    first = seen.agg(F.min("service")).first()[0]
+    return reports.order_history(orders.first_seen_by_utc_day(seen), SALE, SALE_WEEK, service=first, as_of=_SALE_AS_OF)
+
+
+@QUERIES.add("order_history_store", _history_sql("store = (SELECT max(store) FROM v_sighting)"))
+def order_history_store(spark, sf_dir):
+    seen = views.sightings(spark, sf_dir)
+    last = seen.agg(F.max("store")).first()[0]
+    return reports.order_history(orders.first_seen_by_utc_day(seen), SALE, SALE_WEEK, store=last, as_of=_SALE_AS_OF)
+
+
+def _report(spark, sf_dir, part, day=TODAY, before=LAST_WEEK):
+    firsts = orders.first_seen(views.sightings(spark, sf_dir))
+    return reports.daily_report(views.metrics(spark, sf_dir), firsts, views.alert_events(spark, sf_dir), day, before, THRESHOLDS)[part]
+
+
+@QUERIES.add("daily_report_kpi", sql(f"""SELECT *, {_pct('err_4xx', 'calls')} AS err_4xx_pct, {_pct('err_5xx', 'calls')} AS err_5xx_pct, {_change('calls', 'lw_calls')} AS change FROM (
+    SELECT {', '.join(f"CAST(sum({c}) FILTER (t >= {TODAY.start} AND t < {TODAY.end}) AS BIGINT) AS {c}" for c in ('calls', 'err_4xx', 'err_5xx'))},
+           CAST(sum(calls) FILTER (t >= {LAST_WEEK.start} AND t < {LAST_WEEK.end}) AS BIGINT) AS lw_calls FROM v_metric)"""))
+def daily_report_kpi(spark, sf_dir):
+    return _report(spark, sf_dir, "kpi")
+
+
+def _sold(keys: str) -> str:
+    return f"""SELECT *, {_change('orders', 'lw_orders')} AS change FROM (
+        SELECT {keys}, count(*) FILTER (ms >= {SALE.start} AND ms < {SALE.end}) AS orders, count(*) FILTER (ms >= {SALE_WEEK.start} AND ms < {SALE_WEEK.end}) AS lw_orders
+        FROM (SELECT service, store, order_id, min(ms) AS ms FROM v_sighting GROUP BY ALL) GROUP BY {keys})"""
+
+
+@QUERIES.add("daily_report_services", sql(f"{_sold('service')} WHERE orders > 0 OR lw_orders > 0"))
+def daily_report_services(spark, sf_dir):
+    return _report(spark, sf_dir, "services", SALE, SALE_WEEK)
+
+
+@QUERIES.add("daily_report_stores", sql(f"{_sold('service, store')} WHERE orders > 0 ORDER BY orders DESC, store, service LIMIT 8"))
+def daily_report_stores(spark, sf_dir):
+    return _report(spark, sf_dir, "stores", SALE, SALE_WEEK)
+
+
+@QUERIES.add("daily_report_recap", sql(f"""WITH d AS (SELECT * FROM v_alert WHERE at_ms >= {TODAY.start} AND at_ms < {TODAY.end} AND event IN ('firing', 'escalated'))
+    SELECT count(*) FILTER (event = 'firing') AS started,
+           (SELECT count(*) FROM (SELECT DISTINCT rule_id, subject FROM d WHERE event = 'escalated' OR level = 'critical')) AS critical FROM d"""))
+def daily_report_recap(spark, sf_dir):
+    return _report(spark, sf_dir, "recap")
