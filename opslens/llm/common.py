@@ -84,24 +84,44 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def arrow_pass(df: DataFrame, schema: str | StructType, start: Callable[[], Callable[[pa.RecordBatch], Any]]) -> DataFrame:
+#: bytes of a batch that a pass with much memory a byte works on at a time
+PIECE = 8 << 20
+
+
+def pieces(batch: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``most_bytes``, or of one row."""
+    rows = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))
+    todo = [batch.slice(i, rows) for i in range(0, batch.num_rows, rows)][::-1]
+    while todo:
+        part = todo.pop()
+        if part.nbytes > 2 * most_bytes and part.num_rows > 1:
+            todo += [part.slice(part.num_rows // 2), part.slice(0, part.num_rows // 2)]
+        else:
+            yield part
+
+
+def arrow_pass(df: DataFrame, schema: str | StructType, start: Callable[[], Callable[[pa.RecordBatch], Any]], most_bytes: int | None = None) -> DataFrame:
     """``start()`` is called once per task and gives the function that turns a batch into columns (a list of arrays).
 
-    The function may return None for no rows. A ``finish`` attribute, if any, is called after the last batch.
+    The function may return None for no rows. A ``finish`` attribute, if any, is called after the last batch. Batches
+    are cut to ``most_bytes``, if given.
     """
-    target = df.limit(0).selectExpr().sparkSession.createDataFrame([], schema) if isinstance(schema, str) else None
-    names = (target.schema if target is not None else schema).names
+    names = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).names
+
+    def made(columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            columns = step(batch)
-            if columns is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(c) if not isinstance(c, (pa.Array, pa.ChunkedArray)) else c for c in columns], names)
+            for part in (batch,) if most_bytes is None else pieces(batch, most_bytes):
+                columns = step(part)
+                if columns is not None:
+                    yield made(columns)
         finish = getattr(step, "finish", None)
         columns = finish() if finish else None
         if columns is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(c) if not isinstance(c, (pa.Array, pa.ChunkedArray)) else c for c in columns], names)
+            yield made(columns)
 
     return df.mapInArrow(run, schema)
 

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, arrow_pass, keyed, materialized, mixed, spread, stored, text_bytes
+from .common import PIECE, ROW, arrow_pass, keyed, materialized, mixed, spread, stored, text_bytes
 
 LENGTH, GRAM = 100, 32
 #: bytes that a string of LENGTH can have before the anchor; its grams
 LEFT = LENGTH - GRAM
-GROUP = 2000
+GROUP = 20_000
 #: bytes hashed at a time
 SEGMENT = 1 << 17
 
@@ -173,13 +173,22 @@ def common(a: bytes, b: bytes) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
-def intervals(strings: Sequence[bytes], least: int) -> Iterator[tuple[int, list[int]]]:
+def order_of(strings: Sequence[bytes]) -> list[int]:
+    """The rank of each string in sort order."""
+    ranks = [0] * len(strings)
+    for rank, i in enumerate(sorted(range(len(strings)), key=strings.__getitem__)):
+        ranks[i] = rank
+    return ranks
+
+
+def intervals(strings: Sequence[bytes], least: int, order: list[int] | None = None) -> Iterator[tuple[int, list[int]]]:
     """Of the sorted ``strings``: (length of the common prefix, members) of each interval of the common-prefix tree of ``least`` bytes or more.
+    ``order`` gives the members in sort order, if not all or if known.
 
     The sorted order is scanned with a stack of open intervals: a shorter common prefix closes those that are longer. Equal strings
     are in one interval of their whole length; the interval of length 0 is the root.
     """
-    order = sorted(range(len(strings)), key=strings.__getitem__)
+    order = sorted(range(len(strings)), key=strings.__getitem__) if order is None else order
     stack = [(0, 0)]
     for i in range(1, len(order) + 1):
         shared = common(strings[order[i - 1]], strings[order[i]]) if i < len(order) else -1
@@ -198,12 +207,13 @@ def maximal_repeats(occurrences: Sequence[tuple[bytes, bytes]], length: int = LE
     ``occurrences``: the reversed text before the anchor, and the text from it. An interval of the suffixes is a right-maximal
     repeat. Where its occurrences differ to the left, an interval of the texts before them is a repeat that is left-diverse too.
     """
-    after = [r for _, r in occurrences]
-    for right, members in intervals(after, length - max((len(b) for b, _ in occurrences), default=0)):
+    before = [b for b, _ in occurrences]
+    ranks = order_of(before)
+    for right, members in intervals([a for _, a in occurrences], length - max(map(len, before), default=0)):
         if len(members) > 1:
-            for left, inner in intervals([occurrences[i][0] for i in members], length - right):
+            for left, inner in intervals(before, length - right, sorted(members, key=ranks.__getitem__)):
                 if len(inner) > 1:
-                    yield left, right, [members[i] for i in inner]
+                    yield left, right, inner
 
 
 class Trees:
@@ -223,16 +233,23 @@ class Trees:
         return self.columns(out)
 
     def repeats(self) -> Iterator[tuple[int, int, int, int]]:
-        rows = self.rows
-        if len(rows) < 2:
+        """Of every repeat, all occurrences but the first. All hold the anchor, so that an occurrence's spans are one."""
+        if len(self.rows) < 2:
             return
+        rows = sorted(self.rows)
         cut = [(around[: place >> 8 & 255][::-1], around[place >> 8 & 255 :]) for _, _, place, around in rows]
+        most_left, most_right = [0] * len(rows), [0] * len(rows)
         for left, right, members in maximal_repeats(cut):
-            first = min(members, key=lambda i: rows[i][:3])
+            first = min(members)
             for i in members:
                 if i != first:
-                    order, packed, place, _ = rows[i]
-                    yield order, packed, (place >> 16) - left, (place >> 16) + right
+                    if left > most_left[i]:
+                        most_left[i] = left
+                    if right > most_right[i]:
+                        most_right[i] = right
+        for (order, packed, place, _), left, right in zip(rows, most_left, most_right, strict=True):
+            if right:
+                yield order, packed, (place >> 16) - left, (place >> 16) + right
 
     @staticmethod
     def columns(out: list[tuple[int, int, int, int]]):
@@ -275,13 +292,13 @@ def _strings():
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """ord, packed, a, b: spans of bytes of the texts of ``rows`` (ord, packed, text) that repeat an earlier string of LENGTH bytes; they may overlap."""
-    found = arrow_pass(rows, ANCHOR_SCHEMA, _find_anchors)
+    found = arrow_pass(rows, ANCHOR_SCHEMA, _find_anchors, PIECE)
     by_gram = spread(found, "h").sortWithinPartitions("h", "c", *KEYS, "place")
     first = stored(arrow_pass(by_gram, "h long, ord long, packed long, a long, b long", Grams), "grams")
     spans = first.where("b >= 0").select(*KEYS, "a", "b")
     open_ = first.where("b < 0").select("h", *KEYS, F.col("a").alias("place"))
     listed = open_.groupBy(*KEYS).agg(F.collect_list(F.struct("h", "place")).alias("listed"))
-    around = stored(arrow_pass(rows.join(stored(listed, "listed"), KEYS).select(*KEYS, "text", "listed"), "h long, ord long, packed long, place long, around binary", _surroundings), "around")
+    around = stored(arrow_pass(rows.join(stored(listed, "listed"), KEYS).select(*KEYS, "text", "listed"), "h long, ord long, packed long, place long, around binary", _surroundings, PIECE), "around")
     large = stored(open_.groupBy("h").count().where(F.col("count") > GROUP).select("h"), "large")
     few, many = around, None
     if not large.isEmpty():
@@ -289,7 +306,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     by_gram = spread(few, "h").sortWithinPartitions("h")
     spans = spans.unionByName(arrow_pass(by_gram, "ord long, packed long, a long, b long", Trees))
     if many is not None:
-        strings = stored(arrow_pass(many.select(*KEYS, "place", "around"), "d1 long, d2 long, ord long, packed long, start long", _strings), "strings")
+        strings = stored(arrow_pass(many.select(*KEYS, "place", "around"), "d1 long, d2 long, ord long, packed long, start long", _strings, PIECE // 8), "strings")
         at = F.struct(*KEYS, "start")
         firsts = stored(strings.groupBy("d1", "d2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
         again = strings.join(firsts, ["d1", "d2"]).where(at != F.col("first"))
@@ -333,7 +350,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: Column | str = "
     spans = repeated_spans(rows.select(*KEYS, "text")).groupBy(*KEYS).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     joined = rows.join(spans, KEYS, "left").select("doc_id", "text", "spans")
-    return arrow_pass(joined, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>", _kept)
+    return arrow_pass(joined, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>", _kept, PIECE)
 
 
 def brute_force(texts: Sequence[tuple[int, bytes]], length: int = LENGTH) -> dict[int, list[tuple[int, int]]]:
