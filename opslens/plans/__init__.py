@@ -5,7 +5,7 @@ from importlib import import_module
 
 from .registry import Query
 
-AREAS = ["logs", "balancers", "ops", "sessions", "alerts", "tables"]
+AREAS = ["logs", "balancers", "ops", "sessions", "alerts", "tables", "stores"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -1,10 +1,12 @@
 """Readers of the operational data sets."""
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime, timezone
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import patterns as P
@@ -21,6 +23,8 @@ ID_SCHEMA = ("minute string, source string, store string, page string, category
 MINUTE_FORMAT = "yyyy-MM-dd'T'HH:mmX"
 
 Range = tuple[int, int]
+#: conditions of a scan that finds no file
+NOTHING_THERE = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
 
 
 def _hour_text(ms: int) -> tuple[str, int]:
@@ -51,32 +55,53 @@ def hour_folders(start_ms: int, end_ms: int) -> str:
 def read_logs(spark: SparkSession, root: str, cluster: str, start_ms: int, end_ms: int) -> DataFrame:
     """Log lines of one cluster's hours (``cluster/dt=…/hour=…``), columns joined by name over the files.
 
-    The folders are named by a glob, so joining the schemas reads the footers of those hours only.
+    The folders are named by a glob, so joining the schemas reads the footers of those hours only. Hours without a
+    folder have no lines; a range without any gives an empty frame.
     """
     folder = f"{root.rstrip('/')}/{cluster}"
-    logs = spark.read.option("mergeSchema", "true").option("basePath", folder).parquet(
-        f"{folder}/{hour_folders(start_ms, end_ms)}")
+    reader = spark.read.option("mergeSchema", "true").option("basePath", folder)
+    try:
+        logs = reader.parquet(f"{folder}/{hour_folders(start_ms, end_ms)}")
+    except AnalysisException as e:
+        if e.getCondition() not in NOTHING_THERE:
+            raise
+        return spark.createDataFrame([], "log_time_ms bigint, dt date, hour int")
     return logs.filter(hour_partitions(start_ms, end_ms))
 
 
 def list_clusters(logs: DataFrame) -> DataFrame:
-    """Valid cluster names, sorted; on a table partitioned by cluster only the folders are listed."""
+    """Valid cluster names of log lines, sorted."""
     return logs.select("cluster").filter(F.col("cluster").rlike(P.CLUSTER_NAME)).distinct().orderBy("cluster")
 
 
+def list_cluster_folders(spark: SparkSession, root: str) -> list[str]:
+    """Valid cluster names under a log root, sorted; only the folder is listed, no file is opened."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(path) if s.isDirectory()] if files.exists(path) else []
+    return sorted(n for n in names if re.fullmatch(P.CLUSTER_NAME.strip("^$"), n))
+
+
 def read_access_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """Non-empty raw lines with the file they came from. A gz file is one task: many small files spread."""
     lines = spark.read.text(list(paths), recursiveFileLookup=True)
     return lines.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file")).filter("raw <> ''")
 
 
+def has_files(spark: SparkSession, pattern: str) -> bool:
+    """Whether anything is at a path or glob."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
+
+
 def _in_ranges(t: Column, ranges: Sequence[Range]) -> Column:
     return reduce(lambda a, b: a | b, [within(t, *r) for r in ranges])
 
 
 def _timed_csv(spark: SparkSession, paths: Sequence[str], schema: str, ranges: Sequence[Range] | None,
                **options: str) -> DataFrame:
-    rows = spark.read.csv(list(paths), schema=schema, header=True, recursiveFileLookup=True, **options)
+    there = [p for p in paths if has_files(spark, p)]
+    rows = spark.read.csv(there, schema=schema, header=True, recursiveFileLookup=True, **options) if there else spark.createDataFrame([], schema)
     rows = rows.withColumn("t", F.unix_millis(F.try_to_timestamp("minute", F.lit(MINUTE_FORMAT))))
     return rows.filter(_in_ranges(F.col("t"), ranges)) if ranges else rows
 

@@ -158,3 +158,12 @@ def test_the_screen_shows_forty_variants(rows):
 def test_muted_kinds_are_left_out(rows):
     groups = rows([("no such index [a]", "no such index [<*>]"), ("Invalid zip D01", "Invalid zip <*>")], "example string, error string")
     assert [r.example for r in errors.without_muted(groups, ["NO SUCH"]).collect()] == ["Invalid zip D01"]
+
+
+def test_ranges_without_folders_have_no_lines(spark, tmp_path):
+    folder = tmp_path / "shop-1" / "dt=2026-01-01" / "hour=05"
+    spark.createDataFrame([(5 * 3_600_000,)], "log_time_ms bigint").write.parquet(str(folder))
+    assert readers.list_cluster_folders(spark, str(tmp_path)) == ["shop-1"]
+    assert readers.read_logs(spark, str(tmp_path), "shop-1", 0, 3_600_000).count() == 0
+    assert readers.read_logs(spark, str(tmp_path), "shop-2", 0, 3_600_000).count() == 0
+    assert readers.read_api_metrics(spark, [str(tmp_path / "none" / "dt=*")]).count() == 0
