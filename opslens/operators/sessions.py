@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from ..functions import patterns as P
 from ..functions.figures import pct
 from ..functions.names import category_rank, classify_session_id, page_rank, store_of_index
+from ..functions.text import cut_to
 from ..functions.times import MINUTE, SESSION_RANGE_STEPS, Buckets, floor_to, range_step, within, zone_buckets
 
 WINDOW = 5 * MINUTE
 SOURCES = ["session", "cop"]
 ROW = ["minute_ms", "source", "store", "page", "category", "value"]
-ID_CHARS = 120
 _GOOD = ", ".join(f"'{c}'" for c in P.GOOD_CATEGORIES)
 
 
@@ -57,8 +57,8 @@ def with_coverage(counts: DataFrame, start: int, end: int, sources: Sequence[str
     return counts.unionByName(every)
 
 
-def bad_ids(entries: DataFrame, health_prefix: str, order_columns: Sequence[str] = ("order_id",)) -> DataFrame:
-    """Entries whose session ID is neither valid nor a health check's, one row each."""
+def bad_ids(entries: DataFrame, health_prefix: str, order_columns: Sequence[str] = ("order_id",), id_chars: int | None = None) -> DataFrame:
+    """Entries whose session ID is neither valid nor a health check's, one row each; IDs cut to ``id_chars``, if given."""
     sid = F.col("session_id")
     kind = classify_session_id(sid, health_prefix)
     order = F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in order_columns], F.lit(""))
@@ -66,7 +66,7 @@ def bad_ids(entries: DataFrame, health_prefix: str, order_columns: Sequence[str]
                                        F.lit(False)))
             .select(floor_to("at_ms", WINDOW).alias("minute_ms"), "source", store_of_index(F.col("index")).alias("store"),
                     page_of(F.col("page")).alias("page"), kind.alias("category"),
-                    F.left(F.coalesce(sid, F.lit("")), F.lit(ID_CHARS)).alias("session_id"),
+                    cut_to(F.coalesce(sid, F.lit("")), id_chars).alias("session_id"),
                     order.alias("order_id"), "doc_id", "at_ms"))
 
 
