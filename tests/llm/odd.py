@@ -1,4 +1,4 @@
-"""Small document tables with every odd case at once."""
+"""Small document tables with every odd case at once, as fixtures to import."""
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, h long, node long, _row_file string, copies int, k string, `a b` int"

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from opslens.llm import decontaminate, exact_dedup, mixing, sql, tokens
 
-from conftest import odd_rows  # noqa: I001
+from odd import PASSAGE, given, no_docs, odd_docs, odd_rows  # noqa: F401, I001
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 PIECES = sentencepiece.SentencePieceProcessor(model_file=MODEL)
@@ -112,7 +112,6 @@ def contained(docs, items, share=0.8):
 
 
 def test_items_in_documents_equal_brute_force(spark, odd_docs, no_docs, given):
-    from conftest import PASSAGE
     words = PASSAGE.split()
     items = [(1, PASSAGE), (1, PASSAGE), (2, None), (3, "too short an"), (None, "word1 it1 word2 it2 word3 it3"), (4, " ".join(words[:14] + ["other"])),
              (5, " ".join(words[:10] + ["these", "are", "quite", "other", "words"])), (6, given[0][1][:300])]

@@ -5,7 +5,7 @@ import numpy as np
 
 from opslens.llm import near_dedup, suffix_dedup
 
-from conftest import PASSAGE, odd_rows  # noqa: I001
+from odd import PASSAGE, given, no_docs, odd_docs, odd_rows  # noqa: F401, I001
 
 
 def edited(words, r, n):

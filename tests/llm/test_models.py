@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from opslens.llm import langid, pii, secrets, spans, toxicity
 
-from conftest import odd_rows  # noqa: I001
+from odd import no_docs, odd_docs, odd_rows  # noqa: F401, I001
 
 SMALL = "/root/testdata/sf0.01"
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

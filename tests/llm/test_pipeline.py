@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from opslens.llm import near_dedup, sql
 
-from conftest import odd_rows  # noqa: I001
+from odd import no_docs, odd_docs, odd_rows  # noqa: F401, I001
 
 SMALL = "/root/testdata/sf0.001"
 
