@@ -16,13 +16,13 @@ from .components import components
 WORD = re.compile(r"[^\W_]+")
 #: words of a shingle, shingles of a sketch value, values of a sketch, least similarity
 WORDS, PICKED, BANDS, SHARE = 5, 3, 24, 0.8
-#: the smallest shingle hashes kept to estimate overlap, and the least estimate that is aligned: at the overlap 2/3 that the least
-#: similarity of equally long texts means, an estimate from 128 hashes is below a half in 1 of 30,000 pairs; up to 128 shingles it is exact
-BOTTOM, LEAST_OVERLAP = 128, 0.5
+#: the smallest shingle hashes kept to estimate overlap, and how far below the least overlap (2/3 for SHARE) an estimate is still aligned:
+#: 3.5 standard deviations of an estimate from 256 hashes; of texts with fewer shingles the overlap is known exactly
+BOTTOM, DOUBT = 256, 0.105
 #: groups of candidates up to this size are compared in full, larger ones with one of their members and then split further
 SMALL = 8
 #: how often a large group is split, and into how many overlapping parts
-SPLITS, PARTS = 3, 12
+SPLITS, PARTS = 2, 4
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
@@ -104,8 +104,8 @@ def sketches(rows: DataFrame) -> DataFrame:
                 fp.append((xxhash.xxh3_64_intdigest(raw), xxhash.xxh64_intdigest(raw, 9)))
                 n.append(len(h))
                 bands.append(sketch(h, label).view(np.int64))
-                low = np.sort(label)[:BOTTOM] if len(label) <= 4 * BOTTOM else np.sort(np.partition(label, BOTTOM)[:BOTTOM])
-                bottom.append(low.tobytes())
+                low = np.sort(label if len(label) <= BOTTOM else np.partition(label, BOTTOM)[:BOTTOM])
+                bottom.append((low >> np.uint64(32)).astype(np.uint32).tobytes())
             ids = np.array(keep, np.int64)
             fp = np.array(fp, np.uint64).reshape(-1, 2).view(np.int64)
             flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
@@ -116,13 +116,24 @@ def sketches(rows: DataFrame) -> DataFrame:
     return arrow_pass(rows, f"{ROW[0]} long, {ROW[1]} long, doc_id {kind}, fp_a long, fp_b long, n int, bands array<long>, bottom binary", start)
 
 
+def may_be_similar(a: bytes, b: bytes, share: float) -> bool:
+    """Whether the overlap of two texts' smallest hashes leaves it open that ``share`` of the longer one's shingles match.
+
+    Such a match means an overlap of share / (2 - share) or more, whatever the lengths.
+    """
+    exact = max(len(a), len(b)) < 4 * BOTTOM
+    return overlap(a, b) >= share / (2 - share) - (1e-9 if exact else DOUBT)
+
+
 def overlap(a: bytes, b: bytes) -> float:
     """Share of the labelled shingles that two texts have in common, estimated from their smallest hashes."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    union = np.union1d(x, y)
-    if len(x) == BOTTOM or len(y) == BOTTOM:
-        union = union[:BOTTOM]
-    return len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True)) / max(1, len(union))
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.sort(np.concatenate([x, y]))
+    twice = both[1:] == both[:-1]
+    # of the union's smallest values, as many as are known of both
+    upto = BOTTOM if len(x) == BOTTOM or len(y) == BOTTOM else len(both)
+    once = np.flatnonzero(np.r_[True, ~twice])[:upto]
+    return int(twice[: once[-1] + 1].sum()) / len(once) if len(once) else 0.0
 
 
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -160,32 +171,38 @@ def similar(a: np.ndarray, b: np.ndarray, share: float) -> bool:
     return ahead + behind + (aligned(a, b, band) if len(a) and len(b) else 0) >= need
 
 
-def _pairs(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b) of ``groups`` (key, node), and the groups that are too large to compare in full.
+def _pairs(groups: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a < b) of ``groups`` (key, node, band, label, n), and the groups that are too large to compare in full.
 
-    A large group's members are paired with one of them, picked by a hash of key and node.
+    A large group's members are paired with one of them, picked by a hash of key and node. Nodes that are connected already, or whose
+    lengths can't be similar, are not paired.
     """
-    sizes = stored(groups.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key", "node"), "node"))["node"].alias("head")).where("size > 1"), "sizes")
-    members = stored(groups.join(sizes, "key"), "members")
+    head = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "label", "n")).alias("head")
+    sizes = groups.groupBy("key").agg(F.count("*").alias("size"), head, F.min("label").alias("lo"), F.max("label").alias("hi")).where("size > 1 and lo < hi")
+    members = stored(groups.join(stored(sizes.select("key", "size", "head"), "sizes"), "key"), "members")
+
+    def near(x: str, y: str) -> Column:
+        return F.least(x, y) >= F.lit(share) * F.greatest(x, y) - 1e-6
+
     few = members.where(F.col("size") <= SMALL)
-    full = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    one, other = (few.select("key", F.col("node").alias(x), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    full = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & near("n_a", "n_b")).select("a", "b")
     many = members.where(F.col("size") > SMALL)
-    star = many.where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-    return full.unionByName(star).distinct(), many
+    star = many.where((F.col("label") != F.col("head.label")) & near("n", "head.n"))
+    star = star.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
+    return full.unionByName(star).distinct(), many.select("key", "node", "band", "n")
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, sequences: DataFrame, share: float) -> DataFrame:
-    """The ``pairs`` that an alignment confirms, after their lengths and estimated overlap."""
+    """The ``pairs`` that an alignment confirms, after their estimated overlap."""
     def side(df: DataFrame, n: str, *columns: str) -> DataFrame:
         return df.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in columns])
 
-    near = F.least("n_a", "n_b") >= F.lit(share) * F.greatest("n_a", "n_b") - 1e-6
-    close = pairs.join(side(nodes, "a", "n"), "a").join(side(nodes, "b", "n"), "b").where(near).select("a", "b")
-    close = close.join(side(nodes, "a", "bottom"), "a").join(side(nodes, "b", "bottom"), "b")
+    close = pairs.join(side(nodes, "a", "bottom"), "a").join(side(nodes, "b", "bottom"), "b")
 
     def estimate():
         def step(batch: pa.RecordBatch):
-            ok = [overlap(x, y) >= LEAST_OVERLAP for x, y in zip(batch.column("bottom_a").to_pylist(), batch.column("bottom_b").to_pylist(), strict=True)]
+            ok = [may_be_similar(x, y, share) for x, y in zip(batch.column("bottom_a").to_pylist(), batch.column("bottom_b").to_pylist(), strict=True)]
             kept = pa.array(ok, pa.bool_())
             return [batch.column(c).filter(kept) for c in ("a", "b")]
         return step
@@ -236,17 +253,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: Column | str = "
     first = F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)
     same = found.groupBy("fp_a", "fp_b").agg(F.min(first).alias("first"), F.min_by("n", first).alias("n"), F.min_by("bands", first).alias("bands"), F.min_by("bottom", first).alias("bottom"))
     nodes = stored(same.select(F.monotonically_increasing_id().alias("node"), "fp_a", "fp_b", *[F.col(f"first.{c}").alias(c) for c in ROW], "n", "bands", "bottom"), "nodes")
-    groups = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", "band", F.xxhash64("band", "value").alias("key"))
+    groups = nodes.select("node", "n", F.posexplode("bands").alias("band", "value")).select(
+        F.xxhash64("band", "value").alias("key"), "node", "band", F.col("node").alias("label"), "n")
     compared = links = labels = sequences = None
     for split in range(SPLITS + 1):
-        pairs, many = _pairs(groups)
+        pairs, many = _pairs(groups, share)
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         if sequences is None:
             involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
             sequences = _sequences(whole, nodes.join(stored(involved, "involved"), "node"))
-        more = _links(pairs, nodes.select("node", "n", "bottom"), sequences, share)
+        more = _links(pairs, nodes.select("node", "bottom"), sequences, share)
         links = more if links is None else links.unionByName(more)
         labels = components(links)
         if split == SPLITS:
@@ -254,12 +272,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: Column | str = "
         compared = pairs if compared is None else compared.unionByName(pairs)
         marked = many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        rest = stored(marked.join(stored(open_keys, "open"), "key").select("key", "node", "band"), "rest")
+        rest = stored(marked.join(stored(open_keys, "open"), "key").select("key", "node", "band", "label", "n"), "rest")
         if rest.isEmpty():
             break
         steps = F.explode(F.transform(F.sequence(F.lit(1), F.lit(PARTS)), lambda i: (F.col("band") + i) % BANDS)).alias("band")
-        finer = rest.select("key", "node", steps).join(nodes.select("node", "bands"), "node")
-        groups = finer.select("node", "band", F.xxhash64("key", "band", F.get("bands", F.col("band"))).alias("key"))
+        finer = rest.select("key", "node", "label", "n", steps).join(nodes.select("node", "bands"), "node")
+        groups = finer.select(F.xxhash64("key", "band", F.get("bands", F.col("band"))).alias("key"), "node", "band", "label", "n")
     classed = nodes.join(labels, "node", "left").select("fp_a", "fp_b", F.coalesce("label", "node").alias("class"))
     members = stored(found.select(*ROW, "doc_id", "fp_a", "fp_b").join(stored(classed, "classed"), ["fp_a", "fp_b"]).select(*ROW, "doc_id", "class"), "members")
     heads = stored(members.groupBy("class").agg(F.min(first).alias("head"), F.count("*").alias("class_size")), "heads")
