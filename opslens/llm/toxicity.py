@@ -21,7 +21,7 @@ SAMPLE_ROWS, VOCABULARY = 2_500, 400_000
 #: characters of an n-gram, discount of counts, words of a passage
 ORDER, DISCOUNT, PASSAGE = 6, 0.75, 2
 #: words and n-grams a Python worker remembers
-MEMORY = 1_000_000
+MEMORY = 400_000
 
 
 def grams(word: str) -> list[str]:
