@@ -1,6 +1,7 @@
 """Near duplicates by Order MinHash sketches, verified by banded alignment."""
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
@@ -19,10 +20,10 @@ WORDS, PICKED, BANDS, SHARE = 5, 3, 24, 0.8
 #: the smallest shingle hashes kept to estimate overlap, and how far below the least overlap (2/3 for SHARE) an estimate is still aligned:
 #: 3.5 standard deviations of an estimate from 256 hashes; of texts with fewer shingles the overlap is known exactly
 BOTTOM, DOUBT = 256, 0.105
-#: groups of candidates up to this size are compared in full, larger ones with one of their members and then split further
+#: groups of candidates up to this size are compared in full at once, larger ones with two of their members first
 SMALL = 8
-#: how often a large group is split, and into how many overlapping parts
-SPLITS, PARTS = 2, 4
+#: about so many members of a large group are a block, and what two blocks still have to compare is found in one piece
+BLOCK = 1024
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
@@ -171,28 +172,125 @@ def similar(a: np.ndarray, b: np.ndarray, share: float) -> bool:
     return ahead + behind + (aligned(a, b, band) if len(a) and len(b) else 0) >= need
 
 
-def _pairs(groups: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b) of ``groups`` (key, node, band, label, n), and the groups that are too large to compare in full.
+def _near(x: str, y: str, share: float) -> Column:
+    """Whether the lengths ``x`` and ``y`` can be those of similar texts."""
+    return F.least(x, y) >= F.lit(share) * F.greatest(x, y) - 1e-6
 
-    A large group's members are paired with one of them, picked by a hash of key and node. Nodes that are connected already, or whose
-    lengths can't be similar, are not paired.
-    """
-    head = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "label", "n")).alias("head")
-    sizes = groups.groupBy("key").agg(F.count("*").alias("size"), head, F.min("label").alias("lo"), F.max("label").alias("hi")).where("size > 1 and lo < hi")
-    members = stored(groups.join(stored(sizes.select("key", "size", "head"), "sizes"), "key"), "members")
 
-    def near(x: str, y: str) -> Column:
-        return F.least(x, y) >= F.lit(share) * F.greatest(x, y) - 1e-6
+def _pairs(groups: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """First candidate pairs (a < b) of ``groups`` (key, node, band, n), and the groups that are too large to compare in full at once.
 
+    A large group's members are paired with two of them: the one whose groups are largest in all, which is the original where the others are
+    copies of it, and one picked by a hash of key and node. Nodes whose lengths can't be similar are not paired.
+    """
+    sizes = stored(groups.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    members = stored(groups.join(sizes, "key"), "members")
     few = members.where(F.col("size") <= SMALL)
-    one, other = (few.select("key", F.col("node").alias(x), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    full = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & near("n_a", "n_b")).select("a", "b")
+    one, other = (few.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    full = one.join(other, "key").where((F.col("a") < F.col("b")) & _near("n_a", "n_b", share)).select("a", "b")
     many = members.where(F.col("size") > SMALL)
-    star = many.where((F.col("label") != F.col("head.label")) & near("n", "head.n"))
+    central = stored(many.groupBy("node").agg(F.sum("size").alias("reach")), "central")
+    hub, some = F.max(F.struct("reach", "h", "node", "n")), F.min(F.struct("h", "node", "n"))
+    picked = many.join(central, "node").withColumn("h", F.xxhash64("key", "node")).groupBy("key").agg(hub.alias("hub"), some.alias("some"))
+    heads = picked.select("key", F.array_distinct(F.array(*[F.struct(F.col(f"{x}.node").alias("node"), F.col(f"{x}.n").alias("n")) for x in ("hub", "some")])).alias("heads"))
+    star = many.join(stored(heads, "heads"), "key").select("node", "n", F.explode("heads").alias("head")).where((F.col("node") != F.col("head.node")) & _near("n", "head.n", share))
     star = star.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
     return full.unionByName(star).distinct(), many.select("key", "node", "band", "n")
 
 
+def _unlinked(many: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, band, n, label of the large groups that are not one component yet."""
+    marked = many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return stored(marked.join(stored(open_keys, "open"), "key").select("key", "node", "band", "n", "label"), "rest")
+
+
+def common_counts(bottoms: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of their smallest hashes each of the texts ``a`` has in common with each of ``b`` (positions in ``bottoms``)."""
+    lengths = np.array([len(x) // 4 for x in bottoms])
+    _, column, often = np.unique(np.frombuffer(b"".join(bottoms), np.uint32), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(bottoms)), lengths)
+    shared = often > 1
+    column, row = (np.cumsum(shared) - 1)[column[shared[column]]], row[shared[column]]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    counts, width = np.zeros((len(a), len(b)), np.float32), 4096
+    for start in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(column, [start, start + width])
+        there = np.zeros((len(bottoms), width), np.float32)
+        there[row[lo:hi], column[lo:hi] - start] = 1
+        counts += there[a] @ there[b].T
+    return counts
+
+
+def open_pairs(unit: pa.Table, share: float, best: bool) -> pa.Table:
+    """a, b: the pairs of two blocks (side 0 and 1) or of one (side 2) of a group that may be similar and are of different labels.
+
+    Pairs that agree in a lower band are left to the group they have there. Of each two labels only the pair with most in common if ``best``.
+    """
+    col = {c: unit.column(c).to_numpy() for c in ("node", "n", "label", "side", "band")}
+    node, n, label, side = col["node"], col["n"], col["label"], col["side"]
+    a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not len(a) or not len(b) or (label == label[0]).all():
+        return none
+    bands = np.array(unit.column("bands").to_pylist(), np.int64)[:, : col["band"][0]]
+    ok = label[a][:, None] != label[b]
+    if side[0] == 2:
+        ok &= node[a][:, None] < node[b]
+    ok &= np.minimum(n[a][:, None], n[b]) >= share * np.maximum(n[a][:, None], n[b]) - 1e-6
+    for q in range(bands.shape[1]):
+        ok &= bands[a, q][:, None] != bands[b, q]
+    at, bt = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+    if not len(at):
+        return none
+    a, b, ok = a[at], b[bt], ok[np.ix_(at, bt)]
+    bottoms = unit.column("bottom").to_pylist()
+    known = np.array([len(x) // 4 for x in bottoms])
+    common = common_counts(bottoms, a, b)
+    x, y = known[a][:, None], known[b]
+    full = np.maximum(x, y) >= BOTTOM
+    # never less than the estimate of ``overlap``, which counts those among the smallest of the union
+    overlap_most = common / np.where(full, np.minimum(BOTTOM, x + y - common), x + y - common)
+    ok &= overlap_most >= share / (2 - share) - np.where(full, DOUBT, 1e-6)
+    i, j = np.nonzero(ok)
+    if best and len(i):
+        u, v = label[a[i]], label[b[j]]
+        lo, hi = np.minimum(u, v), np.maximum(u, v)
+        order = np.lexsort((-overlap_most[i, j], hi, lo))
+        first = np.r_[True, (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])]
+        i, j = i[order[first]], j[order[first]]
+    return pa.table({"a": np.minimum(node[a[i]], node[b[j]]), "b": np.maximum(node[a[i]], node[b[j]])})
+
+
+def _remaining(rest: DataFrame, nodes: DataFrame, share: float, best: bool) -> DataFrame:
+    """The pairs (a < b) of members of the groups ``rest`` (see ``_unlinked``) that have different labels and may be similar, in all or the ``best``.
+
+    Members are dealt into classes of length, of which only equal and adjacent ones can hold similar texts, and within these into blocks.
+    Every two blocks meet in one piece, which compares its members there: no row is made of a pair that lengths or smallest hashes rule out.
+    """
+    width = 1e-6 - math.log(share)
+    placed = rest.withColumn("c", F.floor(F.log("n") / F.lit(width)).cast("int"))
+    sizes = placed.groupBy("key", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    blocks = stored(sizes.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("ks")), "blocks")
+
+    def blocks_of(c: Column) -> Column:
+        k = F.coalesce(F.try_element_at("ks", c), F.lit(0))
+        return F.filter(F.sequence(F.lit(0), k), lambda r: r < k)
+
+    def unit(side, *at: Column) -> Column:
+        return F.struct(F.xxhash64("key", *at).alias("unit"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+
+    c, r = F.col("c"), F.col("r")
+    own = F.transform(blocks_of(c), lambda o: unit(F.when(o == r, 2).when(r < o, 0).otherwise(1), c, F.least(r, o), c, F.greatest(r, o)))
+    after = F.transform(blocks_of(c + 1), lambda o: unit(0, c, r, c + 1, o))
+    before = F.transform(blocks_of(c - 1), lambda o: unit(1, c - 1, o, c, r))
+    dealt = placed.join(blocks, "key").withColumn("r", F.pmod(F.xxhash64("node"), F.element_at("ks", c)).cast("int"))
+    dealt = dealt.select("node", "band", "n", "label", F.explode(F.concat(own, after, before)).alias("at")).select("node", "band", "n", "label", "at.unit", "at.side")
+    dealt = dealt.join(nodes.select("node", "bands", "bottom"), "node")
+    return dealt.groupBy("unit").applyInArrow(lambda t: open_pairs(t, share, best), "a long, b long").distinct()
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, sequences: DataFrame, share: float) -> DataFrame:
     """The ``pairs`` that an alignment confirms, after their estimated overlap."""
     def side(df: DataFrame, n: str, *columns: str) -> DataFrame:
@@ -243,9 +341,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: Column | str = "
     sketches. A null or empty text, or one without a word, is a class of its own. Other columns of ``docs`` don't matter.
 
     Candidates share one of BANDS sketch values. At the least similarity (equal lengths) a band agrees with probability 0.3, so that a pair is
-    overlooked in 1 of 5,000 cases, and above it in far fewer. Groups of candidates are compared in full up to SMALL members. A
-    larger group is compared with one member of it; what isn't connected then is split by further sketch values, in overlapping parts with heads of their own, so
-    that no group is ever expanded into all its pairs.
+    overlooked in 1 of 5,000 cases, and above it in far fewer. Groups of candidates are compared in full, whatever their size: up to SMALL members
+    at once; a larger one first with two of its members, then, if that leaves it in several components, the likeliest pair of
+    each two of them, and at last every pair of members that are still in different ones.
     """
     source = materialized(docs)
     whole = keyed(source, doc_id=key, text=F.col(text).cast("string") if isinstance(text, str) else text)
@@ -253,31 +351,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: Column | str = "
     first = F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)
     same = found.groupBy("fp_a", "fp_b").agg(F.min(first).alias("first"), F.min_by("n", first).alias("n"), F.min_by("bands", first).alias("bands"), F.min_by("bottom", first).alias("bottom"))
     nodes = stored(same.select(F.monotonically_increasing_id().alias("node"), "fp_a", "fp_b", *[F.col(f"first.{c}").alias(c) for c in ROW], "n", "bands", "bottom"), "nodes")
-    groups = nodes.select("node", "n", F.posexplode("bands").alias("band", "value")).select(
-        F.xxhash64("band", "value").alias("key"), "node", "band", F.col("node").alias("label"), "n")
+    groups = nodes.select("node", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "node", "band", "n")
+    pairs, many = _pairs(groups, share)
     compared = links = labels = sequences = None
-    for split in range(SPLITS + 1):
-        pairs, many = _pairs(groups, share)
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+    for step in ("first", "best", "all"):
+        if step != "first":
+            rest = _unlinked(many, labels)
+            if rest.isEmpty():
+                break
+            pairs = _remaining(rest, nodes, share, step == "best").join(compared, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        if sequences is None:
-            involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            sequences = _sequences(whole, nodes.join(stored(involved, "involved"), "node"))
+        involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if sequences is not None:
+            involved = involved.join(sequences.select("node"), "node", "left_anti")
+        more = _sequences(whole, nodes.join(stored(involved, "involved"), "node"))
+        sequences = more if sequences is None else sequences.unionByName(more)
         more = _links(pairs, nodes.select("node", "bottom"), sequences, share)
         links = more if links is None else links.unionByName(more)
-        labels = components(links)
-        if split == SPLITS:
-            break
         compared = pairs if compared is None else compared.unionByName(pairs)
-        marked = many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        rest = stored(marked.join(stored(open_keys, "open"), "key").select("key", "node", "band", "label", "n"), "rest")
-        if rest.isEmpty():
-            break
-        steps = F.explode(F.transform(F.sequence(F.lit(1), F.lit(PARTS)), lambda i: (F.col("band") + i) % BANDS)).alias("band")
-        finer = rest.select("key", "node", "label", "n", steps).join(nodes.select("node", "bands"), "node")
-        groups = finer.select(F.xxhash64("key", "band", F.get("bands", F.col("band"))).alias("key"), "node", "band", "label", "n")
+        labels = components(links)
     classed = nodes.join(labels, "node", "left").select("fp_a", "fp_b", F.coalesce("label", "node").alias("class"))
     members = stored(found.select(*ROW, "doc_id", "fp_a", "fp_b").join(stored(classed, "classed"), ["fp_a", "fp_b"]).select(*ROW, "doc_id", "class"), "members")
     heads = stored(members.groupBy("class").agg(F.min(first).alias("head"), F.count("*").alias("class_size")), "heads")

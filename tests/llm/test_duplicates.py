@@ -28,6 +28,42 @@ def test_classes_equal_brute_force(spark, given):
     assert len({got[1000 + i] for i in range(40)}) < 40 and len({got[2000 + i] for i in range(30)}) == 30
 
 
+def classes(spark, rows):
+    return {x.doc_id: x.class_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+
+
+def changed(words, r, n, own):
+    words = list(words)
+    for i in r.sample(range(len(words)), n):
+        words[i] = f"{own}x{i}"
+    return " ".join(words)
+
+
+def test_copies_alike_only_by_their_original_are_one_class(spark):
+    r = random.Random(11)
+    original = [f"word{r.randrange(10**6)}" for _ in range(1000)]
+    rows = [(0, " ".join(original))] + [(i, changed(original, r, 33, f"own{i}")) for i in range(1, 601)]
+    seqs = [near_dedup.shingle_hashes(near_dedup.word_hashes(t, near_dedup.Words())) for _, t in rows[:40]]
+    assert not any(near_dedup.similar(a, b, 0.8) for i, a in enumerate(seqs[1:]) for b in seqs[1 : i + 1])
+    want = near_dedup.brute_force(rows)
+    assert set(want.values()) == {0}
+    assert classes(spark, rows) == want
+
+
+def test_large_groups_of_many_classes_equal_brute_force(spark, monkeypatch):
+    r = random.Random(12)
+    common = [f"word{r.randrange(10**6)}" for _ in range(210)]
+    rows = []
+    for i in range(60):  # 70 % the same in all, so that groups are large, but only the three of a kind are similar
+        own = [f"kind{i}x{j}" for j in range(90)]
+        rows += [(10 * i + k, changed(common + own, r, 4, f"own{i}k{k}")) for k in range(3)]
+    want = near_dedup.brute_force(rows)
+    assert len(set(want.values())) == 60
+    assert classes(spark, rows) == want
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)  # many blocks
+    assert classes(spark, rows) == want
+
+
 def test_odd_rows_are_classes_of_their_own(odd_docs, no_docs):
     found = near_dedup.near_duplicates(odd_docs).collect()
     assert len(found) == len(odd_rows())
