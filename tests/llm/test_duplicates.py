@@ -64,6 +64,19 @@ def test_large_groups_of_many_classes_equal_brute_force(spark, monkeypatch):
     assert classes(spark, rows) == want
 
 
+def test_estimates_far_below_the_overlap_are_still_aligned():
+    v = np.arange(1, 400, dtype=np.uint32)
+    both, one, other, above = v[:142], v[142:256:2], v[143:256:2], v[256:]
+    x, y = np.r_[both, one, above[::2][:57]].tobytes(), np.r_[both, other, above[1::2][:57]].tobytes()
+    assert near_dedup.overlap(x, y) == 142 / 256  # of texts of an overlap of 2/3, 3.8 standard deviations below it
+    assert near_dedup.may_be_similar(x, y, 0.8) and not near_dedup.may_be_similar(x, y, 0.9)
+
+
+def test_a_repeated_shingle_leaves_the_labels_of_the_others():
+    once, twice = np.array([5, 7, 9], np.uint64), np.array([5, 7, 9, 7], np.uint64)
+    assert near_dedup.labelled(once).tolist() == near_dedup.labelled(twice)[:3].tolist() and len(set(near_dedup.labelled(twice).tolist())) == 4
+
+
 def test_odd_rows_are_classes_of_their_own(odd_docs, no_docs):
     found = near_dedup.near_duplicates(odd_docs).collect()
     assert len(found) == len(odd_rows())
