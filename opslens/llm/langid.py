@@ -39,12 +39,15 @@ class Model:
 
     def backed_off(self, word: str) -> np.ndarray:
         """Mean log frequencies of the longest n-grams of ``word`` that the model knows; zeros if it knows none."""
-        padded = f"^{word[:64]}${word[-64:]}$" if len(word) > 128 else f"^{word}$"
+        padded = f"^{word}$"
         for n in LENGTHS:
-            known = self.grams[n]
-            rows = [known[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in known]
-            if rows:
-                return self.gram_logs[n][rows].mean(0)
+            known, total, found = self.grams[n], 0.0, 0
+            for a in range(0, len(padded) - n + 1, 4096):  # long runs in pieces
+                rows = [known[g] for i in range(a, min(a + 4096, len(padded) - n + 1)) if (g := padded[i : i + n]) in known]
+                if rows:
+                    total, found = total + self.gram_logs[n][rows].sum(0), found + len(rows)
+            if found:
+                return total / found
         return np.zeros(len(self.languages))
 
 

@@ -37,6 +37,14 @@ def test_languages_of_held_out_rows(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in langid.predictions(odd_docs, unlearned, doc_id="doc_id").collect()} == {"und"}
 
 
+def test_long_runs_are_scored_whole():
+    import numpy as np
+    logs = np.array([[-1.0, -3.0], [-3.0, -1.0]])
+    model = langid.Model(["a", "b"], {}, np.zeros((0, 2)), {n: {"x": 0, "y": 1} if n == 1 else {} for n in langid.LENGTHS}, {n: logs for n in langid.LENGTHS})
+    for k in (10, 100, 9000):  # the middle says b
+        assert np.allclose(model.backed_off("x" * 64 + "y" * k + "x" * 64), (128 * logs[0] + k * logs[1]) / (128 + k))
+
+
 def test_toxicity_of_held_out_rows(spark, odd_docs, no_docs):
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
     held_out = langid.remainder("doc_id", 5) == 0
