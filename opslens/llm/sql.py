@@ -60,3 +60,45 @@ shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM doc_shingles JOIN i
 SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles::DOUBLE AS containment
 FROM shared JOIN sizes USING (item_id) WHERE n_shared >= ceil(round(n_shingles * 0.8, 6))
 """
+
+#: CRC-32 (reflected polynomial 0xEDB88320) of distinct features, byte by byte: table of 256 entries by its rule, then one step a byte
+RESAMPLING = r"""
+WITH RECURSIVE
+bits(byte, k, c) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL
+  SELECT byte, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+crc_table AS (SELECT byte, c FROM bits WHERE k = 8),
+words AS MATERIALIZED (
+  SELECT 0 AS side, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+runs AS (
+  SELECT side, id, unnest(w) AS f FROM words
+  UNION ALL SELECT side, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+  UNION ALL SELECT side, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM words),
+counted AS MATERIALIZED (SELECT side, id, f, count(*) AS n FROM runs GROUP BY ALL),
+names AS MATERIALIZED (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)),
+steps(f, h, pos, c) AS (
+  SELECT f, h, 1, 4294967295::BIGINT FROM names
+  UNION ALL
+  SELECT f, h, pos + 2, xor(x.c // 256, y.c)
+  FROM steps x JOIN crc_table y ON y.byte = xor(x.c % 256, ('0x' || substring(h, pos, 2))::BIGINT) WHERE pos < len(h)),
+buckets AS (SELECT f, xor(c, 4294967295) % 10000 AS bucket FROM steps WHERE pos > len(h)),
+placed AS MATERIALIZED (SELECT side, id, bucket, sum(n)::BIGINT AS n FROM counted JOIN buckets USING (f) GROUP BY ALL),
+per_bucket AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t FROM placed GROUP BY bucket),
+totals AS (SELECT sum(s) AS s, sum(t) AS t FROM per_bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((p.t + 1) * (a.s + 10000) / ((p.s + 1) * (a.t + 10000))))::BIGINT AS gain FROM per_bucket p, totals a),
+weights AS (SELECT id AS doc_id, sum(n * gain)::BIGINT AS weight FROM placed JOIN gain USING (bucket) WHERE side = 0 GROUP BY id),
+scored AS (
+  SELECT id AS doc_id, coalesce(len(w), 0) AS n_words, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substring(sha256('42:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN weights ON id = doc_id WHERE side = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, CAST(greatest(n_words, 0) + greatest(n_words - 1, 0) + greatest(n_words - 2, 0) AS BIGINT) AS n_features, weight, score,
+       CASE WHEN n_words >= 20 AND place <= 5 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100 THEN place END AS rank
+FROM ranked
+"""
