@@ -1,12 +1,13 @@
 """Near duplicates by Order MinHash sketches, verified by banded alignment."""
 from __future__ import annotations
 
-import math
+import functools
 import re
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,18 +16,26 @@ from .common import ROW, arrow_pass, keyed, materialized, mixed, only_rows, stor
 from .components import components
 
 WORD = re.compile(r"[^\W_]+")
-#: words of a shingle, shingles of a sketch value, values of a sketch, least similarity
-WORDS, PICKED, BANDS, SHARE = 5, 3, 24, 0.8
+#: words of a shingle, least similarity
+WORDS, SHARE = 5, 0.8
+#: shingles of a sketch value, values of a sketch: of all texts, then of those in groups too large to compare. Either way two texts at the least
+#: similarity share no value in 1 of 5,000 cases (0.3 for three shingles, 0.09 for six)
+TIERS = ((3, 24), (6, 96))
 #: the smallest shingle hashes kept to estimate overlap, and how far below the least overlap (2/3 for SHARE) an estimate is still aligned:
 #: 5 standard deviations of an estimate from 256 hashes (1 in 3 million); of texts with fewer shingles the overlap is known exactly
 BOTTOM, DOUBT = 256, 0.1475
 #: groups of candidates up to this size are compared in full at once, larger ones with two of their members first
 SMALL = 8
-#: about so many members of a large group are a block, and what two blocks still have to compare is found in one piece
-BLOCK = 1024
+#: members, and shingles of all of them, up to which a group is compared within one task
+BLOCK, WEIGHT = 2048, 8_000_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_SEEDS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
+
+
+def seeds(tier: int) -> np.ndarray:
+    """An odd multiplier for each value of a sketch."""
+    first = 1 + 1000 * tier
+    return mixed(np.arange(first, first + TIERS[tier][1], dtype=np.uint64) * _GOLDEN) | np.uint64(1)
 
 
 class Words(dict):
@@ -69,29 +78,35 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(h: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """One value a band: the PICKED labelled shingles with the smallest hashes of the band, hashed together in text order."""
-    n, k = len(label), min(PICKED, len(label))
-    best = np.empty((BANDS, 0), np.int64)
+def sketch(h: np.ndarray, label: np.ndarray, tier: int, by: np.ndarray) -> np.ndarray:
+    """One value for each of the ``seeds`` ``by``: the labelled shingles with the smallest hashes, hashed together in text order."""
+    n, picked = len(label), TIERS[tier][0]
+    k = min(picked, n)
+    best = np.empty((len(by), 0), np.int64)
     for a in range(0, n, 4096):  # long texts in pieces
-        at = np.concatenate([best, np.broadcast_to(np.arange(a, min(n, a + 4096)), (BANDS, min(n, a + 4096) - a))], 1)
-        v = label[at] * _SEEDS[:, None]
+        at = np.concatenate([best, np.broadcast_to(np.arange(a, min(n, a + 4096)), (len(by), min(n, a + 4096) - a))], 1)
+        v = label[at] * by[:, None]
         v ^= v >> np.uint64(31)
         v *= _GOLDEN
         best = np.take_along_axis(at, np.argpartition(v, min(k, v.shape[1]) - 1, axis=1)[:, :k], 1)
     best.sort(1)
-    value = np.zeros(BANDS, np.uint64)
+    value = np.zeros(len(by), np.uint64)
     for i in range(k):
         value = mixed(value * np.uint64(31) + h[best[:, i]])
     return value
 
 
+def as_lists(values: list[np.ndarray], width: int) -> pa.ListArray:
+    flat = pa.array(np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * width), flat)
+
+
 def sketches(rows: DataFrame) -> DataFrame:
     """ROW, doc_id, fp_a, fp_b (identity of the words in order), n (shingles), bands, bottom; texts without a word are left out."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def start():
-        words = Words()
+        words, by = Words(), seeds(0)
 
         def step(batch: pa.RecordBatch):
             keep, fp, n, bands, bottom = [], [], [], [], []
@@ -105,19 +120,36 @@ def sketches(rows: DataFrame) -> DataFrame:
                 raw = w.tobytes()
                 fp.append((xxhash.xxh3_64_intdigest(raw), xxhash.xxh64_intdigest(raw, 9)))
                 n.append(len(h))
-                bands.append(sketch(h, label).view(np.int64))
+                bands.append(sketch(h, label, 0, by))
                 low = np.sort(label if len(label) <= BOTTOM else np.partition(label, BOTTOM)[:BOTTOM])
                 bottom.append((low >> np.uint64(32)).astype(np.uint32).tobytes())
             ids = np.array(keep, np.int64)
             fp = np.array(fp, np.uint64).reshape(-1, 2).view(np.int64)
-            flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * BANDS), flat)
-            return [*[batch.column(c).take(pa.array(ids)) for c in (*ROW, "doc_id")], pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(n, pa.int32()), lists, pa.array(bottom, pa.binary())]
+            return [*[batch.column(c).take(pa.array(ids)) for c in (*ROW, "doc_id")], pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(n, pa.int32()), as_lists(bands, len(by)),
+                    pa.array(bottom, pa.binary())]
         return step
 
     return arrow_pass(rows, f"{ROW[0]} long, {ROW[1]} long, doc_id {kind}, fp_a long, fp_b long, n int, bands array<long>, bottom binary", start)
 
 
+def further_sketches(docs: DataFrame, nodes: DataFrame, tier: int) -> DataFrame:
+    """``nodes`` (ROW, node, n, bottom) with the sketch values of a further tier as bands."""
+    rows = docs.join(nodes, ROW).select("node", "n", "bottom", "text")
+
+    def start():
+        words, by = Words(), seeds(tier)
+
+        def step(batch: pa.RecordBatch):
+            values = []
+            for text in texts(batch, "text"):
+                h = shingle_hashes(word_hashes(text, words))
+                values.append(sketch(h, labelled(h), tier, by))
+            return [*[batch.column(c) for c in ("node", "n", "bottom")], as_lists(values, len(by))]
+        return step
+
+    return stored(arrow_pass(rows, "node long, n int, bottom binary, bands array<long>", start), "further")
+
+
 def may_be_similar(a: bytes, b: bytes, share: float) -> bool:
     """Whether the overlap of two texts' smallest hashes leaves it open that ``share`` of the longer one's shingles match.
 
@@ -203,10 +235,11 @@ def _pairs(groups: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
 
 
 def _unlinked(many: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, node, band, n, label of the large groups that are not one component yet."""
+    """key, node, band, n, label, k of the large groups that are not one component yet; k blocks of a group can be compared within a task each."""
     marked = many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    return stored(marked.join(stored(open_keys, "open"), "key").select("key", "node", "band", "n", "label"), "rest")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / WEIGHT)).cast("int")
+    open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks.alias("k")).where("lo < hi").select("key", "k")
+    return stored(marked.join(stored(open_keys, "open"), "key").select("key", "node", "band", "n", "label", "k"), "rest")
 
 
 def common_counts(bottoms: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -227,15 +260,15 @@ def common_counts(bottoms: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndar
     return counts
 
 
-def open_pairs(unit: pa.Table, share: float, best: bool) -> pa.Table:
-    """a, b: the pairs of two blocks (side 0 and 1) or of one (side 2) of a group that may be similar and are of different labels.
+def open_pairs(unit: pa.Table, share: float) -> pa.Table:
+    """unit, node, label, partners of the members of a group (side 2), or of two blocks of one (side 0 and 1), that may be similar to one of another label.
 
-    Pairs that agree in a lower band are left to the group they have there. Of each two labels only the pair with most in common if ``best``.
+    Partners are nodes, the likeliest first; each pair is with one of the two. Pairs that agree in a lower band are left to the group they have there.
     """
     col = {c: unit.column(c).to_numpy() for c in ("node", "n", "label", "side", "band")}
     node, n, label, side = col["node"], col["n"], col["label"], col["side"]
     a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    none = pa.table({"unit": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "label": pa.array([], pa.int64()), "partners": pa.array([], pa.list_(pa.int64()))})
     if not len(a) or not len(b) or (label == label[0]).all():
         return none
     bands = np.array(unit.column("bands").to_pylist(), np.int64)[:, : col["band"][0]]
@@ -255,44 +288,69 @@ def open_pairs(unit: pa.Table, share: float, best: bool) -> pa.Table:
     x, y = known[a][:, None], known[b]
     full = np.maximum(x, y) >= BOTTOM
     # never less than the estimate of ``overlap``, which counts those among the smallest of the union
-    overlap_most = common / np.where(full, np.minimum(BOTTOM, x + y - common), x + y - common)
-    ok &= overlap_most >= share / (2 - share) - np.where(full, DOUBT, 1e-6)
+    common /= np.where(full, np.minimum(BOTTOM, x + y - common), x + y - common)
+    ok &= common >= share / (2 - share) - np.where(full, DOUBT, 1e-6)
     i, j = np.nonzero(ok)
-    if best and len(i):
-        u, v = label[a[i]], label[b[j]]
-        lo, hi = np.minimum(u, v), np.maximum(u, v)
-        order = np.lexsort((-overlap_most[i, j], hi, lo))
-        first = np.r_[True, (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])]
-        i, j = i[order[first]], j[order[first]]
-    return pa.table({"a": np.minimum(node[a[i]], node[b[j]]), "b": np.maximum(node[a[i]], node[b[j]])})
-
+    if not len(i):
+        return none
+    order = np.lexsort((-common[i, j], i))
+    i, j = i[order], j[order]
+    members = np.unique(np.r_[a[i], b[j]])
+    counts = np.bincount(np.searchsorted(members, a[i]), minlength=len(members))
+    offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+    partners = pa.ListArray.from_arrays(offsets, pa.array(node[b[j]]))
+    return pa.table({"unit": unit.column("unit").take(pa.array(members)), "node": node[members], "label": label[members], "partners": partners})
+
+
+def confirmed_links(unit: pa.Table, share: float) -> pa.Table:
+    """a, b: of the pairs that ``open_pairs`` gives for a unit, those that an alignment of their seq confirms and that connect two components; fewer than members."""
+    node, label, counts = unit.column("node").to_numpy(), unit.column("label").to_numpy(), pa.compute.list_value_length(unit.column("partners")).to_numpy()
+    seqs = [np.frombuffer(x.as_buffer(), np.uint64) for x in unit.column("seq")]
+    kinds: list[np.ndarray | None] = [None] * len(seqs)
+    order = np.argsort(node)
+    one = np.repeat(np.arange(len(node)), counts)
+    other = order[np.searchsorted(node, pa.compute.list_flatten(unit.column("partners")).to_numpy(), sorter=order)]
+    turn = np.argsort(np.arange(len(one)) - np.repeat(np.cumsum(counts) - counts, counts), kind="stable")  # everybody's likeliest first
+    head = {int(x): int(x) for x in label}
 
-def _remaining(rest: DataFrame, nodes: DataFrame, share: float, best: bool) -> DataFrame:
-    """The pairs (a < b) of members of the groups ``rest`` (see ``_unlinked``) that have different labels and may be similar, in all or the ``best``.
+    def find(x: int) -> int:
+        while head[x] != x:
+            head[x] = x = head[head[x]]
+        return x
 
-    Members are dealt into classes of length, of which only equal and adjacent ones can hold similar texts, and within these into blocks.
-    Every two blocks meet in one piece, which compares its members there: no row is made of a pair that lengths or smallest hashes rule out.
+    def kind(i: int) -> np.ndarray:
+        if kinds[i] is None:
+            kinds[i] = np.sort(labelled(seqs[i]))
+        return kinds[i]
+
+    links = []
+    for i, j in zip(one[turn].tolist(), other[turn].tolist(), strict=True):
+        x, y = find(int(label[i])), find(int(label[j]))
+        if x == y:
+            continue
+        # an alignment matches no more than the shingles that both hold
+        both = np.sort(np.concatenate([kind(i), kind(j)]))
+        if np.count_nonzero(both[1:] == both[:-1]) >= share * max(len(seqs[i]), len(seqs[j])) - 1e-6 and similar(seqs[i], seqs[j], share):
+            head[max(x, y)] = min(x, y)
+            links.append((node[i], node[j]))
+    found = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+
+def _compared(rest: DataFrame, nodes: DataFrame, share: float, sequences) -> DataFrame:
+    """Links of members of the groups ``rest`` (see ``_unlinked``) that connect their components.
+
+    A group is one piece; one of several blocks is a piece for each two of them. A first pass over a piece's smallest hashes tells which members need their
+    ``sequences`` (a function of nodes); a second one aligns them. No row is made of a pair, only of members and of links.
     """
-    width = 1e-6 - math.log(share)
-    placed = rest.withColumn("c", F.floor(F.log("n") / F.lit(width)).cast("int"))
-    sizes = placed.groupBy("key", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    blocks = stored(sizes.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("ks")), "blocks")
-
-    def blocks_of(c: Column) -> Column:
-        k = F.coalesce(F.try_element_at("ks", c), F.lit(0))
-        return F.filter(F.sequence(F.lit(0), k), lambda r: r < k)
-
-    def unit(side, *at: Column) -> Column:
-        return F.struct(F.xxhash64("key", *at).alias("unit"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
-
-    c, r = F.col("c"), F.col("r")
-    own = F.transform(blocks_of(c), lambda o: unit(F.when(o == r, 2).when(r < o, 0).otherwise(1), c, F.least(r, o), c, F.greatest(r, o)))
-    after = F.transform(blocks_of(c + 1), lambda o: unit(0, c, r, c + 1, o))
-    before = F.transform(blocks_of(c - 1), lambda o: unit(1, c - 1, o, c, r))
-    dealt = placed.join(blocks, "key").withColumn("r", F.pmod(F.xxhash64("node"), F.element_at("ks", c)).cast("int"))
-    dealt = dealt.select("node", "band", "n", "label", F.explode(F.concat(own, after, before)).alias("at")).select("node", "band", "n", "label", "at.unit", "at.side")
-    dealt = dealt.join(nodes.select("node", "bands", "bottom"), "node")
-    return dealt.groupBy("unit").applyInArrow(lambda t: open_pairs(t, share, best), "a long, b long").distinct()
+    r, k = F.col("r"), F.col("k")
+    unit = F.transform(F.sequence(F.lit(0), k - 1), lambda o: F.struct(
+        F.when(k == 1, F.col("key")).otherwise(F.xxhash64("key", F.least(r, o), F.greatest(r, o))).alias("unit"), F.when(o == r, 2).when(r < o, 0).otherwise(1).alias("side")))
+    dealt = rest.withColumn("r", F.pmod(F.xxhash64("node"), k).cast("int")).select("node", "band", "n", "label", F.explode(unit).alias("at"))
+    dealt = dealt.select("node", "band", "n", "label", "at.unit", "at.side").join(nodes.select("node", "bands", "bottom"), "node")
+    left = stored(dealt.groupBy("unit").applyInArrow(lambda t: open_pairs(t, share), "unit long, node long, label long, partners array<long>"), "left")
+    whole = left.join(sequences(left.select("node").distinct()), "node")
+    return stored(whole.groupBy("unit").applyInArrow(lambda t: confirmed_links(t, share), "a long, b long"), "confirmed")
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, sequences: DataFrame, share: float) -> DataFrame:
@@ -336,6 +394,17 @@ def _sequences(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(arrow_pass(rows, "node long, seq binary", start), "sequences")
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components ``labels`` (see ``components``) after further ``links``, which are few: they are carried over to components before these are joined."""
+    if labels is None:
+        return stored(components(links), "labels")
+    a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    more = stored(components(between.where("a <> b")), "more")
+    moved = more.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return stored(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")).unionByName(more), "labels")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: Column | str = "text", share: float = SHARE) -> DataFrame:
     """One row per row of ``docs``: ROW, doc_id (``key``), class_id, class_size, kept.
 
@@ -344,10 +413,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: Column | str = "
     and that row stays (null keys are last; of rows that agree in the key the first in its file). Texts with the same words are one node with one set of
     sketches. A null or empty text, or one without a word, is a class of its own. Other columns of ``docs`` don't matter.
 
-    Candidates share one of BANDS sketch values. At the least similarity (equal lengths) a band agrees with probability 0.3, so that a pair is
+    Candidates share a sketch value of the first of TIERS. At the least similarity (equal lengths) a value agrees with probability 0.3, so that a pair is
     overlooked in 1 of 5,000 cases, and above it in far fewer. Groups of candidates are compared in full, whatever their size: up to SMALL members
-    at once; a larger one first with two of its members, then, if that leaves it in several components, the likeliest pair of
-    each two of them, and at last every pair of members that are still in different ones.
+    at once; a larger one first with two of its members, then, if that leaves it in several components, every pair of members that are still in
+    different ones, within one task, which returns links only. A group that is too large for a task (BLOCK, WEIGHT) and still in several components is dealt anew by
+    the values of the next tier, of more shingles and so in smaller groups; one that is too large even by the last tier's is compared in blocks, two by two.
     """
     source = materialized(docs)
     whole = keyed(source, doc_id=key, text=F.col(text).cast("string") if isinstance(text, str) else text)
@@ -355,25 +425,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: Column | str = "
     first = F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)
     same = found.groupBy("fp_a", "fp_b").agg(F.min(first).alias("first"), F.min_by("n", first).alias("n"), F.min_by("bands", first).alias("bands"), F.min_by("bottom", first).alias("bottom"))
     nodes = stored(same.select(F.monotonically_increasing_id().alias("node"), "fp_a", "fp_b", *[F.col(f"first.{c}").alias(c) for c in ROW], "n", "bands", "bottom"), "nodes")
-    groups = nodes.select("node", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "node", "band", "n")
-    pairs, many = _pairs(groups, share)
-    compared = links = labels = sequences = None
-    for step in ("first", "best", "all"):
-        if step != "first":
-            rest = _unlinked(many, labels)
-            if rest.isEmpty():
-                break
-            pairs = _remaining(rest, nodes, share, step == "best").join(compared, ["a", "b"], "left_anti")
+    known = []
+
+    def sequences(wanted: DataFrame) -> DataFrame:
+        """node, seq of the nodes ``wanted``; what was made before is not made again."""
+        new = wanted
+        for df in known:
+            new = new.join(df.select("node"), "node", "left_anti")
+        known.append(_sequences(whole, nodes.join(stored(new, "wanted"), "node")))
+        return functools.reduce(DataFrame.unionByName, known)
+
+    labels, level = None, nodes.select("node", "n", "bands", "bottom")
+    for tier in range(len(TIERS)):
+        groups = level.select("node", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "node", "band", "n")
+        pairs, many = _pairs(groups, share)
         pairs = stored(pairs, "pairs")
         involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        if sequences is not None:
-            involved = involved.join(sequences.select("node"), "node", "left_anti")
-        more = _sequences(whole, nodes.join(stored(involved, "involved"), "node"))
-        sequences = more if sequences is None else sequences.unionByName(more)
-        more = _links(pairs, nodes.select("node", "bottom"), sequences, share)
-        links = more if links is None else links.unionByName(more)
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        labels = components(links)
+        labels = _merged(labels, _links(pairs, level.select("node", "bottom"), sequences(involved), share))
+        rest = _unlinked(many, labels)
+        if rest.isEmpty():
+            break
+        last = tier == len(TIERS) - 1
+        labels = _merged(labels, _compared(rest if last else rest.where("k = 1"), level, share, sequences))
+        large = None if last else stored(_unlinked(many.join(rest.where("k > 1").select("key").distinct(), "key"), labels).select("node").distinct(), "large")
+        if last or large.isEmpty():
+            break
+        level = further_sketches(whole, nodes.select(*ROW, "node", "n", "bottom").join(large, "node"), tier + 1)
     classed = nodes.join(labels, "node", "left").select("fp_a", "fp_b", F.coalesce("label", "node").alias("class"))
     members = stored(found.select(*ROW, "doc_id", "fp_a", "fp_b").join(stored(classed, "classed"), ["fp_a", "fp_b"]).select(*ROW, "doc_id", "class"), "members")
     heads = stored(members.groupBy("class").agg(F.min(first).alias("head"), F.count("*").alias("class_size")), "heads")

@@ -60,7 +60,9 @@ def test_large_groups_of_many_classes_equal_brute_force(spark, monkeypatch):
     want = near_dedup.brute_force(rows)
     assert len(set(want.values())) == 60
     assert classes(spark, rows) == want
-    monkeypatch.setattr(near_dedup, "BLOCK", 7)  # many blocks
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)  # a second tier, and blocks where that leaves larger groups
+    assert classes(spark, rows) == want
+    monkeypatch.setattr(near_dedup, "WEIGHT", 3000)  # blocks of few long texts
     assert classes(spark, rows) == want
 
 
