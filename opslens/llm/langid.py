@@ -1,7 +1,6 @@
 """Language identification: known words by log frequency, unseen ones by progressively shorter character n-grams."""
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from functools import cached_property
@@ -12,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROW, arrow_pass, keyed, materialized, only_rows, stored, texts
+from .words import letter_words
 
-WORD = re.compile(r"[^\W\d_]+")
 #: the sample a model is fitted on: rows of each language (those with the smallest hash of the key) and words in all (the most frequent)
 SAMPLE_ROWS, VOCABULARY = 2_000, 150_000
 #: lengths of n-grams, longest first; of each length the most frequent are kept
@@ -111,7 +110,7 @@ class Scorer(dict):
 
     def predict(self, text: str) -> tuple[str, float]:
         """The likeliest language and its share of the posterior; the evidence of n words counts as that of sqrt(n)."""
-        found = WORD.findall(text.lower())
+        found = letter_words(text)
         if not found or not self.model.languages:
             return UNKNOWN, 0.0
         rows = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
@@ -127,7 +126,7 @@ class Scorer(dict):
 def predictions(docs: DataFrame, model: Model, text: str = "text", **columns: Column | str) -> DataFrame:
     """``columns`` of every row of ``docs``, and lang_pred, score.
 
-    Only the text counts. Null texts and texts without a letter are ``und`` with score 0, and so are all if the model knows no language;
+    Only the text counts; words are runs of letters (Unicode category L). Null texts and texts without a letter are ``und`` with score 0, and so are all if the model knows no language;
     ties go to the first language in name order. Texts are read whole, in one pass without a shuffle. The model is of bounded size and
     sent to each task once. Repeated rows are scored each; other columns don't matter.
     """

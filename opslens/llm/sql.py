@@ -52,9 +52,12 @@ DECONTAMINATION = r"""
 WITH doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
 item_shingles AS (
-  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM item_words),
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM item_words
+  UNION ALL SELECT item_id, array_to_string(w, ' ') FROM item_words WHERE len(w) BETWEEN 1 AND 4),
+short_lengths AS (SELECT DISTINCT len(w) AS m FROM item_words WHERE len(w) BETWEEN 1 AND 4),
 doc_shingles AS (
-  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM doc_words),
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM doc_words
+  UNION SELECT doc_id, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i+m-1], ' '))) FROM doc_words, short_lengths),
 sizes AS (SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id),
 shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM doc_shingles JOIN item_shingles USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles::DOUBLE AS containment

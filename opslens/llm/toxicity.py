@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -14,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_pass, stored, texts
+from .words import letter_words
 
-WORD = re.compile(r"[^\W\d_]+")
 #: the sample a model is fitted on: rows of each class (those with the smallest hash of the key) and distinct words in all (the most frequent)
 SAMPLE_ROWS, VOCABULARY = 2_500, 400_000
 #: characters of an n-gram, discount of counts, words of a passage
@@ -78,7 +77,7 @@ class Model:
 
     def passage(self, text: str) -> float:
         """The largest mean log-likelihood ratio a word, toxic against ordinary, of PASSAGE adjacent words; 0 without words."""
-        found = WORD.findall(text.lower())
+        found = letter_words(text)
         if not found:
             return 0.0
         v = np.fromiter(map(self.ratios.__getitem__, found), np.float64, len(found))

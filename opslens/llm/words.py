@@ -6,6 +6,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import regex
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: bytes of a text that are split into words at a time
@@ -35,3 +36,16 @@ def word_names(data: bytes) -> np.ndarray:
     names: defaultdict[bytes, int] = defaultdict()
     names.default_factory = names.__len__
     return np.concatenate([np.fromiter(map(names.__getitem__, w), np.int64, len(w)) for w in word_lists(data)])
+
+
+#: runs of what ``re`` can tell from digits and marks; beside letters it takes numbers such as ½ or Ⅷ
+_NEAR = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
+
+
+def letter_words(text: str) -> list[str]:
+    """Runs of letters (Unicode category L) of ``text`` in lower case."""
+    found = _NEAR.findall(text.lower())
+    if found and not "".join(found).isalpha():
+        return [w for x in found for w in ([x] if x.isalpha() else _LETTERS.findall(x))]
+    return found

@@ -98,14 +98,16 @@ def test_mix_repeats_and_stays_near_its_targets(spark):
 
 
 def contained(docs, items, share=0.8):
-    def shingles(t):
-        w = re.findall(r"[^\W_]+", (t or "").lower())
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    def words(t):
+        return re.findall(r"[^\W_]+", (t or "").lower())
+
+    def shingles(w, n):
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
     found = []
     for d, t in docs:
-        own = shingles(t)
         for i, x in items:
-            s = shingles(x)
+            n = min(5, len(words(x)))
+            s, own = shingles(words(x), n) if n else set(), shingles(words(t), n)
             if s and len(s & own) >= share * len(s) - 1e-9:
                 found.append((d, i, len(s), len(s & own)))
     return sorted(map(repr, found))
@@ -113,14 +115,20 @@ def contained(docs, items, share=0.8):
 
 def test_items_in_documents_equal_brute_force(spark, odd_docs, no_docs, given):
     words = PASSAGE.split()
-    items = [(1, PASSAGE), (1, PASSAGE), (2, None), (3, "too short an"), (None, "word1 it1 word2 it2 word3 it3"), (4, " ".join(words[:14] + ["other"])),
+    items = [(1, PASSAGE), (1, PASSAGE), (2, None), (3, "the Quick brown"), (7, "a-b c d"), (8, "it3"), (9, "#"), (10, "nobody spoke a word"), (None, "word1 it1 word2 it2 word3 it3"), (4, " ".join(words[:14] + ["other"])),
              (5, " ".join(words[:10] + ["these", "are", "quite", "other", "words"])), (6, given[0][1][:300])]
     bench = spark.createDataFrame([(a, b, "x") for a, b in items], "item_id long, text string, hash string")
     docs = odd_docs.select("doc_id", "text", "spans", "h").unionByName(spark.createDataFrame([(*g, "x", 1) for g in given], "doc_id long, text string, spans string, h long"))
     got = decontaminate.contained_items(docs, bench).select("doc_id", "item_id", "n_shingles", "n_shared").collect()
     want = contained([*[(d, t) for d, t, *_ in odd_rows()], *given], items)
     assert sorted(repr(tuple(r)) for r in got) == want and want
-    clean = decontaminate.decontaminated(odd_docs, bench)
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").dropDuplicates(["doc_id"]).toArrow())
+    con.register("benchmark", bench.select("item_id", "text").dropDuplicates(["item_id"]).toArrow())
+    twin = con.execute(sql.DECONTAMINATION).fetchall()
+    ones = decontaminate.contained_items(docs.dropDuplicates(["doc_id"]), bench.dropDuplicates(["item_id"])).drop("_row_file", "_row_no").collect()
+    assert sorted(repr(tuple(x)) for x in ones) == sorted(map(repr, twin)) and {3, 8, 10} <= {x[1] for x in twin}
+    clean = decontaminate.decontaminated(odd_docs, bench.where("length(text) > 60"))
     assert clean.columns == odd_docs.columns
     assert sorted(repr(r.text) for r in clean.collect()) == sorted(repr(t) for d, t, *_ in odd_rows() if d not in (8, 9, 10, 13))
     assert decontaminate.contained_items(no_docs, bench).count() == 0

@@ -9,7 +9,7 @@ from hypothesis import settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from opslens.llm import langid, pii, secrets, spans, toxicity
+from opslens.llm import langid, pii, secrets, spans, toxicity, words
 
 from odd import no_docs, odd_docs, odd_rows  # noqa: F401, I001
 
@@ -37,6 +37,96 @@ def test_languages_of_held_out_rows(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in langid.predictions(odd_docs, unlearned, doc_id="doc_id").collect()} == {"und"}
 
 
+def test_words_are_runs_of_letters():
+    import unicodedata
+    for text in ("½", "①② Ⅷ 5", "x½y Été2 日本Ⅷ語 ß_a ٣ a\u0301b", "", "ÀÉ ʰ ǅ"):
+        want, run = [], ""
+        for c in text.lower() + " ":
+            if unicodedata.category(c).startswith("L"):
+                run += c
+            elif run:
+                want, run = [*want, run], ""
+        assert words.letter_words(text) == want
+    model = langid.Model(["a"], {}, __import__("numpy").zeros((0, 1)), {n: {} for n in langid.LENGTHS}, {n: __import__("numpy").zeros((0, 1)) for n in langid.LENGTHS})
+    assert [model.scorer.predict(t)[0] for t in ("½", "①②", "Ⅷ 5", "a½")] == ["und"] * 3 + ["a"]
+
+
+@settings(max_examples=200, deadline=None)
+@cases(st.lists(st.text("abc", min_size=1, max_size=7), max_size=8), st.randoms(use_true_random=False))
+def test_backoff_equals_a_plain_one(found, r):
+    import math
+
+    import numpy as np
+    logs = lambda keys: np.array([[-r.random() * 9, -r.random() * 9] for _ in keys]).reshape(-1, 2)
+    known = ["ab", "abc", "c"]
+    grams = {n: {"".join(r.choice("^abc$") for _ in range(n)) for _ in range(2)} for n in langid.LENGTHS}
+    grams = {n: {g: i for i, g in enumerate(sorted(v))} for n, v in grams.items()}
+    model = langid.Model(["x", "y"], {w: i for i, w in enumerate(known)}, logs(known), grams, {n: logs(v) for n, v in grams.items()})
+
+    def of(word):
+        if word in known:
+            return model.word_logs[known.index(word)]
+        for n in langid.LENGTHS:
+            rows = [grams[n][g] for i in range(len(word) + 3 - n) if (g := f"^{word}$"[i : i + n]) in grams[n]]
+            if rows:
+                return sum(model.gram_logs[n][k] for k in rows) / len(rows)
+        return np.zeros(2)
+
+    name, share = model.scorer.predict(" ".join(found))
+    if not found:
+        assert (name, share) == ("und", 0.0)
+        return
+    x, y = sum(of(w) for w in found) / math.sqrt(len(found))
+    assert abs(share - 1 / (1 + math.exp(-abs(x - y)))) < 1e-4 and (abs(x - y) < 1e-4 or name == ("x" if x > y else "y"))
+
+
+@settings(max_examples=60, deadline=None)
+@cases(st.lists(st.tuples(st.text("ab", min_size=1, max_size=9), st.integers(0, 3), st.integers(0, 3)), min_size=1, max_size=6, unique_by=lambda x: x[0]), st.text("ab ", max_size=30))
+def test_kneser_ney_equals_its_formula(rows, text):
+    import math
+    rows = [*rows, ("a", 1, 1)]
+    tokens = [[g for w, *n in rows for g in toxicity.grams(w) * n[y]] for y in (0, 1)]
+    longest = set(tokens[0]) | set(tokens[1])
+    kinds = [longest]  # the distinct n-grams that continue a context, order by order
+    while kinds[-1]:
+        kinds.append({g[1:] for g in kinds[-1] if len(g) > 1})
+    lower = [(g, h) for upper in kinds for h in upper for g in [h[1:]] if g]
+
+    def continuation(gram):
+        below = continuation(gram[1:]) if len(gram) > 1 else 1 / (len({g[-1] for g in longest}) + 1)
+        same = [g for g, _ in lower if g[:-1] == gram[:-1]]
+        if not same:
+            return below
+        return max(same.count(gram) - toxicity.DISCOUNT, 0) / len(same) + toxicity.DISCOUNT * len(set(same)) / len(same) * below
+
+    def probability(gram, y):
+        below = continuation(gram[1:]) if len(gram) > 1 else 1 / (len({g[-1] for g in longest}) + 1)
+        same = [g for g in tokens[y] if g[:-1] == gram[:-1]]
+        if not same:
+            return below
+        return max(same.count(gram) - toxicity.DISCOUNT, 0) / len(same) + toxicity.DISCOUNT * len(set(same)) / len(same) * below
+
+    model = toxicity.models(rows)
+    found = words.letter_words(text)
+    each = [sum(math.log(probability(g, 1) / probability(g, 0)) for g in toxicity.grams(w)) for w in found]
+    n = min(toxicity.PASSAGE, len(each))
+    want = max((sum(each[i : i + n]) / n for i in range(len(each) - n + 1)), default=0.0) if each else 0.0
+    assert abs(model.passage(text) - want) < 1e-9
+
+
+def test_personal_spans_of_odd_rows(odd_docs, no_docs):
+    field = pii.fit(pii.labelled_table())
+    values = {"email": "a.b@c.de", "phone": "+49 (30) 123456", "ip": "10.0.0.1", "card": "4111 1111 1111 1111"}
+    text = "mail {email} or {phone}, {ip} ".format(**values) + "x " * 9000 + values["card"]
+    more = odd_docs.unionByName(odd_docs.where("doc_id = 1").withColumn("text", F.lit(text)))
+    rows = pii.pii_spans(more, field).collect()
+    assert len(rows) == len(odd_rows()) + 1
+    kinds = lambda r: {(s.kind, s.start, s.end) for s in r.spans}
+    long = next(r for r in rows if r.doc_id == 1 and r.spans)
+    assert kinds(long) >= {(k, text.index(v), text.index(v) + len(v)) for k, v in values.items()}
+    assert all(not r.spans for r in rows if r.doc_id in (3, 4, 5, 6, 11, 12)) and pii.pii_spans(no_docs, field).count() == 0
+
+
 def test_long_runs_are_scored_whole():
     import numpy as np
     logs = np.array([[-1.0, -3.0], [-3.0, -1.0]])
