@@ -280,6 +280,15 @@ def ecs_tasks(services: DataFrame, rule_id: str, now: int) -> DataFrame:
                     F.when(down, "critical").otherwise("warning"), hold=hold, cluster=F.col("cluster"))
 
 
+SHORT_OF_TASKS = "coalesce(status, 'ACTIVE') = 'ACTIVE' AND desired > 0 AND running < desired"
+
+
+def instance_lost() -> Column:
+    """A lost agent, or a status that is neither active nor draining."""
+    status = F.upper(F.coalesce("status", F.lit("ACTIVE")))
+    return ((F.col("agent_connected") == F.lit(False)) & (status == "ACTIVE")) | ~status.isin("ACTIVE", "DRAINING")
+
+
 def ecs_instances(history: DataFrame, services: DataFrame, rule_id: str) -> DataFrame:
     """Instances with a lost agent or a wrong status, and instances gone while services are short of tasks.
 
@@ -287,12 +296,8 @@ def ecs_instances(history: DataFrame, services: DataFrame, rule_id: str) -> Data
     checks; ``services`` the services of the same checks (at_ms, cluster, status, desired, running).
     A missing instance alerts at most 24 hours; once it does not alert it is forgotten.
     """
-    status = F.upper(F.coalesce("status", F.lit("ACTIVE")))
-    lost = ((F.col("agent_connected") == F.lit(False)) & (status == "ACTIVE")) | ~status.isin("ACTIVE", "DRAINING")
-    subject = F.concat_ws(" / ", "cluster", "instance_id")
-
-    checks = services.groupBy("at_ms", "cluster").agg(F.expr(
-        "bool_or(coalesce(status, 'ACTIVE') = 'ACTIVE' AND desired > 0 AND running < desired) AS short"))
+    lost, subject = instance_lost(), F.concat_ws(" / ", "cluster", "instance_id")
+    checks = services.groupBy("at_ms", "cluster").agg(F.expr(f"bool_or({SHORT_OF_TASKS}) AS short"))
     present = history.groupBy("at_ms", "cluster").agg(F.count("*").alias("instances"))
     checks = (checks.join(present, ["at_ms", "cluster"], "left")
               .select("at_ms", "cluster", (F.col("short") | F.col("instances").isNull()).alias("alarming")))
@@ -300,20 +305,23 @@ def ecs_instances(history: DataFrame, services: DataFrame, rule_id: str) -> Data
     # a run of alarming checks ends at the next calm one: from there on a missing instance is forgotten
     calm = F.when(~F.col("alarming"), F.col("at_ms"))
     following = per_cluster.rowsBetween(W.currentRow, W.unboundedFollowing)
-    checks = checks.withColumns({"next_calm": F.min(calm).over(following), "next_at": F.lead("at_ms").over(per_cluster)})
+    day = 24 * HOUR
+    a_day_on = per_cluster.rangeBetween(day, W.unboundedFollowing)
+    checks = checks.withColumns({"next_calm": F.min(calm).over(following), "next_at": F.lead("at_ms").over(per_cluster),
+                                 "day_on": F.min("at_ms").over(a_day_on)})
     own = W.partitionBy("cluster", "instance_id").orderBy("at_ms")
     seen = history.select("at_ms", "cluster", "instance_id").withColumn("again_at", F.lead("at_ms").over(own))
     leaves = (seen.join(checks.select("at_ms", "cluster", F.col("next_at").alias("gone_at")), ["at_ms", "cluster"])
               .filter("gone_at IS NOT NULL AND (again_at IS NULL OR again_at > gone_at)")
               .select("cluster", "instance_id", "gone_at", "again_at"))
-    calm_at = checks.select("cluster", F.col("at_ms").alias("gone_at"), "next_calm")
+    calm_at = checks.select("cluster", F.col("at_ms").alias("gone_at"), "next_calm", "day_on")
     leaves = leaves.join(calm_at, ["cluster", "gone_at"])
-    last = F.least(F.col("gone_at") + 24 * HOUR, F.coalesce("next_calm", F.lit(2 ** 62)), F.coalesce("again_at", F.lit(2 ** 62)))
-    # the run ends at the first calm check, after 24 hours, or when the instance is back (which reports itself)
-    # range join by day: an absence touches two days at most
-    day = 24 * HOUR
-    leaves = leaves.withColumn("until", last).withColumn("day", F.explode(F.sequence(
-        F.floor(F.col("gone_at") / day), F.floor(F.col("until") / day))))
+    a_day = F.col("gone_at") + day
+    last = F.least(F.coalesce("day_on", a_day), F.coalesce("next_calm", F.lit(2 ** 62)), F.coalesce("again_at", F.lit(2 ** 62)))
+    # the run ends at the first calm check, the first one after 24 hours, or when the instance is back (which reports itself)
+    # range join by day: an absence touches two days, and that of its last check
+    touched = F.concat(F.sequence(F.floor(F.col("gone_at") / day), F.floor(F.least("until", a_day) / day)), F.array(F.floor(F.col("until") / day)))
+    leaves = leaves.withColumn("until", last).withColumn("day", F.explode(F.array_distinct(touched)))
     missing = (leaves.join(checks.select("cluster", "at_ms", "alarming", F.floor(F.col("at_ms") / day).alias("day")),
                            ["cluster", "day"])
                .filter("at_ms >= gone_at AND at_ms <= until AND (again_at IS NULL OR at_ms < again_at)"))

@@ -1,7 +1,7 @@
 """Alert state per (rule, subject): pending, firing at a level, muted, and the events on the way.
 
-The batch form streams findings through each sorted partition, so a subject with a long history needs no
-memory; ``streaming.alerts`` feeds the same ``Tracker`` from a stream.
+The batch form cuts every history where a finding clears it whatever came before, and streams the pieces through sorted
+partitions, so that one subject's history is the work of many tasks; ``streaming.alerts`` feeds the same ``Tracker`` from a stream.
 """
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions import patterns as P
 from ..functions.times import MINUTE
@@ -119,8 +119,7 @@ def complete(findings: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Findings with the settings the state needs: confirm, for_minutes, base_level per rule, gone and remind."""
     rows = findings
     if rules is not None:
-        # rules are configuration: at most a hundred rows
-        rows = rows.join(F.broadcast(rules.select("rule_id", "confirm", "for_minutes", "base_level")), "rule_id", "left")
+        rows = rows.join(rules.select("rule_id", "confirm", "for_minutes", "base_level"), "rule_id", "left")
     defaults = {"confirm": F.lit(1), "for_minutes": F.lit(0), "base_level": F.lit("warning"), "gone": F.lit(False),
                 "remind": F.lit(False), "muted_by": F.expr("CAST(NULL AS ARRAY<STRING>)"),
                 **{c: F.lit(None).cast("double") for c in ("value", "warning", "critical", "h")},
@@ -144,14 +143,36 @@ def with_gone(findings: DataFrame) -> DataFrame:
     return findings.unionByName(gone.select(*findings.columns))
 
 
+def clears() -> Column:
+    """Whether a finding leaves its subject in the state ok whatever the state before: gone, or neither muted nor at a level, even a held one."""
+    muted = F.coalesce(F.size("muted_by") > 0, F.lit(False))
+    held = [F.col("value") >= F.col(c) for c in ("warning", "critical")] + [F.col("value") > F.col(c) - F.col("h") for c in ("warning", "critical")]
+    by_lines = F.greatest(*[F.coalesce(x, F.lit(False)) for x in held])
+    level = F.when(F.col("warning").isNull() | F.isnan("warning"), F.coalesce("bad", F.lit(False))).otherwise(
+        F.col("value").isNotNull() & ~F.isnan("value") & by_lines)
+    return F.coalesce("gone", F.lit(False)) | (~muted & ~level)
+
+
+def episodes(rows: DataFrame) -> DataFrame:
+    """``rows`` (see ``complete``) with ``episode``: a new one begins after each finding that clears, so that episodes don't depend on one another.
+
+    A clearing finding belongs to the episode it ends; one that ends none says nothing and is left out.
+    """
+    own = W.partitionBy(*KEY).orderBy("at_ms", F.desc("gone"))
+    marked = rows.withColumn("_clears", clears())
+    marked = marked.withColumns({"_after": F.lag("_clears", 1, True).over(own),
+                                 "episode": F.coalesce(F.sum(F.col("_clears").cast("long")).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
+    return marked.filter("NOT (_clears AND _after)").drop("_clears", "_after")
+
+
 def _run(repeat: Mapping[str, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, tracker = None, Tracker()
         for batch in batches:
             out = []
             for f in batch.itertuples(index=False):
-                if (f.rule_id, f.subject) != key:
-                    key, tracker = (f.rule_id, f.subject), Tracker()
+                if (f.rule_id, f.subject, f.episode) != key:
+                    key, tracker = (f.rule_id, f.subject, f.episode), Tracker()
                 event = tracker.see(f, repeat)
                 if event:
                     ids = None if f.muted_by is None else list(f.muted_by)
@@ -162,9 +183,12 @@ def _run(repeat: Mapping[str, int]):
 
 def transitions(findings: DataFrame, rules: DataFrame | None = None,
                 repeat: Mapping[str, int] | None = None) -> DataFrame:
-    """Events of a history of findings: firing, escalated, lowered, repeat, resolved, muted."""
-    rows = with_gone(complete(findings, rules))
-    return (rows.repartition(*KEY).sortWithinPartitions(*KEY, "at_ms", F.desc("gone"))
+    """Events of a history of findings: firing, escalated, lowered, repeat, resolved, muted.
+
+    Only the window that numbers the episodes sees a subject's rows together; what a state machine has to walk through is one episode.
+    """
+    rows = episodes(with_gone(complete(findings, rules)))
+    return (rows.repartition(*KEY, "episode").sortWithinPartitions(*KEY, "episode", "at_ms", F.desc("gone"))
             .mapInPandas(_run(dict(P.REPEAT_MINUTES if repeat is None else repeat)), EVENT_SCHEMA))
 
 

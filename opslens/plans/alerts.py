@@ -7,6 +7,7 @@ from ..functions.times import DAY, HOUR, MINUTE
 from ..operators import access, grants, lb, rules, state
 from ..operators.mutes import Mute, muted_paths, muted_signatures
 from . import views
+from .logs import EXCEPTION_SQL, TEMPLATES_SQL, kinds_sql
 from .oracle import percentile_sql, sql
 from .registry import Registry
 
@@ -219,18 +220,35 @@ def alert_usage(spark, sf_dir):
     return rows.select("subject", "bad", "value", "warning")
 
 
-@QUERIES.add("alert_instances", None)
+#: an order month stands for a check five hours after the one before
+_CHECK = f"CAST(year(l_shipdate) * 12 + month(l_shipdate) AS BIGINT) * {5 * HOUR}"
+_HERE = f"((at_ms // {5 * HOUR} + l_suppkey) % 11 < 5 OR q % 5 = 0)"
+_SHORT = f"at_ms // {15 * HOUR} % 3 <> 0"
+
+
+@QUERIES.add("alert_instances", f"""WITH i AS (SELECT l_suppkey, {_CHECK} AS at_ms, l_quantity FROM lineitem),
+    checks AS (SELECT DISTINCT l_suppkey % 5 AS c, at_ms, {_SHORT} AS short FROM i),
+    seen AS (SELECT l_suppkey, at_ms FROM (SELECT l_suppkey, at_ms, sum(l_quantity) AS q FROM i GROUP BY ALL) WHERE {_HERE}),
+    some_there AS (SELECT l_suppkey % 5 AS c, at_ms, count(*) AS there FROM seen GROUP BY ALL),
+    alarms AS (SELECT c, at_ms, short OR there IS NULL AS alarming FROM checks LEFT JOIN some_there USING (c, at_ms)),
+    pairs AS (SELECT s.l_suppkey, a.at_ms, alarming, n.at_ms IS NOT NULL AS here
+              FROM (SELECT DISTINCT l_suppkey FROM seen) s JOIN alarms a ON a.c = s.l_suppkey % 5
+              LEFT JOIN seen n ON n.l_suppkey = s.l_suppkey AND n.at_ms = a.at_ms),
+    since AS (SELECT *, max(CASE WHEN here THEN at_ms END) OVER (PARTITION BY l_suppkey ORDER BY at_ms) AS last_here FROM pairs),
+    away AS (SELECT *, min(at_ms) OVER (PARTITION BY l_suppkey, last_here) AS missed FROM since WHERE NOT here AND last_here IS NOT NULL),
+    judged AS (SELECT *, alarming AND at_ms - missed < {24 * HOUR} AS bad FROM away),
+    told AS (SELECT *, coalesce(bool_or(NOT bad) OVER (PARTITION BY l_suppkey, last_here ORDER BY at_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS forgotten FROM judged)
+    SELECT 'c' || l_suppkey % 5 || ' / i-' || l_suppkey AS subject, at_ms, bad
+    FROM (SELECT l_suppkey, at_ms, bad FROM told WHERE NOT forgotten UNION ALL SELECT l_suppkey, at_ms, l_suppkey % 19 = 0 FROM seen)""")
 def alert_instances(spark, sf_dir):
-    """Suppliers as instances, seen by their line items' ship dates; a cluster is short on some days."""
-    items = views.table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey"), F.date_trunc("month", F.col("l_shipdate").cast("timestamp")).alias("at"), "l_quantity")
-    seen = items.groupBy("l_suppkey", "at").agg(F.sum("l_quantity").alias("q")).filter("q % 5 < 4")
-    at = F.unix_millis("at").alias("at_ms")
+    """Suppliers as instances, there at some checks; clusters are short of tasks at two of three times three checks."""
+    items = views.table(spark, sf_dir, "lineitem").select("l_suppkey", F.expr(_CHECK).alias("at_ms"), "l_quantity")
+    seen = items.groupBy("l_suppkey", "at_ms").agg(F.sum("l_quantity").alias("q")).filter(_HERE.replace("//", "DIV"))
     cluster = F.concat(F.lit("c"), (F.col("l_suppkey") % 5).cast("string")).alias("cluster")
-    history = seen.select(at, cluster, F.concat(F.lit("i-"), F.col("l_suppkey").cast("string")).alias("instance_id"),
+    history = seen.select("at_ms", cluster, F.concat(F.lit("i-"), F.col("l_suppkey").cast("string")).alias("instance_id"),
                           F.lit("ACTIVE").alias("status"), (F.col("l_suppkey") % 19 != 0).alias("agent_connected"))
-    services = items.select(at, cluster, F.lit("ACTIVE").alias("status"), F.lit(2).alias("desired"),
-                            F.when(F.month("at") % 2 == 0, 1).otherwise(2).alias("running")).distinct()
+    services = items.select("at_ms", cluster, F.lit("ACTIVE").alias("status"), F.lit(2).alias("desired"),
+                            F.expr(f"IF({_SHORT.replace('//', 'DIV')}, 1, 2)").alias("running")).distinct()
     return rules.ecs_instances(history, services, "r11").select("subject", "at_ms", "bad")
 
 
@@ -280,7 +298,9 @@ def explain_usual(spark, sf_dir):
     return _explain(spark, sf_dir)["usual"]
 
 
-@QUERIES.add("explain_errors", None)
+@QUERIES.add("explain_errors", sql(f"""WITH own AS (SELECT * FROM v_logs WHERE cluster = 'c1' AND lower(level) = 'error' AND log_time_ms BETWEEN {START - 2 * MINUTE} AND {END + 2 * MINUTE}),
+    {kinds_sql('own', EXCEPTION_SQL)}, {TEMPLATES_SQL}, counted AS (SELECT count(*) AS kinds, CAST(sum(n) AS BIGINT) AS total FROM g)
+    SELECT exception, key, n, error, kinds, total FROM g JOIN e USING (exception, key), counted WHERE lower(example || ' ' || error) NOT LIKE '%user 45%'"""))
 def explain_errors(spark, sf_dir):
     return _explain(spark, sf_dir)["errors"].select("exception", "key", "n", "error", "kinds", "total")
 
@@ -293,7 +313,45 @@ def _explain(spark, sf_dir):
 
 
 # ---- state
-@QUERIES.add("alert_transitions", None)
+_SHARES = f"""SELECT tg AS subject, ts_ms // {6 * HOUR} * {6 * HOUR} AS at_ms, round(100.0::DOUBLE * count(*) FILTER (elb_code >= 500) / count(*), 2) AS value,
+    min(cluster) AS cluster FROM v_req WHERE tg IS NOT NULL GROUP BY ALL"""
+#: a subject's findings one after another; level: 0 to 2, phase and counters as they are after a finding
+_WALK = f"""f AS ({_SHARES}),
+    c AS (SELECT at_ms, lead(at_ms) OVER (ORDER BY at_ms) AS following FROM (SELECT DISTINCT at_ms FROM f)),
+    own AS (SELECT *, lead(at_ms) OVER (PARTITION BY subject ORDER BY at_ms) AS again FROM f),
+    every AS (SELECT subject, at_ms, value, cluster, false AS gone FROM f
+              UNION ALL SELECT subject, following, value, cluster, true FROM own JOIN c USING (at_ms) WHERE following IS NOT NULL AND (again IS NULL OR again > following)),
+    numbered AS (SELECT *, subject = 'tg-c5' AND value >= 25 AND NOT gone AS mute, row_number() OVER (PARTITION BY subject ORDER BY at_ms, gone DESC) AS k FROM every),
+    walk AS (
+      SELECT subject, 0::BIGINT AS k, 'ok' AS phase, 0 AS level, 0 AS seen, 0 AS climbs, 0::BIGINT AS told, NULL::VARCHAR AS event, NULL::INTEGER AS event_level,
+             NULL::BIGINT AS at_ms, NULL::DOUBLE AS value, NULL::VARCHAR AS cluster FROM (SELECT DISTINCT subject FROM numbered)
+      UNION ALL
+      SELECT subject, k,
+        CASE WHEN gone THEN 'ok' WHEN mute THEN CASE WHEN was IN ('firing', 'muted') OR n >= 2 THEN 'muted' ELSE 'holding' END
+             WHEN now = 0 THEN 'ok' WHEN was = 'firing' OR n >= 2 THEN 'firing' ELSE 'pending' END,
+        CASE WHEN gone OR (now = 0 AND NOT mute) THEN 0 WHEN mute THEN CASE WHEN was = 'firing' THEN 0 ELSE held END
+             WHEN was <> 'firing' OR now < held OR (now > held AND up >= 2) THEN now ELSE held END,
+        CASE WHEN gone OR (now = 0 AND NOT mute) THEN 0 WHEN mute AND was = 'firing' THEN 2 ELSE n END,
+        CASE WHEN was = 'firing' AND NOT mute AND NOT gone AND now > held AND up < 2 THEN up ELSE 0 END,
+        CASE WHEN kind IN ('firing', 'escalated', 'lowered', 'repeat') THEN at_ms ELSE told END,
+        kind, CASE kind WHEN 'resolved' THEN held WHEN 'repeat' THEN held WHEN 'muted' THEN greatest(CASE WHEN was = 'firing' THEN held ELSE 0 END, 1) ELSE now END,
+        at_ms, value, cluster
+      FROM (SELECT *, CASE WHEN gone THEN CASE WHEN was = 'firing' THEN 'resolved' END
+                           WHEN mute THEN CASE WHEN was = 'firing' OR (was <> 'muted' AND n >= 2) THEN 'muted' END
+                           WHEN now = 0 THEN CASE WHEN was = 'firing' THEN 'resolved' END
+                           WHEN was <> 'firing' THEN CASE WHEN n >= 2 THEN 'firing' END
+                           WHEN now < held THEN 'lowered' WHEN now > held AND up >= 2 THEN 'escalated'
+                           WHEN at_ms - told >= CASE held WHEN 2 THEN 12 ELSE 24 END * {HOUR} - 5000 THEN 'repeat' END AS kind
+            FROM (SELECT n.*, w.phase AS was, w.level AS held, w.told,
+                         CASE WHEN w.phase IN ('holding', 'muted') AND NOT n.mute THEN 0 ELSE w.seen END + 1 AS n, w.climbs + 1 AS up,
+                         CASE WHEN n.value >= 40 OR (w.phase = 'firing' AND w.level = 2 AND n.value > 35) THEN 2
+                              WHEN n.value >= 25 OR (w.phase = 'firing' AND n.value > 20) THEN 1 ELSE 0 END AS now
+                  FROM walk w JOIN numbered n ON n.subject = w.subject AND n.k = w.k + 1)))"""
+
+
+@QUERIES.add("alert_transitions", sql(f"""WITH {_WALK}
+    SELECT 'share' AS rule_id, subject, at_ms, event, CASE event_level WHEN 2 THEN 'critical' ELSE 'warning' END AS level, value, cluster FROM walk WHERE event IS NOT NULL""")
+    .replace("WITH ", "WITH RECURSIVE ", 1))
 def alert_transitions(spark, sf_dir):
     found = views.rate_findings(spark, sf_dir)
     confirm = found.select("rule_id").distinct().selectExpr("rule_id", "2 AS confirm", "0 AS for_minutes", "'warning' AS base_level")

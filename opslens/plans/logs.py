@@ -161,7 +161,7 @@ _SHOWN = "trim(regexp_replace(left(split_part(coalesce(nullif(trim(msg), ''), ''
 SCREEN = errors.Cut(first_line=True, line_chars=1000, normalized_chars=600, variants=40)
 
 
-def _kinds(source: str, exception: str, line: str = _LINE, normal: str = _NORMAL, also: str = "") -> str:
+def kinds_sql(source: str, exception: str, line: str = _LINE, normal: str = _NORMAL, also: str = "") -> str:
     return f"""
       t AS (SELECT {exception} AS exception, {line} AS line, service{also} FROM {source}),
       d AS (SELECT *, {normal} AS normalized FROM t),
@@ -172,7 +172,7 @@ def _kinds(source: str, exception: str, line: str = _LINE, normal: str = _NORMAL
 
 
 #: the template of a kind from its list of variants, by word positions
-_TEMPLATES = r"""
+TEMPLATES_SQL = r"""
       v AS (SELECT exception, key, list_sort(list(DISTINCT normalized)) AS lines FROM k GROUP BY ALL),
       w AS (SELECT *, list_transform(lines, lambda x: string_split(x, ' ')) AS words FROM v),
       s AS (SELECT *, list_min(list_transform(words, lambda x: len(x))) AS shortest, list_max(list_transform(words, lambda x: len(x))) AS longest FROM w),
@@ -185,29 +185,29 @@ _TEMPLATES = r"""
                 lambda i: CASE WHEN ahead[i] THEN words[1][i] ELSE '<*>' END), ' '), '<\*>(?:[\s,|]*<\*>)+', '<*>', 'g')
               ELSE trim(array_to_string(words[1][1:head], ' ') || ' …' || CASE WHEN least(rear, shortest - head) > 0
                 THEN ' ' || array_to_string(words[1][len(words[1]) + 1 - least(rear, shortest - head):], ' ') ELSE '' END) END AS error FROM p)"""
-_EXCEPTION = "coalesce(exception, '')"
+EXCEPTION_SQL = "coalesce(exception, '')"
 _SUMS = "(SELECT count(*) FROM g) AS kinds, CAST((SELECT sum(n) FROM g) AS BIGINT) AS total FROM g"
 
 
-@QUERIES.add("error_kinds", sql(f"""WITH {_kinds('v_logs', _EXCEPTION, _SHOWN, f'left({_NORMAL}, 600)')}
+@QUERIES.add("error_kinds", sql(f"""WITH {kinds_sql('v_logs', EXCEPTION_SQL, _SHOWN, f'left({_NORMAL}, 600)')}
     SELECT exception, key, n, example, service, variants, {_SUMS} ORDER BY n DESC, key, exception LIMIT 200"""))
 def error_kinds(spark, sf_dir):
     groups = errors.error_groups(views.logs(spark, sf_dir), 200, SCREEN)
     return groups.select("exception", "key", "n", "example", "service", F.array_join("variants", "~").alias("variants"), "kinds", "total")
 
 
-@QUERIES.add("error_kinds_documents", sql(f"WITH {_kinds('v_text', chr(39) * 2)} SELECT exception, key, n, example, service, n_variants, {_SUMS}"))
+@QUERIES.add("error_kinds_documents", sql(f"WITH {kinds_sql('v_text', chr(39) * 2)} SELECT exception, key, n, example, service, n_variants, {_SUMS}"))
 def error_kinds_documents(spark, sf_dir):
     groups = errors.error_groups(views.texts(spark, sf_dir), None)
     return groups.select("exception", "key", "n", "example", "service", "n_variants", "kinds", "total")
 
 
-@QUERIES.add("error_lines", sql(f"WITH {_kinds('v_text', chr(39) * 2)} SELECT line AS text, normalized, key, service FROM k"))
+@QUERIES.add("error_lines", sql(f"WITH {kinds_sql('v_text', chr(39) * 2)} SELECT line AS text, normalized, key, service FROM k"))
 def error_lines(spark, sf_dir):
     return errors.error_lines(views.texts(spark, sf_dir)).select("text", "normalized", "key", "service")
 
 
-@QUERIES.add("error_templates", sql(f"WITH {_kinds('v_logs', _EXCEPTION)}, {_TEMPLATES} SELECT exception, key, n, n_variants, error FROM g JOIN e USING (exception, key)"))
+@QUERIES.add("error_templates", sql(f"WITH {kinds_sql('v_logs', EXCEPTION_SQL)}, {TEMPLATES_SQL} SELECT exception, key, n, n_variants, error FROM g JOIN e USING (exception, key)"))
 def error_templates(spark, sf_dir):
     return errors.error_kinds(views.logs(spark, sf_dir)).select("exception", "key", "n", "n_variants", "error")
 
@@ -219,9 +219,9 @@ _PLACED = ["event_type || ' of a' || user_id % 9 || '.myshopify.com failed, tena
 
 
 @QUERIES.add("error_kinds_full", sql(f"""WITH placed AS (SELECT {', '.join(x.replace(' AS line', ' AS code_line') for x in _PLACED)} FROM events),
-    {_kinds('placed', _EXCEPTION, also=", 'K' || right(class, 1) || '.run:' || code_line AS location, split_part(split_part(msg, ' of ', 2), '.', 1) AS store, coalesce(trim(tenant_id), 't-' || split_part(msg, 'tenant_id=t-', 2)[1]) AS tenant")},
+    {kinds_sql('placed', EXCEPTION_SQL, also=", 'K' || right(class, 1) || '.run:' || code_line AS location, split_part(split_part(msg, ' of ', 2), '.', 1) AS store, coalesce(trim(tenant_id), 't-' || split_part(msg, 'tenant_id=t-', 2)[1]) AS tenant")},
     l AS (SELECT exception, key, first(location ORDER BY m DESC, location) AS location FROM (SELECT exception, key, location, count(*) AS m FROM k GROUP BY ALL) GROUP BY ALL),
-    o AS (SELECT exception, key, string_agg(DISTINCT store, ',' ORDER BY store) AS stores, string_agg(DISTINCT tenant, ',' ORDER BY tenant) AS tenants FROM k GROUP BY ALL), {_TEMPLATES}
+    o AS (SELECT exception, key, string_agg(DISTINCT store, ',' ORDER BY store) AS stores, string_agg(DISTINCT tenant, ',' ORDER BY tenant) AS tenants FROM k GROUP BY ALL), {TEMPLATES_SQL}
     SELECT exception, key, n, example, service, n_variants, stores, tenants, location, error FROM g JOIN l USING (exception, key) JOIN o USING (exception, key) JOIN e USING (exception, key)"""))
 def error_kinds_full(spark, sf_dir):
     kinds = errors.error_kinds(views.table(spark, sf_dir, "events").selectExpr(*_PLACED))

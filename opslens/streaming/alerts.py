@@ -1,6 +1,6 @@
-"""Alert state and inbound deltas as keyed state of a stream.
+"""Alert state, instance memory and inbound deltas as keyed state of a stream.
 
-Both need the RocksDB state store provider (``spark.sql.streaming.stateStore.providerClass``).
+All need the RocksDB state store provider (``spark.sql.streaming.stateStore.providerClass``).
 """
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import patterns as P
 from ..functions.names import parse_order_index
-from ..functions.times import MINUTE
+from ..functions.times import HOUR, MINUTE
+from ..operators.rules import SHORT_OF_TASKS, instance_lost
 from ..operators.state import EVENT_SCHEMA, KEY, Tracker, _missing, complete
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -65,6 +66,74 @@ def alert_stream(findings: DataFrame, rules: DataFrame | None = None,
         AlertState(P.REPEAT_MINUTES if repeat is None else repeat), EVENT_SCHEMA, "Append", "None")
 
 
+_INSTANCE_ROW = "cluster string, instance_id string, at_ms bigint, bad boolean"
+FORGET_MS = 24 * HOUR
+
+
+class InstanceMemory(StatefulProcessor):
+    """The instances a cluster had at its last check and those gone since, with the time of their first absence.
+
+    Rows wait until the watermark has passed their check, whose timer then takes all due checks in time order: micro-batches may bring checks in
+    any order. An instance is forgotten when it is back, at the first check that doesn't need it, or FORGET_MS after it was missed.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at_ms bigint, instance_id string, lost boolean, short boolean")
+        self.memory = handle.getMapState("memory", "instance_id string", "gone_ms bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = set()
+        for batch in rows:
+            self.waiting.appendList([(int(r.at_ms), r.instance_id, None if _missing(r.lost) else bool(r.lost), None if _missing(r.short) else bool(r.short))
+                                     for r in batch.itertuples(index=False)])
+            times.update(int(t) for t in batch["at_ms"])
+        for t in times:
+            self.handle.registerTimer(t + 1)
+        yield pd.DataFrame([], columns=[c.split()[0] for c in _INSTANCE_ROW.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = expiredTimerInfo.getExpiryTimeInMs()
+        kept = [tuple(r) for r in self.waiting.get()]
+        due = sorted({r[0] for r in kept if r[0] < upto})
+        gone = {k[0]: v[0] for k, v in self.memory.iterator()}  # None: there at the last check
+        before, out = set(gone), []
+        for t in due:
+            now = [r for r in kept if r[0] == t]
+            here = {r[1]: r[2] for r in now if r[1] is not None}
+            alarming = any(r[3] for r in now) or not here
+            out += [(key[0], i, t, lost) for i, lost in here.items()]
+            for i in [i for i in gone if i not in here]:
+                gone[i] = t if gone[i] is None else gone[i]
+                bad = alarming and t - gone[i] < FORGET_MS
+                out.append((key[0], i, t, bad))
+                if not bad:
+                    del gone[i]
+            gone.update(dict.fromkeys(here))
+        if due:
+            self.waiting.put([r for r in kept if r[0] >= upto])
+        for i in before - set(gone):
+            self.memory.removeKey((i,))
+        for i, at in gone.items():
+            self.memory.updateValue((i,), (at,))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _INSTANCE_ROW.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def instance_stream(history: DataFrame, services: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """cluster, instance_id, at_ms, bad as ``rules.ecs_instances`` finds them, from streams of instance snapshots and of the services of the same checks.
+
+    A check is judged once the watermark, ``delay`` behind the newest check, has passed it.
+    """
+    none = F.lit(None)
+    seen = history.select("cluster", "at_ms", "instance_id", instance_lost().alias("lost"), none.cast("boolean").alias("short"))
+    state = services.select("cluster", "at_ms", none.cast("string").alias("instance_id"), none.cast("boolean").alias("lost"), F.coalesce(F.expr(SHORT_OF_TASKS), F.lit(False)).alias("short"))
+    rows = seen.unionByName(state).withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", delay)
+    return rows.groupBy("cluster").transformWithStateInPandas(InstanceMemory(), _INSTANCE_ROW, "Append", "EventTime")
+
+
 class IndexCounts(StatefulProcessor):
     """Last run and document count of an index; emits its new documents at every later run."""
 

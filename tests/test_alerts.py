@@ -1,3 +1,6 @@
+import random
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +189,55 @@ def test_subject_mutes(rows):
     firing = rows([("r", "tg-c")], "rule_id string, subject string")
     got = {r.subject: (r.bad, r.muted_by, r.muted_level) for r in mute_subjects(found, mutes, "lb_errors", firing=firing).collect()}
     assert got == {"tg-a": (True, [], None), "tg-b": (False, ["K", "L"], "critical"), "tg-c": (False, ["K"], "warning")}
+
+
+def walked(found, repeat):
+    """Events of whole histories by one tracker a subject."""
+    out = []
+    for subject in sorted({f[1] for f in found}):
+        tracker = state.Tracker()
+        for f in sorted((f for f in found if f[1] == subject), key=lambda f: (f[2], not f[-1])):
+            row = SimpleNamespace(**dict(zip([*[c.split()[0] for c in FINDING.split(", ")], "remind", "gone"], f, strict=True)), base_level="warning")
+            if event := tracker.see(row, repeat):
+                out.append((subject, row.at_ms, *event))
+    return out
+
+
+def test_episodes_give_what_one_tracker_a_subject_gives(rows):
+    r, repeat = random.Random(6), {"warning": 20, "critical": 15}
+    found = []
+    for k in range(30):
+        by_lines, confirm = k % 2 == 0, r.choice([1, 2, 3])
+        for i in range(60):
+            value = None if r.random() < 0.05 else float(r.choice([50, 66, 68, 69, 70, 75, 78, 79, 80, 90]))
+            muted = ["M"] if r.random() < 0.15 else ([] if r.random() < 0.5 else None)
+            lines = (70.0, 80.0, 2.0) if by_lines else (None, None, None)
+            found.append(("r", f"s{k:02}", i * 5 * MINUTE, r.random() < 0.6, value, None if by_lines else r.choice([None, "warning", "critical"]), *lines, r.choice([0, 0, 7]),
+                          muted, r.choice([None, "critical"]), confirm, r.choice([0, 6]), r.random() < 0.1, r.random() < 0.05))
+    df = rows(found, FINDING + ", remind boolean, gone boolean")
+    cut = state.episodes(state.complete(df))
+    assert cut.count() < len(found) and cut.select("subject", "episode").distinct().count() > 100
+    got = state.transitions(df, None, repeat).collect()
+    assert sorted((x.subject, x.at_ms, x.event, x.level) for x in got) == sorted(walked(found, repeat))
+    assert {x.event for x in got} == {"firing", "escalated", "lowered", "repeat", "resolved", "muted"}
+
+
+def test_missing_instances_are_remembered_for_a_day(rows):
+    history, services = checks_of_instances(rows)
+    got = {(x.subject, (x.at_ms - BASE) // HOUR): x.bad for x in rules.ecs_instances(history, services, "r").collect()}
+    assert [got.get(("c / b", h)) for h in range(2, 11)] == [True, True, True, False, None, None, None, False, False]
+    away = [got.get(("d / x", h)) for h in range(2, 40)]
+    assert away == [True] * 24 + [False] + [None] * 13
+    assert got["c / lost", 0] is True and got["c / a", 0] is False
+
+
+BASE = 1000 * HOUR
+
+
+def checks_of_instances(rows):
+    """Two clusters checked every hour: c is short for a while, d for good."""
+    there = [(h, "c", "a", "ACTIVE", True) for h in range(12)] + [(h, "c", "b", "ACTIVE", True) for h in (0, 1, 9)] + [(0, "c", "lost", "ACTIVE", False)]
+    there += [(h, "d", "x", "ACTIVE", True) for h in (0, 1)] + [(h, "d", "y", "DRAINING", True) for h in range(40)]
+    services = [(h, "c", "ACTIVE", 2, 1 if 1 < h < 5 else 2) for h in range(12)] + [(h, "d", "ACTIVE", 2, 1) for h in range(40)]
+    return (rows([(BASE + h * HOUR, *x) for h, *x in there], "at_ms bigint, cluster string, instance_id string, status string, agent_connected boolean"),
+            rows([(BASE + h * HOUR, *x) for h, *x in services], "at_ms bigint, cluster string, status string, desired int, running int"))

@@ -4,12 +4,12 @@ import os
 from pyspark.sql import functions as F
 
 from opslens.functions.times import DAY, HOUR, MINUTE
-from opslens.operators import inbound, lb, orders, sessions, state
+from opslens.operators import inbound, lb, orders, rules, sessions, state
 from opslens.operators.lb import RequestQuery
 from opslens.sources import writers
 from opslens.streaming import alerts, convert, sightings
 from opslens.streaming import sessions as session_stream
-from test_alerts import FINDING, values
+from test_alerts import BASE, FINDING, checks_of_instances, values
 from test_sessions_health import ENTRY
 
 ONCE = {"availableNow": True}
@@ -163,3 +163,26 @@ def test_inbound_stream_gives_the_rows_of_the_batch_form(spark, rows, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("t", "tenant").agg(F.sum("orders").alias("orders")).filter("orders > 0")
     want = inbound.inbound_delta(snaps).filter("tenant <> '_all'").select("t", "tenant", "orders")
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_instance_stream_equals_the_batch_rows_over_shuffled_batches(spark, rows, tmp_path):
+    history, services = checks_of_instances(rows)
+    end = rows([(BASE + 90 * HOUR, c, "z", "ACTIVE", True) for c in "cd"], "at_ms bigint, cluster string, instance_id string, status string, agent_connected boolean")
+    parts = [[6, 1, 9], [0, 2, 3, 11], [4, 5, 7, 8, 10], [30, 12, 25], [*range(13, 25), *range(26, 30), *range(31, 40)]]
+    for name, df in (("history", history), ("services", services)):
+        for part in parts:
+            df.filter(((F.col("at_ms") - BASE) / HOUR).isin(part)).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    end.coalesce(1).write.mode("append").parquet(str(tmp_path / "history"))
+    streams = []
+    for name, df in (("history", history), ("services", services)):
+        files = sorted((tmp_path / name).glob("*.parquet"), key=os.path.getmtime)
+        for i, f in enumerate(files):
+            os.utime(f, (1_000_000 + i, 1_000_000 + i))         # files are taken in this order
+        streams.append(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)))
+    query = (alerts.instance_stream(*streams, delay="40 hours").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(**ONCE).start())
+    query.awaitTermination()
+    got = sorted((f"{r.cluster} / {r.instance_id}", r.at_ms, r.bad) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = sorted((r.subject, r.at_ms, r.bad) for r in rules.ecs_instances(history, services, "r").collect())
+    assert set(want) - set(got) == set() and got == want
+    assert len(got) > 80 and len(query.recentProgress) > 4
