@@ -56,6 +56,36 @@ def write_batch(rows: DataFrame, path: str, batch: int, partitions: Sequence[str
     write_partitions(rows.withColumn("batch", F.lit(batch).cast("bigint")), path, [*partitions, "batch"])
 
 
+# ---- small notes: files of a line, created once
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def create_note(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a file of one line unless there is one: of several writers one succeeds."""
+    files, place = _place(spark, path)
+    try:
+        out = files.create(place, False)
+    except Exception:  # noqa: BLE001  the file system says in its own way that it exists
+        if files.exists(place):
+            return False
+        raise
+    out.writeBytes(text + "\n")
+    out.close()
+    return True
+
+
+def read_note(spark: SparkSession, path: str) -> str | None:
+    files, place = _place(spark, path)
+    return spark.read.text(path).first()[0] if files.exists(place) else None
+
+
+def note_names(spark: SparkSession, folder: str) -> list[str]:
+    files, place = _place(spark, folder)
+    return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+
+
 def read_newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Newest version per key of a table written batch by batch."""
     values = [c for c in rows.columns if c not in (*keys, "batch")]

@@ -2,10 +2,11 @@
 
 Tables under one root:
 
-``runs``      (name, batch): the store's own batch numbers, one for each micro-batch or range
+``numbers``, ``names``  a file per batch: the store's own batch numbers, one for each micro-batch or range
 ``incoming``  request rows by lb, dt, hour, batch: what each batch brought
 ``arrived``   (lb, dt, hour, n) per batch: which hours a batch touched
 ``ledger``    files converted, per batch
+``failed``    (path, error, tries, next_ms) per batch: files that could not be read, and when they are tried again
 ``requests``, ``paths``, ``minutes``  finished hours and their roll-ups, by lb, dt, hour, upto
 ``merged``    (lb, dt, hour, upto) per merge
 
@@ -27,6 +28,8 @@ from ..operators.lb import RequestTables
 from ..sources import writers as S
 
 SETTLE_MS = 15 * MINUTE
+#: how long a file that could not be read is left alone
+RETRY_MS = 30 * MINUTE
 
 
 @dataclass(frozen=True)
@@ -41,22 +44,30 @@ class RequestStore:
 
     # -- conversion
     def batch_of(self, spark: SparkSession, name: str) -> int:
-        """The store's number of a batch: the one it was given before, or else the next. One writer at a time."""
-        runs = self.read(spark, "runs")
-        known = None if runs is None else runs.agg(F.max("batch"), F.max(F.when(F.col("name") == name, F.col("batch")))).first()
-        if known is not None and known[1] is not None:
-            return known[1]
-        batch = 0 if known is None else known[0] + 1
-        S.write_batch(spark.createDataFrame([(name,)], "name string"), self.path("runs"), batch)
-        return batch
+        """The store's number of a batch: the one it was given before, or else a new one.
+
+        A number is taken by creating its file, which fails if there is one: two writers never get the same. What was taken for a name is then
+        written under the name in the same way.
+        """
+        named = self.path(f"names/{hashlib.sha256(name.encode()).hexdigest()}")
+        known = S.read_note(spark, named)
+        if known is None:
+            batch = 1 + max([int(n) for n in S.note_names(spark, self.path("numbers"))], default=-1)
+            while not S.create_note(spark, self.path(f"numbers/{batch}"), name):
+                batch += 1
+            known = str(batch) if S.create_note(spark, named, str(batch)) else S.read_note(spark, named)
+        return int(known)
 
     def converted(self, spark: SparkSession, batch: int) -> DataFrame | None:
         """Files that other batches hold."""
         ledger = self.read(spark, "ledger")
         return None if ledger is None else ledger.filter(F.col("batch") != batch).select(F.col("path").alias("file"))
 
-    def add(self, lines: DataFrame, batch: int) -> None:
-        """Parse one batch of (raw, file) lines. A batch that is repeated replaces what it wrote."""
+    def add(self, lines: DataFrame, batch: int, files: DataFrame | None = None) -> None:
+        """Parse one batch of (raw, file) lines; ``files`` (path) are those it stands for. A batch that is repeated replaces what it wrote.
+
+        The lines are read once: which hours they touch is counted from the rows written.
+        """
         rows = S.with_hour(parse_requests(lines)).filter("lb IS NOT NULL AND ts_ms IS NOT NULL")
         S.write_batch(rows, self.path("incoming"), batch, S.HOUR_KEYS)
         spark = lines.sparkSession
@@ -64,9 +75,17 @@ class RequestStore:
         if incoming is not None:
             own = incoming.filter(F.col("batch") == batch)
             S.write_batch(own.groupBy(*S.HOUR_KEYS).agg(F.count("*").alias("n")), self.path("arrived"), batch)
-        files = lines.select(F.col("file").alias("path")).distinct()
+        files = lines.select(F.col("file").alias("path")).distinct() if files is None else files
         S.write_batch(files, self.path("ledger"), batch)
 
+    def failures(self, spark: SparkSession) -> DataFrame | None:
+        """(path, error, tries, next_ms) of files that could not be read and have not been converted since."""
+        failed, ledger = self.read(spark, "failed"), self.read(spark, "ledger")
+        if failed is None:
+            return None
+        last = S.read_newest(failed, ["path"])
+        return last if ledger is None else last.join(ledger.select("path"), "path", "left_anti")
+
     def done(self, spark: SparkSession) -> DataFrame | None:
         """(lb, dt, hour, done): up to which batch an hour is merged."""
         merged = self.read(spark, "merged")
@@ -127,48 +146,97 @@ class RequestStore:
         return RequestTables(*parts, rest)
 
 
-def convert_batch(store: RequestStore, lines: DataFrame, name: str, now: int) -> None:
-    """One named batch of (raw, file) lines without the files that other batches hold. Repeated under its name, it replaces itself."""
-    spark = lines.sparkSession
+def readable(spark: SparkSession, files: list[str], problem: str = "") -> tuple[list[str], list[tuple[str, str]]]:
+    """``files`` that can be read to their end, and (file, error) of the others, found by halving: some jobs per file that can't be."""
+    from ..sources.readers import read_access_lines
+    if not files:
+        return [], []
+    try:
+        read_access_lines(spark, *files).agg(F.sum(F.length("raw"))).collect()
+        return files, []
+    except Exception as e:  # noqa: BLE001  whatever a file's reader throws
+        problem = str(e).splitlines()[0][:200]
+    if len(files) == 1:
+        return [], [(files[0], problem)]
+    half = len(files) // 2
+    (good, bad), (more, worse) = readable(spark, files[:half]), readable(spark, files[half:])
+    return good + more, bad + worse
+
+
+def convert_files(spark: SparkSession, store: RequestStore, files: list[str], name: str, now: int) -> int:
+    """One named batch of files without those that other batches hold; how many were converted. Repeated under its name, it replaces itself.
+
+    A file that can't be read is set aside with the time of its next try, and the rest of the batch goes on. File names come to the driver, as they do for any scan.
+    """
+    from ..sources.readers import read_access_lines
     batch = store.batch_of(spark, name)
     other = store.converted(spark, batch)
-    if other is not None:
-        again = lines.select("file").distinct().join(other, "file", "left_semi")
-        if not again.isEmpty():
-            lines = lines.join(again, "file", "left_anti").select("raw", "file")
-    store.add(lines, batch)
+    listed = spark.createDataFrame([(f,) for f in files], "path string")
+    if other is not None and files:
+        files = sorted(r.path for r in listed.join(other.withColumnRenamed("file", "path"), "path", "left_anti").collect())
+
+    def add(good: list[str]) -> None:
+        lines = read_access_lines(spark, *good) if good else spark.createDataFrame([], "raw string, file string")
+        store.add(lines, batch, spark.createDataFrame([(f,) for f in good], "path string"))
+    try:
+        add(files)
+    except Exception:  # noqa: BLE001
+        files, bad = readable(spark, files)
+        if not bad:
+            raise
+        before = store.read(spark, "failed")
+        tries = {} if before is None else {r.path: r.n for r in before.filter(F.col("path").isin([f for f, _ in bad]) & (F.col("batch") != batch)).groupBy("path").agg(F.max("tries").alias("n")).collect()}
+        rows = [(f, error, tries.get(f, 0) + 1, now + RETRY_MS) for f, error in bad]
+        S.write_batch(spark.createDataFrame(rows, "path string, error string, tries int, next_ms bigint"), store.path("failed"), batch)
+        add(files)
     store.merge(spark, now, batch)
+    return len(files)
+
+
+def retry_failed(spark: SparkSession, store: RequestStore, now: int) -> int:
+    """Tries files that were set aside and are due, as a batch of their own; how many came in."""
+    failures = store.failures(spark)
+    due = [] if failures is None else sorted((r.path, r.tries) for r in failures.filter(F.col("next_ms") <= now).collect())
+    if not due:
+        return 0
+    name = hashlib.sha256("\n".join(f"{p} {n}" for p, n in due).encode()).hexdigest()
+    return convert_files(spark, store, [p for p, _ in due], f"retry/{name}", now)
 
 
 def stream_convert(spark: SparkSession, source: str, store: RequestStore, checkpoint: str, now: int | None = None,
                    trigger: dict | None = None) -> StreamingQuery:
     """New log files every five minutes by default.
 
-    A batch is named by the checkpoint's own id and its number, so that a repeated one is known again and those of a new checkpoint are not
-    taken for old ones; the ledger keeps files out that were converted before.
+    The stream brings names of files, which are then read once. A batch is named by the checkpoint's own id and its number, so that a repeated one is known again and
+    those of a new checkpoint are not taken for old ones; the ledger keeps files out that were converted before. Each batch also tries files that were
+    set aside and are due; ``retry_failed`` does so where no new files come.
     """
     import json
     import time
-    lines = (spark.readStream.format("text").option("recursiveFileLookup", "true").load(source)
-             .select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file")))
+    listed = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+              .option("recursiveFileLookup", "true").load(source).select("path"))
 
-    def convert(batch_rows: DataFrame, batch: int) -> None:
+    def convert(batch_files: DataFrame, batch: int) -> None:
         query = json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
-        convert_batch(store, batch_rows, f"{query}/{batch}", int(time.time() * 1000) if now is None else now)
-    return (lines.writeStream.foreachBatch(convert).option("checkpointLocation", checkpoint)
+        time_ms = int(time.time() * 1000) if now is None else now
+        convert_files(spark, store, sorted({r.path for r in batch_files.collect()}), f"{query}/{batch}", time_ms)
+        retry_failed(spark, store, time_ms)
+    return (listed.writeStream.foreachBatch(convert).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "5 minutes"})).start())
 
 
 def convert_range(spark: SparkSession, paths: list[str], store: RequestStore, now: int) -> int:
-    """The same conversion for chosen old files, as one batch named by the files that are not converted yet; how many those were.
+    """The same conversion for chosen old files, as one batch named by the files that are not converted yet; how many came in.
 
-    File names come to the driver, as they do for any scan; a range converted before, by a stream or a range, changes nothing.
+    A range converted before, by a stream or a range, changes nothing; files set aside wait for their time.
     """
-    from ..sources.readers import read_access_lines
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path")
-    pending = listed.join(ledger.select("path"), "path", "left_anti") if (ledger := store.read(spark, "ledger")) is not None else listed
-    files = sorted(r.path for r in pending.distinct().collect())
-    if files:
-        name = hashlib.sha256("\n".join(files).encode()).hexdigest()
-        convert_batch(store, read_access_lines(spark, *files), f"range/{name}", now)
-    return len(files)
+    for known in (store.read(spark, "ledger"), store.failures(spark)):
+        if known is not None:
+            listed = listed.join((known.filter(F.col("next_ms") > now) if "next_ms" in known.columns else known).select("path"), "path", "left_anti")
+    files = sorted(r.path for r in listed.distinct().collect())
+    if not files:
+        return 0
+    tries = f"{now // RETRY_MS}" if store.failures(spark) is not None else ""
+    name = hashlib.sha256("\n".join([*files, tries]).encode()).hexdigest()
+    return convert_files(spark, store, files, f"range/{name}", now)

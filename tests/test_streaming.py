@@ -77,6 +77,43 @@ def test_a_range_is_converted_once_and_in_any_order(spark, tmp_path):
     assert total() == (4, 4, 0) and store.batch_of(spark, "late") == store.batch_of(spark, "late")
 
 
+def test_a_broken_file_waits_and_the_others_go_on(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    store, start = convert.RequestStore(str(tmp_path / "store")), T0 + DAY
+    for i in range(10):
+        write_log(logs, f"f{i}", [f"2026-10-07T0{6 + i % 3}:10:0{i}Z"] * 40)
+    whole = (logs / "f4.log.gz").read_bytes()
+    (logs / "f4.log.gz").write_bytes(whole[:60])
+    with gzip.open(logs / "blank.log.gz", "wt") as out:
+        out.write("\n")
+
+    def run(now):
+        convert.stream_convert(spark, str(logs), store, str(tmp_path / "checkpoint"), now, ONCE).awaitTermination()
+        return lb.status_totals(RequestQuery(T0, T0 + DAY).minutes(store.tables(spark))).first().requests
+    assert run(start) == 360
+    failed = store.failures(spark).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.tries, r.next_ms) for r in failed] == [("f4.log.gz", 1, start + 30 * MINUTE)] and failed[0].error
+    assert store.read(spark, "ledger").count() == 10            # a file without a line counts as converted
+    assert convert.convert_range(spark, [str(logs)], store, start) == 0
+    assert convert.retry_failed(spark, store, start + 29 * MINUTE) == 0
+    assert convert.retry_failed(spark, store, start + 31 * MINUTE) == 0     # still broken
+    assert [(r.tries, r.next_ms) for r in store.failures(spark).collect()] == [(2, start + 61 * MINUTE)]
+    (logs / "f4.log.gz").write_bytes(whole)
+    write_log(logs, "new", ["2026-10-07T09:10:00Z"])
+    assert run(start + 40 * MINUTE) == 361 and store.failures(spark).count() == 1
+    write_log(logs, "newer", ["2026-10-07T09:11:00Z"])
+    assert run(start + 61 * MINUTE) == 402 and store.failures(spark).count() == 0
+    assert store.unmerged(spark).count() == 0 and convert.convert_range(spark, [str(logs)], store, start + DAY) == 0
+
+
+def test_a_batch_number_is_given_once(spark, tmp_path):
+    store = convert.RequestStore(str(tmp_path / "store"))
+    assert [store.batch_of(spark, n) for n in ("a", "b", "a", "c")] == [0, 1, 0, 2]
+    assert writers.create_note(spark, store.path("numbers/3"), "another writer")
+    assert store.batch_of(spark, "d") == 4 and not writers.create_note(spark, store.path("numbers/4"), "late")
+
+
 def test_hot_hours_are_split_over_tasks(spark, tmp_path):
     rows = spark.range(200_000).selectExpr("'lb' AS lb", "date'2026-01-01' AS dt", "IF(id % 10 = 0, 1, 0) AS hour", "uuid() AS x")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512kb")
