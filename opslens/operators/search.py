@@ -152,6 +152,8 @@ class _Compiler:
 # ---- views of the matches
 def with_row_ref(logs: DataFrame) -> DataFrame:
     """File and row number of every row: the key of the detail view."""
+    if set(REF) <= set(logs.columns):
+        return logs
     return logs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
 
 

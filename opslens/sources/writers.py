@@ -33,6 +33,14 @@ def add_windows(target: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("t",
                                    F.max_by("src", "at").alias("src"))
 
 
+def add_windows_once(target: DataFrame, fresh: DataFrame, batch: int, keys: Sequence[str] = ("t", "tenant")) -> DataFrame:
+    """``add_windows`` for a numbered batch: a window keeps the last batch it took (``applied``), so that a batch which is repeated adds nothing."""
+    taken = target.filter(F.col("applied") >= batch).select(*keys)
+    new = fresh.join(taken, list(keys), "left_anti")
+    last = target.unionByName(new.withColumn("applied", F.lit(batch).cast("bigint"))).groupBy(*keys).agg(F.max("applied").alias("applied"))
+    return add_windows(target.drop("applied"), new, keys).join(last, list(keys))
+
+
 # ---- partitioned tables
 def with_hour(rows: DataFrame, time: str = "ts_ms") -> DataFrame:
     """Partition columns of the event time: dt (date) and hour."""

@@ -167,3 +167,31 @@ def test_ranges_without_folders_have_no_lines(spark, tmp_path):
     assert readers.read_logs(spark, str(tmp_path), "shop-1", 0, 3_600_000).count() == 0
     assert readers.read_logs(spark, str(tmp_path), "shop-2", 0, 3_600_000).count() == 0
     assert readers.read_api_metrics(spark, [str(tmp_path / "none" / "dt=*")]).count() == 0
+
+
+def test_types_are_widened():
+    from pyspark.sql import types as T
+
+    from opslens.sources.schemas import widened
+    kinds = {"tinyint": T.ByteType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "float": T.FloatType(), "text": T.StringType(),
+             "yes": T.BooleanType(), "money": T.DecimalType(10, 2), "more": T.DecimalType(12, 4), "day": T.DateType(), "time": T.TimestampType(), "none": T.NullType()}
+    for a, b, want in [("int", "bigint", "bigint"), ("tinyint", "int", "int"), ("bigint", "double", "double"), ("float", "double", "double"), ("bigint", "text", "text"),
+                       ("yes", "int", "text"), ("yes", "text", "text"), ("money", "int", "double"), ("day", "time", "time"), ("none", "day", "day"), ("day", "text", "text")]:
+        assert widened(kinds[a], kinds[b]) == widened(kinds[b], kinds[a]) == kinds[want]
+    assert widened(kinds["money"], kinds["more"]) == T.DecimalType(12, 4)
+
+
+def test_files_of_several_types_are_read_as_one(spark, tmp_path, monkeypatch):
+    from opslens.sources import schemas
+    start = 1_767_225_600_000
+    values = [F.lit(1).alias("v"), F.lit(2**40).alias("v"), F.lit(0.5).alias("v"), F.lit("x").alias("v"), F.lit(7).alias("other")]
+    for hour, v in enumerate(values):
+        spark.range(1).select(F.lit(start + hour * 3_600_000).alias("log_time_ms"), v).coalesce(1).write.parquet(str(tmp_path / f"a/dt=2026-01-01/hour={hour:02d}"))
+    for few in (64, 1):
+        monkeypatch.setattr(schemas, "FEW", few)
+        for upto, want in ((1, ["1", str(2**40)]), (2, ["1.0", str(float(2**40)), "0.5"]), (4, ["1", str(2**40), "0.5", "x", "None"])):
+            logs = readers.read_logs(spark, str(tmp_path), "a", start, start + upto * 3_600_000).orderBy("log_time_ms")
+            assert [str(r.v) for r in logs.collect()] == want
+    found = search.with_row_ref(logs)
+    last = found.filter("v = 'x'").first()
+    assert search.record(found, last["_file"].rsplit("/dt=", 1)[0], last["_file"], last["_row"]).first().v == "x"
