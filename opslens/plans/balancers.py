@@ -148,22 +148,21 @@ def lb_buckets(spark, sf_dir):
     return lb.status_buckets(_query(domains=["d1.example.com"]).minutes(tables(spark, sf_dir)), 12 * HOUR)
 
 
-#: per target group, the path with the most errors and that path's most frequent error code
+#: worst: per target group, the path that no other of it beats in errors (then by name), with its most frequent error code
 _TOP_ERROR = """
-    f AS (SELECT tg, method, path_group, mode_code AS code, errors AS total, 1 AS rn FROM (
-            SELECT tg, method, path_group, count(*) AS errors, arg_max(elb_code, (same, elb_code)) AS mode_code
-            FROM (SELECT *, count(*) OVER (PARTITION BY tg, method, path_group, elb_code) AS same FROM m WHERE elb_code >= 400)
-            GROUP BY tg, method, path_group)
-          QUALIFY row_number() OVER (PARTITION BY tg ORDER BY errors DESC, path_group, method) = 1)"""
+    failing AS (SELECT tg, method, path_group, elb_code, count(*) AS times FROM m WHERE elb_code >= 400 GROUP BY ALL),
+    of_path AS (SELECT tg, method, path_group, CAST(sum(times) AS BIGINT) AS errors, max({'times': times, 'code': elb_code}).code AS code FROM failing GROUP BY ALL),
+    worst AS (SELECT tg, list(p ORDER BY p.errors DESC, p.path_group, p.method)[1] AS p
+              FROM (SELECT tg, {'errors': errors, 'path_group': path_group, 'method': method, 'code': code} AS p FROM of_path) GROUP BY tg)"""
 
 
 @QUERIES.add("lb_target_groups", sql(f"""WITH m AS (SELECT * FROM v_bins WHERE {ROLLED}), {_TOP_ERROR},
     q AS ({percentile_sql('m', 'tg', {'p95': 0.95})}),
     g AS (SELECT tg, min(cluster) AS cluster, string_agg(DISTINCT lb, ',' ORDER BY lb) AS lbs, count(*) AS requests,
                  count(*) FILTER (elb_code BETWEEN 400 AND 499) AS s4xx, {_BLAME}, {_AVG} FROM m GROUP BY tg)
-    SELECT g.*, s5xx_app + s5xx_lb AS s5xx, round(q.p95, 6) AS p95, f.method AS error_method, f.path_group AS error_path,
-           f.code AS error_code, CAST(f.total AS BIGINT) AS error_count
-    FROM g LEFT JOIN q ON q.tg IS NOT DISTINCT FROM g.tg LEFT JOIN f ON f.rn = 1 AND f.tg IS NOT DISTINCT FROM g.tg"""))
+    SELECT g.*, s5xx_app + s5xx_lb AS s5xx, round(q.p95, 6) AS p95, w.p.method AS error_method, w.p.path_group AS error_path,
+           w.p.code AS error_code, w.p.errors AS error_count
+    FROM g LEFT JOIN q ON q.tg IS NOT DISTINCT FROM g.tg LEFT JOIN worst w ON w.tg IS NOT DISTINCT FROM g.tg"""))
 def lb_target_groups(spark, sf_dir):
     t, q = tables(spark, sf_dir), _query()
     rows = lb.target_group_table(q.minutes(t), q.paths(t))
@@ -172,8 +171,7 @@ def lb_target_groups(spark, sf_dir):
 
 
 @QUERIES.add("lb_top_error", sql(f"""WITH m AS (SELECT * FROM v_bins WHERE {ROLLED} AND lb = 'lb-1'), {_TOP_ERROR}
-    SELECT tg, method AS error_method, path_group AS error_path, code AS error_code, CAST(total AS BIGINT) AS error_count
-    FROM f WHERE rn = 1"""))
+    SELECT tg, p.method AS error_method, p.path_group AS error_path, p.code AS error_code, p.errors AS error_count FROM worst"""))
 def lb_top_error(spark, sf_dir):
     return lb.top_error_paths(_query(lbs=["lb-1"]).paths(tables(spark, sf_dir)))
 
@@ -193,14 +191,16 @@ def lb_path_codes(spark, sf_dir):
 def _paths_sql(order: str, limit: int) -> str:
     return sql(f"""WITH m AS (SELECT * FROM v_bins WHERE {ROLLED}),
     q AS ({percentile_sql('m', 'method, path_group', {'p95': 0.95})}),
-    g AS (SELECT method, path_group, count(*) AS requests, {_CLASSES}, count(*) FILTER (elb_code >= 500) AS s5xx,
-                 count(*) FILTER (elb_code BETWEEN 400 AND 499) AS s4xx, {_AVG},
-                 array_to_string(list(DISTINCT tg ORDER BY tg)[1:3], ',') AS tgs, count(*) OVER () AS groups,
-                 arg_max(elb_code, (same, elb_code)) AS top_code
-          FROM (SELECT *, count(*) OVER (PARTITION BY method, path_group, elb_code) AS same FROM m) GROUP BY method, path_group)
-    SELECT g.*, round(q.p95, 6) AS p95 FROM g
-    LEFT JOIN q ON q.method IS NOT DISTINCT FROM g.method AND q.path_group IS NOT DISTINCT FROM g.path_group
-    ORDER BY {order}, g.path_group, g.method LIMIT {limit}""")
+    totals AS (SELECT method, path_group, count(*) AS requests, {_CLASSES}, count(*) FILTER (elb_code >= 500) AS s5xx,
+                      count(*) FILTER (elb_code BETWEEN 400 AND 499) AS s4xx, {_AVG} FROM m GROUP BY ALL),
+    owners AS (SELECT method, path_group, string_agg(tg, ',' ORDER BY tg) AS tgs
+               FROM (SELECT *, row_number() OVER (PARTITION BY method, path_group ORDER BY tg) AS place
+                     FROM (SELECT DISTINCT method, path_group, tg FROM m WHERE tg IS NOT NULL)) WHERE place <= 3 GROUP BY ALL),
+    frequent AS (SELECT method, path_group, max({{'times': times, 'code': elb_code}}).code AS top_code
+                 FROM (SELECT method, path_group, elb_code, count(*) AS times FROM m WHERE elb_code IS NOT NULL GROUP BY ALL) GROUP BY ALL)
+    SELECT totals.*, coalesce(tgs, '') AS tgs, top_code, (SELECT count(*) FROM totals) AS groups, round(q.p95, 6) AS p95
+    FROM totals LEFT JOIN q USING (method, path_group) LEFT JOIN owners USING (method, path_group) LEFT JOIN frequent USING (method, path_group)
+    ORDER BY {order}, path_group, method LIMIT {limit}""")
 
 
 def _paths(sort: str, limit: int):
