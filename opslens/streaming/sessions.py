@@ -39,4 +39,7 @@ def stream_counts(entries: DataFrame, health_prefix: str, table: str, checkpoint
 
 def read_counts(spark: SparkSession, table: str) -> DataFrame:
     """Newest count of every window row."""
-    return S.read_newest(spark.read.parquet(table).drop("dt"), ROW)
+    rows = S.read_or_none(spark, table)
+    if rows is None:
+        return spark.createDataFrame([], "minute_ms bigint, source string, store string, page string, category string, value string, n bigint")
+    return S.read_newest(rows.drop("dt"), ROW)

@@ -27,18 +27,22 @@ def read_first_seen(spark: SparkSession, root: str) -> DataFrame:
     """(day, service, store, order_id, first_ms): final days as they are, open days merged."""
     parts = [p.drop("batch") for p in (S.read_or_none(spark, f"{root}/final"), S.read_or_none(spark, f"{root}/open"))
              if p is not None]
+    if not parts:
+        return spark.createDataFrame([], "day date, service string, store string, order_id string, first_ms bigint")
     rows = reduce(DataFrame.unionByName, parts)
     return rows.groupBy("day", *KEY).agg(F.min("first_ms").alias("first_ms"))
 
 
 def close_days(spark: SparkSession, root: str, now: int) -> None:
-    """Fold days that ended some hours ago into one partition each. Running it again changes nothing."""
-    start = F.unix_millis(F.col("day").cast("timestamp"))
-    days = read_first_seen(spark, root).filter(start + DAY + FINAL_AFTER_MS < now)
-    final = S.read_or_none(spark, f"{root}/final")
+    """Fold days that ended some hours ago into one partition each, and again those that late rows have changed since. Running it again changes nothing."""
+    arrived, final = S.read_or_none(spark, f"{root}/open"), S.read_or_none(spark, f"{root}/final")
+    if arrived is None:
+        return
     if final is not None:
-        # days already folded only change when an open batch still holds rows of them
-        days = days.join(final.select("day").distinct(), "day", "left_anti")
+        known = final.select("day", *KEY, F.col("first_ms").alias("known_ms"))
+        arrived = arrived.join(known, ["day", *KEY], "left").filter("known_ms IS NULL OR first_ms < known_ms")
+    start = F.unix_millis(F.col("day").cast("timestamp"))
+    days = read_first_seen(spark, root).filter(start + DAY + FINAL_AFTER_MS < now).join(arrived.select("day").distinct(), "day", "left_semi")
     S.write_partitions(days, f"{root}/final", ["day"])
 
 

@@ -152,6 +152,14 @@ def test_first_sightings_stream(spark, rows, tmp_path):
         sightings.close_days(spark, root, DAY + 4 * HOUR)
     assert {(r.order_id, r.first_ms) for r in sightings.read_first_seen(spark, root).collect()} == want
     assert spark.read.parquet(root + "/final").count() == 2
+    late = [("s", "x", "2", 700), ("s", "y", "9", 100)]                # of a day that is final
+    sightings.add_batch(rows(late, schema), root, 99)
+    for _ in range(2):
+        sightings.close_days(spark, root, DAY + 4 * HOUR)
+    assert {(r.order_id, r.first_ms) for r in spark.read.parquet(root + "/final").collect()} == {("1", 300), ("2", 700), ("9", 100)}
+    assert sightings.read_first_seen(spark, str(tmp_path / "none")).count() == 0
+    batches.append(late)
+    want = {("1", 300), ("2", 700), ("3", DAY + 5), ("9", 100)}
     everything = rows([r for b in batches for r in b], schema)
     assert {(r.order_id, r.first_ms) for r in orders.first_seen(everything).collect()} == want
 
@@ -165,6 +173,7 @@ def test_session_counts_stream(spark, rows, tmp_path):
         rows(part, ENTRY).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(ENTRY).parquet(source)
         session_stream.stream_counts(stream, "probe-", table, str(tmp_path / "checkpoint"), ONCE).awaitTermination()
+    assert session_stream.read_counts(spark, str(tmp_path / "none")).count() == 0
     got = {tuple(r) for r in session_stream.read_counts(spark, table).select(*sessions.ROW, "n").collect()}
     want = {tuple(r) for r in sessions.count_entries(rows(data, ENTRY), "probe-").select(*sessions.ROW, "n").collect()}
     assert got == want
