@@ -75,9 +75,13 @@ _UPPER = "array(" + ", ".join(f"{e}D" for e in P.LATENCY_EDGES[1:] + P.LATENCY_E
 
 
 def latency_bin(seconds: str) -> Column:
-    """Index of the bin a response time falls in, NULL for no time."""
-    reached = f"size(filter({_LOWER}, edge -> edge <= {seconds} * 1000)) - 1"
-    return F.expr(f"CAST(CASE WHEN {seconds} IS NOT NULL THEN {reached} END AS TINYINT)")
+    """Index of the bin a response time falls in, NULL for no time. Five comparisons by halving, within generated code."""
+    def among(low: int, high: int) -> str:
+        if low == high:
+            return str(low - 1)
+        mid = (low + high) // 2
+        return f"IF({seconds} * 1000 >= {P.LATENCY_EDGES[mid]}D, {among(mid + 1, high)}, {among(low, mid)})"
+    return F.expr(f"CAST(CASE WHEN {seconds} IS NOT NULL THEN {among(0, len(P.LATENCY_EDGES))} END AS TINYINT)")
 
 
 def bin_list(lat_bin: str = "lat_bin", n: str = "n") -> Column:
