@@ -19,7 +19,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from opslens.operators import access, lb  # noqa: E402
-from opslens.operators.lb import RequestQuery, RequestTables  # noqa: E402
+from opslens.operators.lb import LongSteps, RequestQuery, RequestTables  # noqa: E402
+from opslens.functions.times import DAY, HOUR  # noqa: E402
 from opslens.plans import all_queries, views  # noqa: E402
 from opslens.session import build_session  # noqa: E402
 from opslens.sources import writers  # noqa: E402
@@ -66,7 +67,18 @@ def at_scale(spark, folder: str, wanted: int) -> dict[str, float]:
     for name, rollup in (("minutes", access.minute_rollup), ("paths", access.path_rollup)):
         out[f"scale_write_{name}"] = timed(lambda: writers.write_partitions(
             writers.with_hour(rollup(requests), "minute_ms"), f"{folder}/{name}", ["dt", "hour"]))
-    tables = RequestTables(*[spark.read.parquet(f"{folder}/{n}") for n in ("requests", "minutes", "paths")])
+    keys = ["dt", "hour"]
+
+    def rolled(name: str, source: str, step: int):
+        # longer steps as the store keeps them: a partition a day
+        rows = access.coarser(spark.read.parquet(f"{folder}/{source}").drop(*keys), step)
+        out[f"scale_write_{name}"] = timed(lambda: writers.write_partitions(writers.with_hour(rows, "minute_ms").drop("hour"), f"{folder}/{name}", ["dt"]))
+        return spark.read.parquet(f"{folder}/{name}").drop(*keys)
+    steps = []
+    for name in ("minutes", "paths"):
+        hours = rolled(f"{name}_by_hour", name, HOUR)
+        steps.append(LongSteps(hours, rolled(f"{name}_by_day", f"{name}_by_hour", DAY)))
+    tables = RequestTables(*[spark.read.parquet(f"{folder}/{n}").drop(*keys) for n in ("requests", "minutes", "paths")], None, *steps)
     query = RequestQuery(WEEK_START, WEEK_START + week - 1)
     word = RequestQuery(WEEK_START, WEEK_START + week - 1, words='s3.myshopify -"POST https" Root=1-4*7')
 
@@ -78,7 +90,7 @@ def at_scale(spark, folder: str, wanted: int) -> dict[str, float]:
 
     runs = {
         "b1_summary": summary,
-        "b2_paths": lambda: finish(lb.path_table(query.paths(tables), "errors", 50)),
+        "b2_paths": lambda: finish(lb.path_table(query.paths(tables, None), "errors", 50)),
         "b3_page": lambda: finish(lb.request_page(query, tables, 100, 250)),
         "b4_word_search": lambda: finish(lb.status_totals(word.minutes(tables))),
     }

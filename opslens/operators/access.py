@@ -84,6 +84,13 @@ def path_rollup(requests: DataFrame) -> DataFrame:
     return _rollup(requests, P.PATH_KEYS)
 
 
+def coarser(rollup: DataFrame, step: int) -> DataFrame:
+    """A roll-up in longer steps (hours, days): the same keys and sums, ``minute_ms`` being the start of the step."""
+    sums = ["n", "tgt_t_sum", "tgt_t_n"]
+    keys = [c for c in rollup.columns if c not in ("minute_ms", *sums)]
+    return rollup.groupBy(floor_to("minute_ms", step).alias("minute_ms"), *keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def parse_access_key(files: DataFrame, path: str = "path") -> DataFrame:
     """Account, region, balancer, end time and hour of access log files; other files are left out.
 

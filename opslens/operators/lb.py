@@ -12,7 +12,7 @@ from ..functions import patterns as P
 from ..functions import web
 from ..functions.figures import ratio, sum_when
 from ..functions.text import like_pattern, true_or_false
-from ..functions.times import HOUR, MINUTE, floor_to
+from ..functions.times import DAY, HOUR, MINUTE, floor_to
 from .access import minute_rollup, path_rollup
 
 MINUTES, PATHS, ROWS = "minute", "paths", "rows"
@@ -113,14 +113,32 @@ class RequestQuery:
                 yield ~hit if sign else hit
 
     # -- the tables that answer it
-    def minutes(self, tables: "RequestTables") -> DataFrame:
-        """Minute roll-up rows of the query, from the smallest table with its filters."""
+    def rolled(self, level: str, tables: "RequestTables", step: int | None) -> DataFrame:
+        """Rows of a roll-up (MINUTES or PATHS) for the range, in the longest steps that fit between its edges.
+
+        The range starts and ends in minutes, then come hours, and days in the middle; what the longer steps don't cover is
+        read in minutes. ``step`` is what the caller tells times apart by (None: not at all), so no longer one is mixed in.
+        """
+        minutes, long = (tables.minutes, tables.long_minutes) if level == MINUTES else (tables.paths, tables.long_paths)
+        if long is None:
+            return minutes.filter(self.condition(level))
+        parts, covered = [], []
+        for grain, start, end in spans(self.start_ms // MINUTE * MINUTE, self.end_ms // MINUTE * MINUTE + MINUTE, step):
+            source = {MINUTE: minutes, HOUR: long.hours, DAY: long.days}[grain]
+            parts.append(source.filter(replace(self, start_ms=start, end_ms=end - 1).condition(level)))
+            covered += [start, end] if grain != MINUTE else []
+        if covered and long.rest is not None:
+            parts.append(long.rest.filter(replace(self, start_ms=min(covered), end_ms=max(covered) - 1).condition(level)))
+        return reduce(DataFrame.unionByName, parts) if parts else minutes.filter(self.condition(level))
+
+    def minutes(self, tables: "RequestTables", step: int | None = MINUTE) -> DataFrame:
+        """Minute roll-up rows of the query, from the smallest table with its filters; rows of longer steps where ``step`` allows them."""
         level = self.level()
         parts = []
         if level == MINUTES:
-            parts.append(tables.minutes.filter(self.condition(MINUTES)))
+            parts.append(self.rolled(MINUTES, tables, step))
         elif level == PATHS:
-            selected = tables.paths.filter(self.condition(PATHS)).withColumn("domain", F.lit(None).cast("string"))
+            selected = self.rolled(PATHS, tables, step).withColumn("domain", F.lit(None).cast("string"))
             parts.append(selected.drop("method", "path_group"))
         else:
             parts.append(minute_rollup(tables.requests.filter(self.condition(ROWS))))
@@ -128,24 +146,47 @@ class RequestQuery:
             parts.append(minute_rollup(tables.unmerged.filter(self.condition(ROWS))))
         return reduce(DataFrame.unionByName, parts)
 
-    def paths(self, tables: "RequestTables") -> DataFrame:
-        """Path roll-up rows of the query."""
+    def paths(self, tables: "RequestTables", step: int | None = MINUTE) -> DataFrame:
+        """Path roll-up rows of the query, of longer steps where ``step`` allows them."""
         if self.level() == ROWS or self.domains:
             parts = [path_rollup(tables.requests.filter(self.condition(ROWS)))]
         else:
-            parts = [tables.paths.filter(self.condition(PATHS))]
+            parts = [self.rolled(PATHS, tables, step)]
         if tables.unmerged is not None:
             parts.append(path_rollup(tables.unmerged.filter(self.condition(ROWS))))
         return reduce(DataFrame.unionByName, parts)
 
 
+def spans(start: int, end: int, step: int | None) -> list[tuple[int, int, int]]:
+    """[start, end) as (grain, from, to): days in the middle, hours around them, minutes at both edges. Whole minutes in, at most five spans out."""
+    def cut(start: int, end: int, grains: list[int]) -> list[tuple[int, int, int]]:
+        if start >= end:
+            return []
+        grain, *finer = grains
+        first, last = -(-start // grain) * grain, end // grain * grain
+        if first >= last:
+            return cut(start, end, finer)
+        return [*cut(start, first, finer), (grain, first, last), *cut(last, end, finer)]
+    return cut(start, end, [g for g in (DAY, HOUR) if step is None or step % g == 0] + [MINUTE])
+
+
+@dataclass(frozen=True)
+class LongSteps:
+    """A roll-up by hour and by day of the days it covers (per balancer), and the minutes of all other days."""
+    hours: DataFrame
+    days: DataFrame
+    rest: DataFrame | None = None
+
+
 @dataclass(frozen=True)
 class RequestTables:
-    """Finished requests and roll-ups, and the rows of hours not merged yet."""
+    """Finished requests and roll-ups, the rows of hours not merged yet, and the roll-ups in longer steps if there are any."""
     requests: DataFrame
     minutes: DataFrame
     paths: DataFrame
     unmerged: DataFrame | None = None
+    long_minutes: LongSteps | None = None
+    long_paths: LongSteps | None = None
 
 
 # ---- aggregates of roll-up rows
@@ -250,9 +291,9 @@ def summary(query: RequestQuery, tables: RequestTables, step: int) -> dict[str,
     The pass is kept as ``cells`` (codes x bins per target group and bucket); unpersist it when done.
     """
     t = floor_to("minute_ms", step)
-    kept = cells(query.minutes(tables).withColumn("t", t), ["tg", "cluster", "lb", "t"]).persist()
+    kept = cells(query.minutes(tables, step).withColumn("t", t), ["tg", "cluster", "lb", "t"]).persist()
     buckets = kept.filter("t IS NOT NULL").groupBy("t").agg(*_class_sums())
-    paths = None if query.domains and query.level() == MINUTES else query.paths(tables)
+    paths = None if query.domains and query.level() == MINUTES else query.paths(tables, None)
     return {"cells": kept, "totals": _totals(kept), "buckets": buckets,
             "target_groups": _with_top_error(_target_groups(kept), paths)}
 
@@ -322,9 +363,8 @@ def hour_counts(query: RequestQuery, tables: RequestTables) -> DataFrame:
     if level == ROWS or last < first:
         parts = [rows(query.start_ms, query.end_ms)]
     else:
-        rollup = tables.minutes if level == MINUTES else tables.paths
         whole = replace(query, start_ms=first, end_ms=last)
-        parts = [rollup.filter(whole.condition(level)).select(floor_to("minute_ms", HOUR).alias("hour_ms"), "n")]
+        parts = [whole.rolled(level, tables, HOUR).select(floor_to("minute_ms", HOUR).alias("hour_ms"), "n")]
         parts += [rows(a, b) for a, b in ((query.start_ms, first - 1), (last + 1, query.end_ms)) if a <= b]
     if tables.unmerged is not None:
         parts.append(tables.unmerged.filter(query.condition(ROWS))
@@ -367,8 +407,7 @@ def slowest(query: RequestQuery, tables: RequestTables, limit: int = 5) -> DataF
     if level != ROWS:
         whole = replace(query, start_ms=-(-query.start_ms // MINUTE) * MINUTE,
                         end_ms=(query.end_ms + 1) // MINUTE * MINUTE - 1)
-        rollup = tables.minutes if level == MINUTES else tables.paths
-        per_bin = (rollup.filter(whole.condition(level) & F.col("lat_bin").isNotNull())
+        per_bin = (whole.rolled(level, tables, None).filter(F.col("lat_bin").isNotNull())
                    .groupBy("lat_bin").agg(F.sum("n").alias("n")))
         running = W.orderBy(F.desc("lat_bin")).rowsBetween(W.unboundedPreceding, W.currentRow)   # 24 bins
         enough = per_bin.withColumn("upto", F.sum("n").over(running)).filter(F.col("upto") >= limit)

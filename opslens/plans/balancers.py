@@ -7,7 +7,7 @@ from ..functions import patterns as P
 from ..functions import web
 from ..functions.times import DAY, HOUR
 from ..operators import access, lb
-from ..operators.lb import Access, RequestQuery, RequestTables
+from ..operators.lb import Access, LongSteps, RequestQuery, RequestTables
 from . import views
 from .oracle import percentile_sql, sql
 from .registry import Registry
@@ -30,6 +30,24 @@ def tables(spark, sf_dir) -> RequestTables:
     return RequestTables(requests, access.minute_rollup(requests), access.path_rollup(requests))
 
 
+_ROLLED_UNTIL = 1704067200000 + 20 * DAY
+
+
+def _rolled_day(time: str) -> str:
+    """Days that have longer steps here: all of lb-0, and the first twenty of lb-1."""
+    return f"(lb = 'lb-0' OR lb = 'lb-1' AND {time} < {_ROLLED_UNTIL})"
+
+
+def long_tables(spark, sf_dir) -> RequestTables:
+    """Some days rolled up by hour and day, the others in minutes only."""
+    t = tables(spark, sf_dir)
+
+    def steps(rollup):
+        hours = access.coarser(rollup.filter(_rolled_day("minute_ms")), HOUR)
+        return LongSteps(hours, access.coarser(hours, DAY), rollup.filter(f"NOT {_rolled_day('minute_ms')}"))
+    return RequestTables(t.requests, t.minutes, t.paths, None, steps(t.minutes), steps(t.paths))
+
+
 # ---- URLs and raw lines
 @QUERIES.add("url_parts", sql(r"""SELECT page_id, url, path, nullif(regexp_extract(url, '\?([^#]*)', 1), '') AS query
     FROM (SELECT *, coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS path
@@ -113,6 +131,14 @@ def rollup_paths(spark, sf_dir):
     return rollup.withColumn("tgt_t_sum", F.round("tgt_t_sum", ROUND))
 
 
+for _name, _step in (("hours", HOUR), ("days", DAY)):
+    @QUERIES.add(f"rollup_{_name}", sql(f"""SELECT minute_ms // {_step} * {_step} AS minute_ms, lb, tg, cluster, domain, elb_code, tgt_code,
+        CAST(lat_bin AS TINYINT) AS lat_bin, count(*) AS n, round(sum(tgt_t), 6) AS tgt_t_sum, count(tgt_t) AS tgt_t_n FROM v_bins GROUP BY ALL"""))
+    def rollup_long(spark, sf_dir, step=_step):
+        rollup = access.coarser(access.minute_rollup(views.requests(spark, sf_dir)), step)
+        return rollup.withColumn("tgt_t_sum", F.round("tgt_t_sum", ROUND))
+
+
 _QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
@@ -132,16 +158,32 @@ _BLAME = ("count(*) FILTER (elb_code >= 500 AND tgt_code IS NOT NULL) AS s5xx_ap
 _AVG = "round(sum(tgt_t) / nullif(count(tgt_t), 0), 6) AS avg"
 
 
-@QUERIES.add("lb_totals", sql(f"""WITH m AS (SELECT * FROM v_bins WHERE {ROLLED}),
+_TOTALS = sql(f"""WITH m AS (SELECT * FROM v_bins WHERE {ROLLED}),
     q AS ({percentile_sql('m', '', _QUANTILES)})
     SELECT count(*) AS requests, {_CLASSES}, {_OTHER}, {_BLAME}, {_AVG},
            (SELECT round(p50, 6) FROM q) AS p50, (SELECT round(p95, 6) FROM q) AS p95, (SELECT round(p99, 6) FROM q) AS p99
-    FROM m"""))
+    FROM m""")
+
+
+@QUERIES.add("lb_totals", _TOTALS)
 def lb_totals(spark, sf_dir):
     totals = lb.status_totals(_query().minutes(tables(spark, sf_dir)))
     return totals.withColumns({c: F.round(c, ROUND) for c in ("avg", "p50", "p95", "p99")})
 
 
+@QUERIES.add("lb_totals_long", _TOTALS)
+def lb_totals_long(spark, sf_dir):
+    """The same from minutes, hours and days, where there are some."""
+    totals = lb.status_totals(_query().minutes(long_tables(spark, sf_dir), None))
+    return totals.withColumns({c: F.round(c, ROUND) for c in ("avg", "p50", "p95", "p99")})
+
+
+@QUERIES.add("lb_buckets_long", sql(f"""SELECT minute_ms // {3 * HOUR} * {3 * HOUR} AS t, {_CLASSES}, {_OTHER} FROM v_bins
+    WHERE {ROLLED} AND domain = 'd1.example.com' GROUP BY 1"""))
+def lb_buckets_long(spark, sf_dir):
+    return lb.status_buckets(_query(domains=["d1.example.com"]).minutes(long_tables(spark, sf_dir), 3 * HOUR), 3 * HOUR)
+
+
 @QUERIES.add("lb_buckets", sql(f"""SELECT minute_ms // {12 * HOUR} * {12 * HOUR} AS t, {_CLASSES}, {_OTHER} FROM v_bins
     WHERE {ROLLED} AND domain = 'd1.example.com' GROUP BY 1"""))
 def lb_buckets(spark, sf_dir):
@@ -203,9 +245,10 @@ def _paths_sql(order: str, limit: int) -> str:
     ORDER BY {order}, path_group, method LIMIT {limit}""")
 
 
-def _paths(sort: str, limit: int):
+def _paths(sort: str, limit: int, long: bool = False):
     def run(spark, sf_dir):
-        rows = lb.path_table(_query().paths(tables(spark, sf_dir)), sort, limit)
+        paths = _query().paths(long_tables(spark, sf_dir), None) if long else _query().paths(tables(spark, sf_dir))
+        rows = lb.path_table(paths, sort, limit)
         return rows.withColumns({"tgs": F.array_join("tgs", ","), "avg": F.round("avg", ROUND),
                                  "p95": F.round("p95", ROUND)})
     return run
@@ -214,6 +257,7 @@ def _paths(sort: str, limit: int):
 for _sort, _order in [("errors", "s5xx DESC, s4xx DESC, requests DESC"), ("requests", "requests DESC"),
                       ("slow", "p95 DESC NULLS LAST, requests DESC")]:
     QUERIES.add(f"lb_paths_{_sort}", _paths_sql(_order, 5))(_paths(_sort, 5))
+QUERIES.add("lb_paths_long", _paths_sql("s5xx DESC, s4xx DESC, requests DESC", 50))(_paths("errors", 50, True))
 
 
 @QUERIES.add("lb_overview", sql(f"""SELECT lb, tg, min(cluster) AS cluster, count(*) AS requests FROM v_bins

@@ -2,14 +2,16 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY, HOUR
 from ..operators import search
+from ..operators.orders import OrderLine
 from ..session import shared_folder
 from ..sources import readers, writers
-from ..streaming import convert
+from ..streaming import convert, sightings
 from . import views
 from .oracle import sql
 from .registry import Registry
@@ -138,3 +140,20 @@ def convert_store(spark, sf_dir):
         convert.convert_range(spark, [f"{root}/logs"], store, _RUN[1] + DAY)
     assert [r.path.rsplit("/", 1)[1] for r in store.failures(spark).collect()] == ["broken.log.gz"]
     return store.tables(spark).minutes.groupBy("minute_ms", "lb").agg(F.sum("n").alias("n"))
+
+
+_BOUGHT = OrderLine("purchase user", r"^purchase user (\d+) ", {"order": 1})
+_JOINED = OrderLine("signup user", r"^signup user (\d+) ", {"order": 1})
+
+
+@QUERIES.add("orders_recounted", sql(f"""SELECT CAST(to_timestamp(log_time_ms // 1000) AT TIME ZONE 'UTC' AS DATE) AS day, split_part(msg, ' ', 3) AS order_id, min(log_time_ms) AS first_ms
+    FROM v_logs WHERE log_time_ms BETWEEN {START // DAY * DAY} AND {END // DAY * DAY - 1}
+      AND (msg LIKE 'purchase%' OR msg LIKE 'signup%' AND log_time_ms >= {(START // DAY + 2) * DAY}) GROUP BY ALL"""))
+def orders_recounted(spark, sf_dir):
+    """Days counted by one definition; a second one counts all but the first two days anew."""
+    store, logs = sightings.CountedOrders(_folder(spark, "counted")), views.logs(spark, sf_dir)
+    first, last = (date.fromordinal(date(1970, 1, 1).toordinal() + ms // DAY) for ms in (START, END - DAY))
+    old, new = (sightings.OrderService("shop", "c", lines) for lines in ([_BOUGHT], [_BOUGHT, _JOINED]))
+    store.recount(old, logs, first, last)
+    store.recount(new, logs, date.fromordinal(first.toordinal() + 2), last)
+    return store.read(spark, ["shop"]).select("day", "order_id", "first_ms")

@@ -9,25 +9,32 @@ Tables under one root:
 ``failed``    (path, error, tries, next_ms) per batch: files that could not be read, and when they are tried again
 ``requests``, ``paths``, ``minutes``  finished hours and their roll-ups, by lb, dt, hour, upto
 ``merged``    (lb, dt, hour, upto) per merge
+``minutes_by_hour``, ``minutes_by_day``, ``paths_by_hour``, ``paths_by_day``  roll-ups of ended days in longer steps, by lb, dt, version
+``rolled``    (lb, dt, version) per roll-up of days
 
 An hour is merged some minutes after it ends, and merged again as a whole when a late file touches it. A merge of the batches up to a number
 writes partitions of that number, and the marker in ``merged`` is written last: readers look only at the newest marked number of an
 hour, so that the three tables and the rows not merged yet all switch at once, and a merge that is repeated replaces itself.
+
+A day's version is a hash of its hours and the number each is merged up to. Roll-ups of longer steps count only while the version they were made
+from is the day's: once a late file merges an hour again, the day is answered by its minutes until it is rolled up anew.
 """
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.times import HOUR, MINUTE
-from ..operators.access import minute_rollup, parse_requests, path_rollup
-from ..operators.lb import RequestTables
+from ..functions.times import DAY, HOUR, MINUTE
+from ..operators.access import coarser, minute_rollup, parse_requests, path_rollup
+from ..operators.lb import LongSteps, RequestTables
 from ..sources import writers as S
 
 SETTLE_MS = 15 * MINUTE
+DAY_KEYS = ["lb", "dt", "version"]
 #: how long a file that could not be read is left alone
 RETRY_MS = 30 * MINUTE
 
@@ -122,19 +129,63 @@ class RequestStore:
             S.write_partitions(rolled, self.path(name), keys)
         S.write_batch(hours.select(*keys), self.path("merged"), batch)
 
+    def versions(self, spark: SparkSession) -> DataFrame | None:
+        """(lb, dt, version): what a day with finished hours consists of."""
+        done = self.done(spark)
+        hours = F.to_json(F.sort_array(F.collect_list(F.struct("hour", "done"))))       # 24 at most
+        return None if done is None else done.groupBy("lb", "dt").agg(F.concat(F.lit("v"), F.sha2(hours, 256)).alias("version"))
+
+    def rolled(self, spark: SparkSession) -> DataFrame | None:
+        """(lb, dt, version) of days whose roll-ups in longer steps are up to date."""
+        rolled, versions = self.read(spark, "rolled"), self.versions(spark)
+        return None if rolled is None or versions is None else versions.join(rolled, DAY_KEYS, "left_semi")
+
+    def roll_days(self, spark: SparkSession, now: int) -> None:
+        """Roll up every ended day whose longer steps aren't up to date, and the marker last. Without such days nothing is written.
+
+        The hours and numbers a version stands for are written first and then read exactly so, whatever is merged meanwhile. Run again after a
+        failure, it replaces what it wrote.
+        """
+        versions, rolled, done = self.versions(spark), self.rolled(spark), self.done(spark)
+        if versions is None:
+            return
+        days = versions.filter(F.unix_millis(F.col("dt").cast("timestamp")) + DAY + SETTLE_MS <= now)
+        if rolled is not None:
+            days = days.join(rolled, DAY_KEYS, "left_anti")
+        if days.isEmpty():
+            return
+        batch = self.batch_of(spark, f"days/{uuid.uuid4()}")
+        S.write_batch(done.withColumnRenamed("done", "upto").join(days, ["lb", "dt"]), self.path("due_days"), batch)
+        hours = self.read(spark, "due_days").filter(F.col("batch") == batch).drop("batch")
+        for name in ("minutes", "paths"):
+            rows = spark.read.parquet(self.path(name)).join(hours, [*S.HOUR_KEYS, "upto"]).drop("hour", "upto")
+            S.write_partitions(coarser(rows, HOUR), self.path(f"{name}_by_hour"), DAY_KEYS)
+            by_hour = spark.read.parquet(self.path(f"{name}_by_hour")).join(hours, DAY_KEYS, "left_semi")
+            S.write_partitions(coarser(by_hour, DAY), self.path(f"{name}_by_day"), DAY_KEYS)
+        S.write_batch(hours.select(*DAY_KEYS).distinct(), self.path("rolled"), batch)
+
     # -- reading
     def unmerged(self, spark: SparkSession) -> DataFrame | None:
         """Rows of hours not merged yet, and late rows of merged hours; only their partitions are read."""
         incoming, waiting = self.read(spark, "incoming"), self.waiting(spark)
         return incoming if incoming is None or waiting is None else incoming.join(waiting, [*S.HOUR_KEYS, "batch"], "left_semi")
 
-    def current(self, spark: SparkSession, name: str) -> DataFrame | None:
-        """The newest marked version of every finished hour."""
+    def current(self, spark: SparkSession, name: str, without: DataFrame | None = None) -> DataFrame | None:
+        """The newest marked version of every finished hour, those of the days in ``without`` left out."""
         rows, done = self.read(spark, name), self.done(spark)
         if rows is None or done is None:
             return None
+        done = done if without is None else done.join(without, ["lb", "dt"], "left_anti")
         return rows.join(done.withColumnRenamed("done", "upto"), [*S.HOUR_KEYS, "upto"], "left_semi").drop("dt", "hour", "upto")
 
+    def long_steps(self, spark: SparkSession, name: str) -> LongSteps | None:
+        """Roll-ups by hour and day of the days that have one up to date, and the minutes of the others."""
+        rolled = self.rolled(spark)
+        by_hour, by_day = (self.read(spark, f"{name}_by_{step}") for step in ("hour", "day"))
+        if rolled is None or by_hour is None or by_day is None:
+            return None
+        return LongSteps(*[rows.join(rolled, DAY_KEYS, "left_semi").drop("dt", "version") for rows in (by_hour, by_day)], self.current(spark, name, rolled))
+
     def tables(self, spark: SparkSession) -> RequestTables:
         """What queries read: finished hours, their roll-ups, and the rest as rows."""
         rest = self.unmerged(spark)
@@ -143,7 +194,7 @@ class RequestStore:
         if any(p is None for p in parts):
             empty = rest.limit(0)
             parts = [empty, minute_rollup(empty), path_rollup(empty)]
-        return RequestTables(*parts, rest)
+        return RequestTables(*parts, rest, self.long_steps(spark, "minutes"), self.long_steps(spark, "paths"))
 
 
 def readable(spark: SparkSession, files: list[str], problem: str = "") -> tuple[list[str], list[tuple[str, str]]]:
@@ -209,7 +260,7 @@ def stream_convert(spark: SparkSession, source: str, store: RequestStore, checkp
 
     The stream brings names of files, which are then read once. A batch is named by the checkpoint's own id and its number, so that a repeated one is known again and
     those of a new checkpoint are not taken for old ones; the ledger keeps files out that were converted before. Each batch also tries files that were
-    set aside and are due; ``retry_failed`` does so where no new files come.
+    set aside and are due; ``retry_failed`` does so where no new files come. Days that ended are rolled up by hour and day.
     """
     import json
     import time
@@ -221,6 +272,7 @@ def stream_convert(spark: SparkSession, source: str, store: RequestStore, checkp
         time_ms = int(time.time() * 1000) if now is None else now
         convert_files(spark, store, sorted({r.path for r in batch_files.collect()}), f"{query}/{batch}", time_ms)
         retry_failed(spark, store, time_ms)
+        store.roll_days(spark, time_ms)
     return (listed.writeStream.foreachBatch(convert).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "5 minutes"})).start())
 
@@ -228,7 +280,8 @@ def stream_convert(spark: SparkSession, source: str, store: RequestStore, checkp
 def convert_range(spark: SparkSession, paths: list[str], store: RequestStore, now: int) -> int:
     """The same conversion for chosen old files, as one batch named by the files that are not converted yet; how many came in.
 
-    A range converted before, by a stream or a range, changes nothing; files set aside wait for their time.
+    A range converted before, by a stream or a range, changes nothing; files set aside wait for their time. Days it touches are answered by
+    their minutes until ``RequestStore.roll_days`` runs.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path")
     for known in (store.read(spark, "ledger"), store.failures(spark)):

@@ -51,7 +51,7 @@ def test_access_keys(rows):
 
 REQ = "ts_ms bigint, lb string, tg string, cluster string, domain string, method string, path string, path_group string, " \
       "elb_code smallint, tgt_code smallint, client_ip string, target string, tgt_t double, trace_id string, raw string"
-H = 3_600_000
+H, M, DAY = 3_600_000, 60_000, 86_400_000
 
 
 def request(ts, code, tg="tg-a", answered=True, t=0.1, lb_="lb1", method="GET", group="/x", domain="d"):
@@ -138,3 +138,42 @@ def test_access(rows):
 
 def test_tuples(rows):
     assert tuples(rows([(1,)], "a int")) == [(1,)]
+
+
+def test_spans_cover_a_range_once_in_the_longest_steps():
+    assert lb.spans(0, 2 * DAY, None) == [(DAY, 0, 2 * DAY)]
+    assert lb.spans(0, 2 * DAY, 3 * H) == [(H, 0, 2 * DAY)]
+    assert lb.spans(5 * M, 50 * M, None) == [(M, 5 * M, 50 * M)] and lb.spans(M, M, None) == []
+    found = lb.spans(DAY - H - M, 2 * DAY + H + M, None)
+    assert found == [(M, DAY - H - M, DAY - H), (H, DAY - H, DAY), (DAY, DAY, 2 * DAY), (H, 2 * DAY, 2 * DAY + H), (M, 2 * DAY + H, 2 * DAY + H + M)]
+    for start in range(0, 3 * DAY, 7 * H + 13 * M):
+        for length in (M, 59 * M, 3 * H, 25 * H, 3 * DAY + M):
+            for step in (None, M, 5 * M, H, 3 * H, DAY, 36 * H):
+                pieces = lb.spans(start, start + length, step)
+                assert [p[1] for p in pieces] + [start + length] == [start] + [p[2] for p in pieces] and len(pieces) <= 5
+                assert all(a % g == 0 and b % g == 0 and (step is None or g == M or step % g == 0) for g, a, b in pieces)
+
+
+def test_longer_steps_give_the_same_rows_whatever_the_range(spark, rows):
+    data = [(i * 37 * M + i, f"lb-{i % 3}", None if i % 5 == 0 else f"tg-c{i % 4}", 200 + i % 3 * 150) for i in range(300)]
+    made = rows(data, "ts_ms bigint, lb string, tg string, elb_code smallint").selectExpr(
+        "*", "CAST(NULL AS STRING) AS cluster", "'d' AS domain", "'GET' AS method", "'/p' AS path_group", "elb_code AS tgt_code", "ts_ms % 977 / 100D AS tgt_t").persist()
+    minutes, paths = access.minute_rollup(made).persist(), access.path_rollup(made).persist()
+
+    def steps(rollup):
+        hours = access.coarser(rollup.filter("lb <> 'lb-2'"), H)
+        return lb.LongSteps(hours, access.coarser(hours, DAY), rollup.filter("lb = 'lb-2'"))
+    plain = RequestTables(made, minutes, paths)
+    long = RequestTables(made, minutes, paths, None, steps(minutes), steps(paths))
+    by_path = {"methods": ["GET"], "target_groups": ["-", "tg-c1"]}
+    for start, end, step, filters in ((3 * H + M, 5 * DAY + 7, None, {}), (3 * H + M, 5 * DAY + 7, 2 * H, by_path), (DAY + 10 * M, DAY + 40 * M, None, by_path),
+                                      (2 * DAY, 3 * DAY - 1, DAY, {}), (9 * DAY, 10 * DAY, None, {})):
+        query = RequestQuery(start, end, **filters)
+        bucket = F.expr("minute_ms * 0") if step is None else F.expr(f"minute_ms div {step}")
+        want, got = (sorted(map(tuple, q.groupBy(bucket, "lb", "tg", "elb_code", "lat_bin").agg(F.sum("n")).collect()), key=repr)
+                     for q in (query.minutes(plain), query.minutes(long, step)))
+        assert want == got
+    query = RequestQuery(3 * H + M, 5 * DAY + 7)
+    assert sorted(map(tuple, lb.hour_counts(query, plain).collect())) == sorted(map(tuple, lb.hour_counts(query, long).collect()))
+    for df in (made, minutes, paths):
+        df.unpersist()

@@ -1,5 +1,6 @@
 import gzip
 import os
+from datetime import date
 
 from pyspark.sql import functions as F
 
@@ -164,6 +165,72 @@ def test_first_sightings_stream(spark, rows, tmp_path):
     assert {(r.order_id, r.first_ms) for r in orders.first_seen(everything).collect()} == want
 
 
+def test_changed_lines_count_the_days_anew_and_one_mark_switches(spark, rows, tmp_path):
+    paid, shipped = (orders.OrderLine(word, rf"{word} (\d+) for (\w+)", {"order": 1, "store": 2}) for word in ("paid", "shipped"))
+    old, new = (sightings.OrderService("web shop/1", "c1", lines) for lines in ([paid], [paid, shipped]))
+    assert old.version == sightings.OrderService("web shop/1", "c1", [paid], {}).version != new.version
+    said = [(day * DAY + at, f"{word} {order} for {store}") for day, at, word, order, store in [
+        (0, 50, "paid", 1, "a"), (0, 40, "shipped", 1, "a"), (1, 70, "paid", 2, "a"), (1, 20, "shipped", 2, "a"), (1, 10, "shipped", 3, "b"),
+        (2, 30, "paid", 4, "b"), (2, 31, "paid", 4, "b"), (2, 5, "noise", 4, "b")]]
+    logs = rows(said, "log_time_ms bigint, msg string")
+    store, days = sightings.CountedOrders(str(tmp_path / "counted")), [date(1970, 1, d) for d in (1, 2, 3)]
+
+    def seen(names=("web shop/1",)):
+        return {(r.day.day, r.store, r.order_id, r.first_ms % DAY) for r in store.read(spark, names).collect()}
+    assert seen() == set() and store.stale(spark, [old]) == [old]
+    store.recount(old, logs, days[0], days[2])
+    before = {(1, "a", "1", 50), (2, "a", "2", 70), (3, "b", "4", 30)}
+    assert seen() == before and store.stale(spark, [old, new]) == [new]
+    # a stream of the new lines starts before its days are counted: nobody sees it yet
+    store.add(new, logs.filter("log_time_ms >= 2 * 86400000"), 0)
+    assert seen() == before
+    for _ in range(2):
+        store.recount(new, logs, days[1], days[2])
+        assert seen() == {(1, "a", "1", 50), (2, "a", "2", 20), (2, "b", "3", 10), (3, "b", "4", 30)}      # the first day as it was counted
+    assert len(store.switches(spark, "web shop/1")) == 2
+    store.close(spark, [new], 10 * DAY)
+    fresh = sightings.CountedOrders(str(tmp_path / "fresh"))
+    fresh.recount(new, logs, days[1], days[2])
+    assert {r for r in seen() if r[0] > 1} == {(r.day.day, r.store, r.order_id, r.first_ms % DAY) for r in fresh.read(spark, ["web shop/1"]).collect()}
+    store.recount(new, logs, days[0], days[2])                     # further back
+    assert (1, "a", "1", 40) in seen() and len(seen()) == 4
+    store.recount(old, logs, days[0], days[2])                     # and back to the first lines
+    assert seen() == before and store.stale(spark, [new]) == [new]
+    assert seen(()) == set() and seen(("other",)) == set()
+    store.add(old, rows([], "log_time_ms bigint, msg string"), 7)
+    assert seen() == before
+
+
+def test_ended_days_are_rolled_up_and_late_files_undo_that(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    store, now = convert.RequestStore(str(tmp_path / "store")), T0 + 2 * DAY
+    query = RequestQuery(T0 - HOUR, T0 + 2 * DAY + 7 * MINUTE)
+
+    def counts(step):
+        tables = store.tables(spark)
+        found = query.minutes(tables, step), query.paths(tables, step)
+        return [sorted((r.t, r.n) for r in f.groupBy(F.expr(f"minute_ms div {HOUR} * {HOUR}").alias("t")).agg(F.sum("n").alias("n")).collect()) for f in found]
+    write_log(logs, "a", ["2026-10-07T06:10:00Z", "2026-10-07T06:20:00Z", "2026-10-07T09:20:00Z", "2026-10-08T01:00:00Z", "2026-10-09T06:05:00Z"])
+    convert.convert_range(spark, [str(logs)], store, now)
+    assert store.tables(spark).long_minutes is None
+    for _ in range(2):
+        store.roll_days(spark, now)
+    long = store.tables(spark).long_minutes
+    assert [long.hours.agg(F.sum("n")).first()[0], long.days.count(), long.rest.count()] == [4, 2, 0]     # the third day has not ended
+    assert store.read(spark, "rolled").count() == 2
+    assert counts(HOUR) == counts(MINUTE)
+    write_log(logs, "late", ["2026-10-07T06:30:00Z"])
+    convert.convert_range(spark, [str(logs)], store, now)
+    long = store.tables(spark).long_minutes
+    assert [long.hours.count(), long.rest.agg(F.sum("n")).first()[0]] == [1, 4]                          # back to minutes for that day
+    assert counts(HOUR) == counts(MINUTE) and sum(n for _, n in counts(HOUR)[0]) == 6
+    store.roll_days(spark, now)
+    long = store.tables(spark).long_minutes
+    assert [long.days.agg(F.sum("n")).first()[0], long.rest.count()] == [5, 0]
+    assert counts(HOUR) == counts(MINUTE)
+
+
 def test_session_counts_stream(spark, rows, tmp_path):
     source, table = str(tmp_path / "in"), str(tmp_path / "out")
     data = [(T0 + i * MINUTE, "session", "s.com-session_history-2026.11", "OC", ["M1", None, "probe-1", "77"][i % 4], str(i), f"d{i}",
