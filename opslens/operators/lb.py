@@ -286,13 +286,19 @@ def _with_top_error(rows: DataFrame, paths: DataFrame | None) -> DataFrame:
 
 
 def summary(query: RequestQuery, tables: RequestTables, step: int) -> dict[str, DataFrame]:
-    """The summary page: totals, buckets and target groups out of one pass over the roll-up.
+    """The summary page: totals, buckets and target groups out of one pass over the roll-up, or over the days where there are longer steps.
 
-    The pass is kept as ``cells`` (codes x bins per target group and bucket); unpersist it when done.
+    The pass is kept as ``cells`` (codes x bins per target group, and per bucket where it feeds those too); unpersist it when done. With longer
+    steps the buckets are read from the hours on their own, which need no latency bins.
     """
-    t = floor_to("minute_ms", step)
-    kept = cells(query.minutes(tables, step).withColumn("t", t), ["tg", "cluster", "lb", "t"]).persist()
-    buckets = kept.filter("t IS NOT NULL").groupBy("t").agg(*_class_sums())
+    keys = ["tg", "cluster", "lb"]
+    if query.level() == ROWS or (tables.long_minutes if query.level() == MINUTES else tables.long_paths) is None:
+        t = floor_to("minute_ms", step)
+        kept = cells(query.minutes(tables, step).withColumn("t", t), [*keys, "t"]).persist()
+        buckets = kept.filter("t IS NOT NULL").groupBy("t").agg(*_class_sums())
+    else:
+        kept = cells(query.minutes(tables, None), keys).persist()
+        buckets = status_buckets(query.minutes(tables, step), step)
     paths = None if query.domains and query.level() == MINUTES else query.paths(tables, None)
     return {"cells": kept, "totals": _totals(kept), "buckets": buckets,
             "target_groups": _with_top_error(_target_groups(kept), paths)}

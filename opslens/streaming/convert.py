@@ -137,8 +137,8 @@ class RequestStore:
 
     def rolled(self, spark: SparkSession) -> DataFrame | None:
         """(lb, dt, version) of days whose roll-ups in longer steps are up to date."""
-        rolled, versions = self.read(spark, "rolled"), self.versions(spark)
-        return None if rolled is None or versions is None else versions.join(rolled, DAY_KEYS, "left_semi")
+        rolled = self.read(spark, "rolled")
+        return None if rolled is None else self.versions(spark).join(rolled, DAY_KEYS, "left_semi")
 
     def roll_days(self, spark: SparkSession, now: int) -> None:
         """Roll up every ended day whose longer steps aren't up to date, and the marker last. Without such days nothing is written.
@@ -181,9 +181,9 @@ class RequestStore:
     def long_steps(self, spark: SparkSession, name: str) -> LongSteps | None:
         """Roll-ups by hour and day of the days that have one up to date, and the minutes of the others."""
         rolled = self.rolled(spark)
-        by_hour, by_day = (self.read(spark, f"{name}_by_{step}") for step in ("hour", "day"))
-        if rolled is None or by_hour is None or by_day is None:
+        if rolled is None:
             return None
+        by_hour, by_day = (spark.read.parquet(self.path(f"{name}_by_{step}")) for step in ("hour", "day"))
         return LongSteps(*[rows.join(rolled, DAY_KEYS, "left_semi").drop("dt", "version") for rows in (by_hour, by_day)], self.current(spark, name, rolled))
 
     def tables(self, spark: SparkSession) -> RequestTables:

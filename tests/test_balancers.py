@@ -175,5 +175,9 @@ def test_longer_steps_give_the_same_rows_whatever_the_range(spark, rows):
         assert want == got
     query = RequestQuery(3 * H + M, 5 * DAY + 7)
     assert sorted(map(tuple, lb.hour_counts(query, plain).collect())) == sorted(map(tuple, lb.hour_counts(query, long).collect()))
-    for df in (made, minutes, paths):
+    pages = [lb.summary(query, t, 3 * H) for t in (plain, long)]
+    for part in ("totals", "buckets", "target_groups"):
+        shown = [page[part].select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in page[part].dtypes]) for page in pages]
+        assert sorted(map(repr, shown[0].collect())) == sorted(map(repr, shown[1].collect()))
+    for df in (made, minutes, paths, *[page["cells"] for page in pages]):
         df.unpersist()
