@@ -85,8 +85,15 @@ def create_note(spark: SparkSession, path: str, text: str) -> bool:
 
 
 def read_note(spark: SparkSession, path: str) -> str | None:
+    """The line of a note, None without the file. A note that is being written may be empty still."""
     files, place = _place(spark, path)
-    return spark.read.text(path).first()[0] if files.exists(place) else None
+    if not files.exists(place):
+        return None
+    with_line = files.open(place)
+    try:
+        return bytes(with_line.readAllBytes()).decode().removesuffix("\n")
+    finally:
+        with_line.close()
 
 
 def note_names(spark: SparkSession, folder: str) -> list[str]:
@@ -94,6 +101,24 @@ def note_names(spark: SparkSession, folder: str) -> list[str]:
     return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if there is one."""
+    files, place = _place(spark, path)
+    files.delete(place, True)
+
+
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether anything is at a glob."""
+    files, place = _place(spark, pattern)
+    return bool(files.globStatus(place))
+
+
+def read_days(spark: SparkSession, path: str, days: Sequence[object]) -> DataFrame | None:
+    """Some days of a table partitioned by lb and dt: only their folders are listed."""
+    pattern = f"{path}/lb=*/dt={{{','.join(map(str, days))}}}"
+    return spark.read.option("basePath", path).parquet(pattern) if days and matches(spark, pattern) else None
+
+
 def read_newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Newest version per key of a table written batch by batch."""
     values = [c for c in rows.columns if c not in (*keys, "batch")]

@@ -11,6 +11,7 @@ Tables under one root:
 ``merged``    (lb, dt, hour, upto) per merge
 ``minutes_by_hour``, ``minutes_by_day``, ``paths_by_hour``, ``paths_by_day``  roll-ups of ended days in longer steps, by lb, dt, version
 ``rolled``    (lb, dt, version) per roll-up of days
+``finished``, ``generations``, ``base``  batches that are done, and the small tables put together (see ``generations``)
 
 An hour is merged some minutes after it ends, and merged again as a whole when a late file touches it. A merge of the batches up to a number
 writes partitions of that number, and the marker in ``merged`` is written last: readers look only at the newest marked number of an
@@ -32,6 +33,7 @@ from ..functions.times import DAY, HOUR, MINUTE
 from ..operators.access import coarser, minute_rollup, parse_requests, path_rollup
 from ..operators.lb import LongSteps, RequestTables
 from ..sources import writers as S
+from . import generations
 
 SETTLE_MS = 15 * MINUTE
 DAY_KEYS = ["lb", "dt", "version"]
@@ -47,7 +49,10 @@ class RequestStore:
         return f"{self.root.rstrip('/')}/{name}"
 
     def read(self, spark: SparkSession, name: str) -> DataFrame | None:
-        return S.read_or_none(spark, self.path(name))
+        return generations.read(spark, self, name) if name in generations.SMALL else S.read_or_none(spark, self.path(name))
+
+    def name_note(self, name: str) -> str:
+        return self.path(f"names/{hashlib.sha256(name.encode()).hexdigest()}")
 
     # -- conversion
     def batch_of(self, spark: SparkSession, name: str) -> int:
@@ -56,7 +61,7 @@ class RequestStore:
         A number is taken by creating its file, which fails if there is one: two writers never get the same. What was taken for a name is then
         written under the name in the same way.
         """
-        named = self.path(f"names/{hashlib.sha256(name.encode()).hexdigest()}")
+        named = self.name_note(name)
         known = S.read_note(spark, named)
         if known is None:
             batch = 1 + max([int(n) for n in S.note_names(spark, self.path("numbers"))], default=-1)
@@ -121,7 +126,7 @@ class RequestStore:
         if hours is None or hours.isEmpty():
             return
         keys = [*S.HOUR_KEYS, "upto"]
-        rows = spark.read.parquet(self.path("incoming")).join(hours, S.HOUR_KEYS).filter("batch <= upto").drop("batch")
+        rows = self.incoming(spark, hours).join(hours, S.HOUR_KEYS).filter("batch <= upto").drop("batch")
         S.write_partitions(rows, self.path("requests"), keys)
         merged = spark.read.parquet(self.path("requests")).join(hours, keys, "left_semi")
         for name, rollup in (("paths", path_rollup), ("minutes", minute_rollup)):
@@ -163,12 +168,25 @@ class RequestStore:
             by_hour = spark.read.parquet(self.path(f"{name}_by_hour")).join(hours, DAY_KEYS, "left_semi")
             S.write_partitions(coarser(by_hour, DAY), self.path(f"{name}_by_day"), DAY_KEYS)
         S.write_batch(hours.select(*DAY_KEYS).distinct(), self.path("rolled"), batch)
+        generations.finish(spark, self, batch)
 
     # -- reading
+    def incoming(self, spark: SparkSession, hours: DataFrame) -> DataFrame | None:
+        """What batches brought on the days of ``hours``, whose dates come to the driver: the other days' folders aren't listed."""
+        return S.read_days(spark, self.path("incoming"), [r.dt for r in hours.select("dt").distinct().collect()])
+
     def unmerged(self, spark: SparkSession) -> DataFrame | None:
         """Rows of hours not merged yet, and late rows of merged hours; only their partitions are read."""
-        incoming, waiting = self.read(spark, "incoming"), self.waiting(spark)
-        return incoming if incoming is None or waiting is None else incoming.join(waiting, [*S.HOUR_KEYS, "batch"], "left_semi")
+        waiting = self.waiting(spark)
+        if waiting is None:
+            return self.read(spark, "incoming")
+        rows = self.incoming(spark, waiting)
+        if rows is None:                                         # nothing waits: any day tells the columns
+            root = self.path("incoming")
+            days = [d.removeprefix("dt=") for lb in S.note_names(spark, root)[:1] for d in S.note_names(spark, f"{root}/{lb}")[:1]]
+            rows = S.read_days(spark, root, days)
+            return None if rows is None else rows.limit(0)
+        return rows.join(waiting, [*S.HOUR_KEYS, "batch"], "left_semi")
 
     def current(self, spark: SparkSession, name: str, without: DataFrame | None = None) -> DataFrame | None:
         """The newest marked version of every finished hour, those of the days in ``without`` left out."""
@@ -183,7 +201,9 @@ class RequestStore:
         rolled = self.rolled(spark)
         if rolled is None:
             return None
-        by_hour, by_day = (spark.read.parquet(self.path(f"{name}_by_{step}")) for step in ("hour", "day"))
+        by_hour, by_day = (self.read(spark, f"{name}_by_{step}") for step in ("hour", "day"))
+        if by_hour is None or by_day is None:                    # no day's are up to date, and the old ones are removed
+            return None
         return LongSteps(*[rows.join(rolled, DAY_KEYS, "left_semi").drop("dt", "version") for rows in (by_hour, by_day)], self.current(spark, name, rolled))
 
     def tables(self, spark: SparkSession) -> RequestTables:
@@ -217,10 +237,13 @@ def readable(spark: SparkSession, files: list[str], problem: str = "") -> tuple[
 def convert_files(spark: SparkSession, store: RequestStore, files: list[str], name: str, now: int) -> int:
     """One named batch of files without those that other batches hold; how many were converted. Repeated under its name, it replaces itself.
 
+    Once it is finished, it isn't done again.
     A file that can't be read is set aside with the time of its next try, and the rest of the batch goes on. File names come to the driver, as they do for any scan.
     """
     from ..sources.readers import read_access_lines
     batch = store.batch_of(spark, name)
+    if generations.is_finished(spark, store, batch):
+        return 0
     other = store.converted(spark, batch)
     listed = spark.createDataFrame([(f,) for f in files], "path string")
     if other is not None and files:
@@ -241,6 +264,7 @@ def convert_files(spark: SparkSession, store: RequestStore, files: list[str], na
         S.write_batch(spark.createDataFrame(rows, "path string, error string, tries int, next_ms bigint"), store.path("failed"), batch)
         add(files)
     store.merge(spark, now, batch)
+    generations.finish(spark, store, batch)
     return len(files)
 
 
@@ -260,7 +284,8 @@ def stream_convert(spark: SparkSession, source: str, store: RequestStore, checkp
 
     The stream brings names of files, which are then read once. A batch is named by the checkpoint's own id and its number, so that a repeated one is known again and
     those of a new checkpoint are not taken for old ones; the ledger keeps files out that were converted before. Each batch also tries files that were
-    set aside and are due; ``retry_failed`` does so where no new files come. Days that ended are rolled up by hour and day.
+    set aside and are due; ``retry_failed`` does so where no new files come. Days that ended are rolled up by hour and day. Every 50 batches the
+    store's small tables are put together, and what was replaced an hour ago is removed.
     """
     import json
     import time
@@ -273,6 +298,8 @@ def stream_convert(spark: SparkSession, source: str, store: RequestStore, checkp
         convert_files(spark, store, sorted({r.path for r in batch_files.collect()}), f"{query}/{batch}", time_ms)
         retry_failed(spark, store, time_ms)
         store.roll_days(spark, time_ms)
+        if generations.compact(spark, store, time_ms):
+            generations.collect(spark, store, time_ms)
     return (listed.writeStream.foreachBatch(convert).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "5 minutes"})).start())
 

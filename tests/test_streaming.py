@@ -8,7 +8,7 @@ from opslens.functions.times import DAY, HOUR, MINUTE
 from opslens.operators import inbound, lb, orders, rules, sessions, state
 from opslens.operators.lb import RequestQuery
 from opslens.sources import writers
-from opslens.streaming import alerts, convert, sightings
+from opslens.streaming import alerts, convert, generations, sightings
 from opslens.streaming import sessions as session_stream
 from test_alerts import BASE, FINDING, checks_of_instances, values
 from test_sessions_health import ENTRY
@@ -115,6 +115,76 @@ def test_a_batch_number_is_given_once(spark, tmp_path):
     assert store.batch_of(spark, "d") == 4 and not writers.create_note(spark, store.path("numbers/4"), "late")
 
 
+def test_small_tables_are_put_together_and_a_crash_between_changes_nothing(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    store, now = convert.RequestStore(str(tmp_path / "store")), T0 + 3 * DAY
+    for i, name in enumerate(["a", "b", "c"]):                             # one hour merged again and again, and one that is not over
+        write_log(logs, name, [f"2026-10-07T06:1{i}:00Z", f"2026-10-10T05:5{i}:00Z"], 200 + i)
+        assert convert.convert_files(spark, store, [str(logs / f"{name}.log.gz")], name, now) == 1
+        store.roll_days(spark, now)
+
+    def state():
+        tables = store.tables(spark)
+        return (sorted((r.ts_ms, r.code) for r in tables.requests.select("ts_ms", F.col("elb_code").alias("code")).collect()), sorted(r.ts_ms for r in tables.unmerged.collect()),
+                tables.minutes.agg(F.sum("n")).first()[0], sorted(tuple(r) for r in store.rolled(spark).collect()), sorted(r.path for r in store.read(spark, "ledger").collect()))
+
+    def folders(name, mark="batch="):
+        return sum(p.is_dir() and p.name.startswith(mark) for p in (tmp_path / "store" / name).rglob("*"))
+    assert folders("requests", "upto=") == folders("minutes_by_day", "version=") == 3
+    lost = store.batch_of(spark, "lost")                         # taken, its files read, never finished
+    store.add(spark.read.text(str(logs / "a.log.gz")).select(F.col("value").alias("raw"), F.lit("lost").alias("file")), lost)
+    write_log(logs, "f", ["2026-10-10T05:59:00Z"])
+    assert convert.convert_files(spark, store, [str(logs / "f.log.gz")], "f", now) == 1
+    before = state()
+    assert [len(x) for x in (before[0], before[1], before[3], before[4])] == [4, 5, 0, 5]
+    # a compaction that ends before its note
+    made, writers.create_note = writers.create_note, lambda *a: False
+    try:
+        assert not generations.compact(spark, store, now, 1) and state() == before
+    finally:
+        writers.create_note = made
+    assert not generations.compact(spark, store, now, 1000)
+    assert generations.compact(spark, store, now, 1) and not generations.compact(spark, store, now, 1) and state() == before
+    assert [g.open for g in generations.generations(spark, store)] == [(lost,)]
+    generations.collect(spark, store, now)                       # too early: readers may still use the folders
+    assert folders("ledger") == 5
+    for _ in range(2):
+        generations.collect(spark, store, now + HOUR)
+    assert state() == before
+    assert folders("ledger") == folders("arrived") == 1 and folders("merged") == folders("due") == folders("rolled") == 0
+    assert [folders(t, "upto=") for t in ("requests", "minutes", "paths")] == [1, 1, 1] and folders("minutes_by_day", "version=") == folders("paths_by_hour", "version=") == 0
+    # a batch that is done isn't done again, whether its name is still known or not; numbers go on
+    top = max(int(n) for n in writers.note_names(spark, store.path("numbers")))
+    assert convert.convert_files(spark, store, [str(logs / "f.log.gz")], "f", now) == convert.convert_files(spark, store, [str(logs / "a.log.gz")], "a", now) == 0
+    assert store.batch_of(spark, "next") > top and store.batch_of(spark, "lost") == lost
+    # the lost batch is done after all, and a late file merges the hour again
+    assert convert.convert_files(spark, store, [str(logs / "a.log.gz")], "lost", now + 2 * HOUR) == 0
+    write_log(logs, "late", ["2026-10-07T06:30:00Z"], 500)
+    assert convert.convert_files(spark, store, [str(logs / "late.log.gz")], "late", now + 2 * HOUR) == 1
+    store.roll_days(spark, now + 2 * HOUR)
+    before = state()
+    assert (T0 + 30 * MINUTE, 500) in before[0] and len(before[3]) == 1
+    assert generations.compact(spark, store, now + 2 * HOUR, 1) and state() == before and not generations.generations(spark, store)[-1].open[1:]
+    generations.collect(spark, store, now + 4 * HOUR)
+    assert state() == before and len(generations.generations(spark, store)) == 1 and len(writers.note_names(spark, store.path("base"))) == 1
+
+
+def test_a_read_after_many_batches_lists_few_files(spark, tmp_path):
+    store = convert.RequestStore(str(tmp_path / "store"))
+    spark.range(200).selectExpr("concat('f', id) AS path", "id AS batch").repartition(1).write.partitionBy("batch").parquet(store.path("ledger"))
+    for batch in range(200):
+        assert writers.create_note(spark, store.path(f"numbers/{batch}"), f"n{batch}")
+        generations.finish(spark, store, batch)
+    assert len(store.read(spark, "ledger").inputFiles()) == 200
+    assert generations.compact(spark, store, 0)
+    generations.collect(spark, store, HOUR)
+    ledger = store.read(spark, "ledger")
+    assert len(ledger.inputFiles()) <= 8 and ledger.select("path").distinct().count() == ledger.count() == 200
+    assert [len(writers.note_names(spark, store.path(n))) for n in ("ledger", "numbers", "finished")] == [1, 1, 0]   # _SUCCESS, the greatest number
+    assert store.batch_of(spark, "more") == 200
+
+
 def test_hot_hours_are_split_over_tasks(spark, tmp_path):
     rows = spark.range(200_000).selectExpr("'lb' AS lb", "date'2026-01-01' AS dt", "IF(id % 10 = 0, 1, 0) AS hour", "uuid() AS x")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512kb")
