@@ -13,9 +13,11 @@ from ..functions import patterns as P
 from ..functions.figures import pct
 from ..functions.names import category_rank, classify_session_id, page_rank, store_of_index
 from ..functions.text import cut_to
-from ..functions.times import MINUTE, SESSION_RANGE_STEPS, Buckets, floor_to, range_step, within, zone_buckets
+from ..functions.times import HOUR, MINUTE, SESSION_RANGE_STEPS, Buckets, floor_to, range_step, within, zone_buckets
 
 WINDOW = 5 * MINUTE
+LOOKBACK_MS, CATCH_UP_MS = 15 * MINUTE, 12 * HOUR
+BLOCK_MS = 4 * HOUR
 SOURCES = ["session", "cop"]
 ROW = ["minute_ms", "source", "store", "page", "category", "value"]
 _GOOD = ", ".join(f"'{c}'" for c in P.GOOD_CATEGORIES)
@@ -57,6 +59,34 @@ def with_coverage(counts: DataFrame, start: int, end: int, sources: Sequence[str
     return counts.unionByName(every)
 
 
+def windows_to_count(counts: DataFrame, now: int, sources: Sequence[str] = tuple(SOURCES), look_back: int = LOOKBACK_MS, catch_up: int = CATCH_UP_MS
+                     ) -> DataFrame:
+    """minute_ms of the windows a run at ``now`` counts: the last ``look_back`` again, for late entries, and what is missing of the last ``catch_up``.
+
+    A window is missing unless every source has its ``_all`` row. Windows before the first that was ever counted aren't; a table without counts
+    asks for the last ``look_back`` only. The windows of ``catch_up`` are the rows of the result, however many counts there are.
+    """
+    end = now // WINDOW * WINDOW
+    spark = counts.sparkSession
+    total = counts.filter((F.col("store") == P.ALL) & F.col("source").isin(*sources))
+    counted = (total.filter(within("minute_ms", end - catch_up, end)).groupBy("minute_ms").agg(F.count_distinct("source").alias("n"))
+               .filter(F.col("n") == len(sources)).select("minute_ms"))
+    first = F.coalesce(total.agg(F.min("minute_ms")).scalar(), F.lit(end))
+    windows = spark.range(end - max(catch_up, look_back), end, WINDOW).withColumnRenamed("id", "minute_ms")
+    again = windows.filter(F.col("minute_ms") >= end - look_back)
+    missed = windows.filter((F.col("minute_ms") < end - look_back) & (F.col("minute_ms") >= first)).join(counted, "minute_ms", "left_anti")
+    return again.unionByName(missed)
+
+
+def as_ranges(windows: DataFrame, block: int = BLOCK_MS) -> DataFrame:
+    """start_ms, end_ms of neighbouring windows, cut where files of ``block`` begin; blocks are independent of each other."""
+    in_block = W.partitionBy("block").orderBy("minute_ms")
+    rows = windows.select("minute_ms", floor_to("minute_ms", block).alias("block")).distinct()
+    run = F.col("minute_ms") - F.row_number().over(in_block) * WINDOW
+    return (rows.withColumn("run", run).groupBy("block", "run").agg(F.min("minute_ms").alias("start_ms"), (F.max("minute_ms") + WINDOW).alias("end_ms"))
+            .select("start_ms", "end_ms"))
+
+
 def bad_ids(entries: DataFrame, health_prefix: str, order_columns: Sequence[str] = ("order_id",), id_chars: int | None = None) -> DataFrame:
     """Entries whose session ID is neither valid nor a health check's, one row each; IDs cut to ``id_chars``, if given."""
     sid = F.col("session_id")

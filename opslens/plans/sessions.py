@@ -44,6 +44,23 @@ def ab_coverage(spark, sf_dir):
     return rows.filter("store = '_all'").select("minute_ms", "source", "n")
 
 
+_LACK = f"minute_ms // {DAY} % 3 = 1 AND minute_ms // {MINUTE} % 60 < 20 OR minute_ms // {HOUR} % 7 = 2 AND source = 'cop'"
+
+
+@QUERIES.add("ab_catch_up", f"""WITH w AS (SELECT minute_ms FROM (SELECT unnest(range({START}, {END}, 300000)) AS minute_ms)
+      WHERE minute_ms >= {END} - 900000 OR minute_ms // {DAY} % 3 = 1 AND minute_ms // {MINUTE} % 60 < 20 OR minute_ms // {HOUR} % 7 = 2),
+    f AS (SELECT min(minute_ms) AS first_ms FROM (SELECT unnest(range({START}, {END}, 300000)) AS minute_ms), (VALUES ('session'), ('cop')) s(source) WHERE NOT ({_LACK})),
+    g AS (SELECT minute_ms, minute_ms // 14400000 AS block, CASE WHEN minute_ms - lag(minute_ms) OVER (ORDER BY minute_ms) = 300000
+      AND minute_ms % 14400000 <> 0 THEN 0 ELSE 1 END AS opens FROM w, f WHERE minute_ms >= first_ms OR minute_ms >= {END} - 900000),
+    r AS (SELECT *, sum(opens) OVER (ORDER BY minute_ms) AS run FROM g)
+    SELECT min(minute_ms) AS start_ms, max(minute_ms) + 300000 AS end_ms FROM r GROUP BY run""")
+def ab_catch_up(spark, sf_dir):
+    """Ranges still to count where runs were missed or one source failed, up to the whole span back, and the last 15 minutes."""
+    rows = sessions.with_coverage(counts(spark, sf_dir), START, END)
+    lacking = F.expr(f"minute_ms DIV {DAY} % 3 = 1 AND minute_ms DIV {MINUTE} % 60 < 20 OR minute_ms DIV {HOUR} % 7 = 2 AND source = 'cop'")
+    return sessions.as_ranges(sessions.windows_to_count(rows.filter(~lacking), END + 2 * MINUTE, catch_up=END - START))
+
+
 @QUERIES.add("ab_store_table", sql(f"""SELECT *, round(100.0::DOUBLE * oc_bad / nullif(oc, 0), 2) AS oc_bad_pct,
     round(100.0::DOUBLE * cop_bad / nullif(cop, 0), 2) AS cop_bad_pct FROM (
     SELECT store, count(*) FILTER (source = 'session') - count(*) FILTER (source = 'session' AND category = 'health') AS entries,

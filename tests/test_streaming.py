@@ -316,6 +316,41 @@ def test_session_counts_stream(spark, rows, tmp_path):
     assert got == want
 
 
+def test_runs_make_up_for_missed_ones(spark, rows, tmp_path):
+    table, start = str(tmp_path / "counts"), T0 - 2 * HOUR
+    data = [(start + i * 100_000, "session" if i % 3 else "cop", "a.com-log", "oc", f"M{i}", None, None, None, None) for i in range(300)]
+    late = [(T0 + 8 * MINUTE, "session", "late.com-log", "oc", "M1", None, None, None, None)]
+    entries, asked = rows(data, ENTRY), []
+
+    def read(ranges):
+        asked.append(ranges)
+        return entries
+    run = lambda now: session_stream.count_run(spark, read, "probe-", table, now)
+    m = MINUTE
+    assert run(T0 + 12 * m) == [(T0 - 5 * m, T0 + 10 * m)]       # the first run; the 06:00 block of 4 hours begins at 04:00
+    entries = rows(data + late, ENTRY)
+    assert run(T0 + 16 * m) == [(T0, T0 + 15 * m)]               # again, with an entry that came late
+    writers_write, writers.write_batch = writers.write_batch, lambda *a: 1 / 0
+    try:
+        run(T0 + 21 * m)
+    except ZeroDivisionError:
+        pass                                                     # a run that failed before it wrote
+    finally:
+        writers.write_batch = writers_write
+    missed = [(T0 + 15 * m, T0 + 2 * HOUR), (T0 + 2 * HOUR, T0 + 3 * HOUR)]
+    for _ in range(2):                                           # repeated after a crash, it counts the same and replaces itself
+        assert run(T0 + 3 * HOUR) == missed == asked[-1]
+    assert run(T0 + 185 * m) == [(T0 + 170 * m, T0 + 185 * m)]
+    got = sorted(tuple(r) for r in session_stream.read_windows(spark, table).select(*sessions.ROW, "n").collect())
+    want = sessions.with_coverage(sessions.count_entries(entries, "probe-"), T0 - 5 * m, T0 + 185 * m)
+    assert got == sorted(tuple(r) for r in want.select(*sessions.ROW, "n").collect())
+    assert run(T0 + 20 * HOUR)[0] == (T0 + 8 * HOUR, T0 + 10 * HOUR)   # no further back than 12 hours
+    # an entry that is taken back, as the source is read again
+    entries = rows([], ENTRY)
+    run(T0 + 20 * HOUR)
+    assert session_stream.read_windows(spark, table).filter(F.col("minute_ms") >= T0 + 20 * HOUR - 15 * m).filter("store <> '_all'").count() == 0
+
+
 def test_alert_stream_gives_the_events_of_the_batch_form(spark, rows, tmp_path):
     found = values(rows, [75, 76, 85, 86, 79, 77, 69, 68], 2).unionByName(values(rows, [90] * 8, 1, "y"))
     repeat = {"warning": 60, "critical": 15}
