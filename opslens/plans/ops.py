@@ -389,7 +389,7 @@ def inbound_tenants(spark, sf_dir):
     return inbound.inbound_tenants(views.inbound(spark, sf_dir), _IS, _IE, _EXCLUDE)
 
 
-@QUERIES.add("inbound_delta", sql("""WITH r AS (SELECT snapshot_ms, lag(snapshot_ms) OVER (ORDER BY snapshot_ms) AS previous_ms
+DELTA = sql("""WITH r AS (SELECT snapshot_ms, lag(snapshot_ms) OVER (ORDER BY snapshot_ms) AS previous_ms
         FROM (SELECT DISTINCT snapshot_ms FROM v_snap)),
     n AS (SELECT s.snapshot_ms, r.previous_ms, s.tenant, s.docs_count,
                  CASE WHEN p.docs_count IS NOT NULL THEN greatest(0, s.docs_count - p.docs_count)
@@ -401,7 +401,10 @@ def inbound_tenants(spark, sf_dir):
            snapshot_ms AS at FROM t WHERE orders > 0
     UNION ALL SELECT previous_ms // 300000 * 300000, '_all', CAST(coalesce(sum(orders), 0) AS BIGINT), CAST(coalesce(sum(docs), 0) AS BIGINT),
               CAST((r.snapshot_ms - previous_ms) / 60000 AS BIGINT), 'live', r.snapshot_ms
-              FROM r LEFT JOIN t USING (snapshot_ms, previous_ms) WHERE previous_ms IS NOT NULL GROUP BY r.snapshot_ms, previous_ms"""))
+              FROM r LEFT JOIN t USING (snapshot_ms, previous_ms) WHERE previous_ms IS NOT NULL GROUP BY r.snapshot_ms, previous_ms""")
+
+
+@QUERIES.add("inbound_delta", DELTA)
 def inbound_delta(spark, sf_dir):
     return inbound.inbound_delta(views.index_snapshots(spark, sf_dir))
 

@@ -11,8 +11,9 @@ from ..operators import search
 from ..operators.orders import OrderLine
 from ..session import shared_folder
 from ..sources import readers, writers
-from ..streaming import convert, sightings
+from ..streaming import convert, inbound as inbound_stream, sightings
 from . import views
+from .ops import DELTA
 from .oracle import sql
 from .registry import Registry
 
@@ -157,3 +158,17 @@ def orders_recounted(spark, sf_dir):
     store.recount(old, logs, first, last)
     store.recount(new, logs, date.fromordinal(first.toordinal() + 2), last)
     return store.read(spark, ["shop"]).select("day", "order_id", "first_ms")
+
+
+_CUTS = (788918400000, 833587200000)                             # 1995-01-01, 1996-06-01
+
+
+@QUERIES.add("inbound_runs", DELTA)
+def inbound_runs(spark, sf_dir):
+    """Snapshots in three batches, the second one applied twice; a run at the cut comes half in one batch and half in the next."""
+    root, rows, at = _folder(spark, "inbound_runs"), views.index_snapshots(spark, sf_dir), F.col("snapshot_ms")
+    early = (at < _CUTS[0]) | (at == _CUTS[0]) & (F.pmod(F.xxhash64("index"), F.lit(2)) == 0)
+    parts = [rows.filter(early), rows.filter(~early & (at < _CUTS[1])), rows.filter(at >= _CUTS[1])]
+    for batch in (0, 1, 1, 2):
+        inbound_stream.add_runs(parts[batch], root, batch)
+    return inbound_stream.read_runs(spark, root)

@@ -9,6 +9,7 @@ from opslens.operators import inbound, lb, orders, rules, sessions, state
 from opslens.operators.lb import RequestQuery
 from opslens.sources import writers
 from opslens.streaming import alerts, convert, generations, sightings
+from opslens.streaming import inbound as inbound_stream
 from opslens.streaming import sessions as session_stream
 from test_alerts import BASE, FINDING, checks_of_instances, values
 from test_sessions_health import ENTRY
@@ -383,6 +384,28 @@ def test_inbound_stream_gives_the_rows_of_the_batch_form(spark, rows, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
 
 
+def test_runs_are_timed_by_the_stream(spark, rows, tmp_path):
+    schema = "source string, snapshot_ms bigint, index string, status string, docs_count bigint, creation_ms bigint"
+    m, a, b = MINUTE, "a.com-order-2026.11", "b.com-order-2026"
+    counted = {0: {a: 100, b: 50}, 5: {a: 107, b: 49}, 10: {a: 107}, 16: {}, 21: {a: 110, b: 60}, 26: {a: 115, b: 60, "c.com-order-2026": 9}}
+    data = [(s, T0 + at * m, index, "open", n + k, T0 + at * m if (index or "").startswith("c") else T0 - DAY)
+            for k, s in enumerate("xy") for at, run in counted.items() for index, n in (run or {None: 0}).items()]
+    pick = lambda f: [r for r in data if f(r[0], (r[1] - T0) // m, r[2])]
+    parts = [pick(lambda s, at, i: at == 0 or at == 5 and i == a),
+             pick(lambda s, at, i: at == 5 and i == b or at == 16 or s == "y" and at == 10),       # the rest of a run; a run that isn't there yet
+             pick(lambda s, at, i: at in (0, 10)),                                                 # ... comes late, with one that is too old
+             [], pick(lambda s, at, i: at >= 21), pick(lambda s, at, i: at == 26)]                 # the last one twice
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in parts:
+        rows(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        inbound_stream.stream_inbound(stream, root, str(tmp_path / "checkpoint"), ["source"], ONCE).awaitTermination()
+    got = sorted(tuple(r) for r in inbound_stream.read_runs(spark, root, ["source"]).collect())
+    want = sorted(tuple(r) for r in inbound.inbound_delta(rows(data, schema), ["source"]).select(*inbound_stream.read_runs(spark, root, ["source"]).columns).collect())
+    assert got == want and sum(r[2] == "_all" for r in got) == 10 and len([n for n in os.listdir(root + "/runs") if n.startswith("batch=")]) <= 2
+    assert inbound_stream.read_runs(spark, str(tmp_path / "none")) is None
+
+
 def test_instance_stream_equals_the_batch_rows_over_shuffled_batches(spark, rows, tmp_path):
     history, services = checks_of_instances(rows)
     end = rows([(BASE + 90 * HOUR, c, "z", "ACTIVE", True) for c in "cd"], "at_ms bigint, cluster string, instance_id string, status string, agent_connected boolean")
