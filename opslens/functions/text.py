@@ -81,10 +81,17 @@ def grouping_line(text: Column, first_line: bool = False, chars: int | None = No
 
 
 def normalize_error(line: Column, chars: int | None = None) -> Column:
-    """The line with stores, times and words holding digits replaced by placeholders."""
-    for pattern, replacement in P.ERROR_VARIATIONS:
-        line = F.regexp_replace(line, pattern, replacement)
-    return cut_to(line, chars)
+    """The line with stores, times and words holding digits replaced by placeholders.
+
+    A line without a digit, a store or a placeholder stays as it is: patterns are tried only where they can match.
+    """
+    (store, name), *others = P.ERROR_VARIATIONS
+    has_store = F.contains(line, F.lit(P.STORE_SUFFIX))
+    varied = F.when(has_store, F.regexp_replace(line, store, name)).otherwise(line)
+    for pattern, replacement in others:
+        varied = F.regexp_replace(varied, pattern, replacement)
+    may_vary = has_store | F.contains(line, F.lit("<*>")) | F.rlike(line, F.lit("[0-9]"))
+    return cut_to(F.when(may_vary, varied).otherwise(line), chars)
 
 
 def error_key(normalized: Column) -> Column:
@@ -94,7 +101,8 @@ def error_key(normalized: Column) -> Column:
 
 def store_in(line: Column) -> Column:
     """The first store domain in a line without its suffix, NULL when there is none."""
-    return F.nullif(F.replace(F.regexp_extract(line, P.STORE, 0), F.lit(P.STORE_SUFFIX), F.lit("")), F.lit(""))
+    found = F.nullif(F.replace(F.regexp_extract(line, P.STORE, 0), F.lit(P.STORE_SUFFIX), F.lit("")), F.lit(""))
+    return F.when(F.contains(line, F.lit(P.STORE_SUFFIX)), found)
 
 
 def tenant_in(line: Column) -> Column:

@@ -27,6 +27,8 @@ def error_lines(logs: DataFrame, cut: Cut = Cut()) -> DataFrame:
         return X.trimmed(name) if name in have else F.lit(None).cast("string")
     said = [c for c in ("msg", "body", "raw") if c in have]
     line = X.grouping_line(X.first_text(said), cut.first_line, cut.line_chars) if said else F.lit("")
+    # never NULL, which tells Spark that joins on the key need no filter and may share one pass
+    line = F.coalesce(line, F.lit(""))
     location = X.code_location(*[F.col(c) if c in have else None for c in ("class", "method", "line")])
     service = F.col("service").cast("string") if "service" in have else F.lit(None).cast("string")
     return (logs.select(F.coalesce(optional("exception"), F.lit("")).alias("exception"), line.alias("text"),
@@ -38,43 +40,48 @@ def error_lines(logs: DataFrame, cut: Cut = Cut()) -> DataFrame:
             .withColumn("key", X.error_key(F.col("normalized"))))
 
 
-def _counted(logs: DataFrame, cut: Cut) -> DataFrame:
-    """Lines counted per (kind, variant, location, store, tenant): what all further aggregates start from."""
-    return (error_lines(logs, cut).groupBy(*KIND, "normalized", "location", "store", "tenant")
-            .agg(F.count("*").alias("n"), F.min("text").alias("example"), F.min("service").alias("service")))
-
-
 def templates(variants: DataFrame) -> DataFrame:
     """KIND, error and n_variants from the distinct normalised lines of each kind.
 
     Lines of as many words: words that differ become ``<*>``. Otherwise the first and last words that all share, around an
-    ellipsis. Minima and maxima by word position and of whole word lists tell what is shared, so that no list of the lines is needed.
+    ellipsis. Kinds of several lines compare each with the smallest one: how many words both begin and end with, or which
+    differ. Only those numbers meet per kind, neither the lines nor their words.
     """
-    words = variants.select(*KIND, "normalized", F.split("normalized", " ", -1).alias("words"))
-    back = F.reverse("words")
-    ends = words.groupBy(*KIND).agg(
-        F.count("*").alias("n_variants"), F.min("normalized").alias("only"), F.min(F.size("words")).alias("shortest"), F.max(F.size("words")).alias("longest"),
-        F.min("words").alias("low"), F.max("words").alias("high"), F.min(back).alias("low_back"), F.max(back).alias("high_back"))
-    spots = words.select(*KIND, F.posexplode("words").alias("spot", "word")).groupBy(*KIND, "spot").agg(F.min("word").alias("a"), F.max("word").alias("b"))
-    word = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("<*>")
-    aligned = spots.groupBy(*KIND).agg(F.array_sort(F.collect_list(F.struct("spot", word.alias("word")))).alias("spots"))
-    same = F.regexp_replace(F.array_join(F.transform("spots", lambda s: s["word"]), " "), P.REPEATED_WILDCARD, "<*>")
-    head = F.least(X.shared_words(F.col("low"), F.col("high")), "shortest")
-    tail = F.least(X.shared_words(F.col("low_back"), F.col("high_back")), F.col("shortest") - head)
-    last = F.array_join(F.reverse(F.slice("low_back", F.lit(1), tail)), " ")
-    around = F.trim(F.concat(F.array_join(F.slice("low", F.lit(1), head), " "), F.lit(" …"), F.when(tail > 0, F.concat(F.lit(" "), last)).otherwise("")))
-    error = F.when(F.col("n_variants") == 1, F.col("only")).when(F.col("shortest") == F.col("longest"), same).otherwise(around)
-    return ends.join(aligned, KIND).select(*KIND, error.alias("error"), "n_variants")
-
-
-def _detailed(kinds: DataFrame, fine: DataFrame, cut: Cut) -> DataFrame:
-    """``kinds`` (KIND, n, example, service) with stores, tenants, location and template, from the counts of those kinds only."""
-    own = fine.join(kinds.select(*KIND), KIND, "left_semi")
-    located = (own.filter(F.col("location").isNotNull()).groupBy(*KIND, "location").agg(F.sum("n").alias("n"))
-               .groupBy(*KIND).agg(F.min_by("location", F.struct(-F.col("n"), "location")).alias("location")))
-    names = own.groupBy(*KIND).agg(F.sort_array(F.collect_set("store")).alias("stores"), F.sort_array(F.collect_set("tenant")).alias("tenants"))
-    variants = own.select(*KIND, "normalized").distinct()
-    found = kinds.join(names, KIND).join(templates(variants), KIND).join(located, KIND, "left")
+    line, smallest = F.split("normalized", " ", -1), F.split("smallest", " ", -1)
+    refs = variants.groupBy(*KIND).agg(F.count("*").alias("n_variants"), F.min("normalized").alias("smallest"),
+                                       F.min(F.size(line)).alias("shortest"), F.max(F.size(line)).alias("longest"))
+    aligned = F.col("shortest") == F.col("longest")
+    pairs = (variants.join(refs.filter(F.col("n_variants") > 1), KIND)
+             .select(*KIND, aligned.alias("aligned"), (F.col("normalized") == F.col("smallest")).alias("own"), line.alias("words"), smallest.alias("others")))
+    # the smallest line itself brings every position, the others those that differ
+    compared = F.transform(F.zip_with("words", "others", lambda a, b: a != b), lambda x, i: F.struct(i.alias("spot"), x.alias("differs")))
+    brought = F.filter(compared, lambda s: s["differs"] | F.col("own"))
+    found = pairs.select(*KIND, F.when(~F.col("aligned"), X.shared_words(F.col("words"), F.col("others"))).alias("ahead"),
+                         F.when(~F.col("aligned"), X.shared_words(F.reverse("words"), F.reverse("others"))).alias("behind"),
+                         F.explode_outer(F.when(F.col("aligned"), brought)).alias("s"))
+    shared = (found.groupBy(*KIND, F.col("s.spot").alias("spot")).agg(F.max("s.differs").alias("differs"), F.min("ahead").alias("ahead"), F.min("behind").alias("behind"))
+              .groupBy(*KIND).agg(F.min("ahead").alias("ahead"), F.min("behind").alias("behind"),
+                                  F.array_sort(F.collect_list(F.struct("spot", "differs"))).alias("spots")))
+    marked = F.zip_with(smallest, F.col("spots"), lambda w, s: F.when(s["differs"], "<*>").otherwise(w))
+    same = F.regexp_replace(F.array_join(marked, " "), P.REPEATED_WILDCARD, "<*>")
+    head = F.least("ahead", "shortest")
+    tail = F.least(F.col("behind"), F.col("shortest") - head)
+    last = F.array_join(F.reverse(F.slice(F.reverse(smallest), F.lit(1), tail)), " ")
+    around = F.trim(F.concat(F.array_join(F.slice(smallest, F.lit(1), head), " "), F.lit(" …"), F.when(tail > 0, F.concat(F.lit(" "), last)).otherwise("")))
+    error = F.when(F.col("n_variants") == 1, F.col("smallest")).when(aligned, same).otherwise(around)
+    return refs.join(shared, KIND, "left").select(*KIND, error.alias("error"), "n_variants")
+
+
+def _summed(lines: DataFrame) -> DataFrame:
+    """All that one pass over the lines tells of each kind."""
+    return lines.groupBy(*KIND).agg(
+        F.count("*").alias("n"), F.min("text").alias("example"), F.min("service").alias("service"), F.sort_array(F.collect_set("store")).alias("stores"),
+        F.sort_array(F.collect_set("tenant")).alias("tenants"), F.mode("location", True).alias("location"))
+
+
+def _detailed(kinds: DataFrame, variants: DataFrame, cut: Cut) -> DataFrame:
+    """``kinds`` with their template, from the distinct normalised lines of those kinds only."""
+    found = kinds.join(templates(variants), KIND)
     if cut.variants:
         first = W.partitionBy(*KIND).orderBy("normalized")
         few = variants.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= cut.variants)
@@ -82,32 +89,34 @@ def _detailed(kinds: DataFrame, fine: DataFrame, cut: Cut) -> DataFrame:
     return found
 
 
-def _sums(fine: DataFrame) -> DataFrame:
-    return fine.groupBy(*KIND).agg(F.sum("n").alias("n"), F.min("example").alias("example"), F.min("service").alias("service"))
+def _variants(lines: DataFrame) -> DataFrame:
+    return lines.select(*KIND, "normalized").distinct()
 
 
 def error_kinds(logs: DataFrame, cut: Cut = Cut()) -> DataFrame:
     """One row per kind: n, example, service, stores, tenants, location, the template and the number of variants (and ``cut.variants`` of them).
 
-    Lines are first counted per (kind, variant, location, store, tenant), so a kind that holds most of
-    the lines is already small when its rows come together. Picks that could go either way take the
-    smallest value.
+    Lines are summed up and made distinct in each task first, so a kind that holds most of the lines is already small when its
+    rows come together. Picks that could go either way take the smallest value.
     """
-    fine = _counted(logs, cut)
-    return _detailed(_sums(fine), fine, cut)
+    lines = error_lines(logs, cut)
+    return _detailed(_summed(lines), _variants(lines), cut)
 
 
 def error_groups(logs: DataFrame, limit: int | None = 200, cut: Cut = Cut()) -> DataFrame:
     """The ``limit`` most frequent kinds (None: all), with the number of kinds and lines over all of them.
 
-    Kinds are ranked by their counts first; only those shown are looked at in detail.
+    Kinds are ranked by their counts first; only those shown have their variants compared.
     """
-    fine = _counted(logs, cut)
-    sums = _sums(fine)
+    lines = error_lines(logs, cut)
+    sums, variants = _summed(lines), _variants(lines)
     totals = sums.agg(F.struct(F.count("*").alias("kinds"), F.sum("n").alias("total")))
     order = [F.desc("n"), "key", "exception"]
-    top = sums if limit is None else sums.orderBy(*order).limit(limit)
-    return (_detailed(top, fine, cut).orderBy(*order).withColumn("overall", totals.scalar())
+    top = sums
+    if limit is not None:
+        top = sums.orderBy(*order).limit(limit)
+        variants = variants.join(top.select(*KIND), KIND, "left_semi")
+    return (_detailed(top, variants, cut).orderBy(*order).withColumn("overall", totals.scalar())
             .select("*", F.col("overall.kinds").alias("kinds"), F.col("overall.total").alias("total")).drop("overall"))
 
 

@@ -156,6 +156,42 @@ def test_the_screen_shows_forty_variants(rows):
     assert kind.n == 60 and len(kind.variants) == 40 and kind.error == "one two three four five six seven eight <*>"
 
 
+def read_times(spark, grouped, n: int = 40) -> int:
+    """How often ``grouped`` of ``n`` lines reads each of them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(i):
+        seen.add(1)
+        return f"kind {'abcd'[i % 4]} of a line: {'x' * i} {i} done"
+    assert len(grouped(spark.range(0, n, 1, 1).select(said("id").alias("msg"))).collect()) == n
+    assert seen.value % n == 0
+    return seen.value // n
+
+
+def test_lines_are_read_for_sums_totals_and_variants_only(spark):
+    assert read_times(spark, lambda logs: errors.error_groups(logs, None)) <= 3
+
+
+def test_words_of_a_kind_do_not_meet_by_position(rows):
+    """Positions come from the smallest line and from those that differ, not from every word of every line."""
+    lines = [f"one two three four five six seven eight {'same ' * 300}tail{'x' * i}" for i in range(40)]
+    found = errors.templates(rows([("", "k", x) for x in lines], "exception string, key string, normalized string"))
+    assert found.collect()[0].error == "one two three four five six seven eight " + "same " * 300 + "<*>"
+    nodes, made = [found._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            nodes.append(node.plan())
+        else:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Generate":
+            made += node.metrics().apply("numOutputRows").value()
+    assert 0 < made <= 309 + 39
+
+
 def test_muted_kinds_are_left_out(rows):
     groups = rows([("no such index [a]", "no such index [<*>]"), ("Invalid zip D01", "Invalid zip <*>")], "example string, error string")
     assert [r.example for r in errors.without_muted(groups, ["NO SUCH"]).collect()] == ["Invalid zip D01"]
