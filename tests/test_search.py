@@ -173,6 +173,10 @@ def test_lines_are_read_for_sums_totals_and_variants_only(spark):
     assert read_times(spark, lambda logs: errors.error_groups(logs, None)) <= 3
 
 
+def test_shown_kinds_share_the_reading_of_variants(spark):
+    assert read_times(spark, lambda logs: errors.error_groups(logs, 40, errors.Cut(True, 1000, 600, 40))) <= 4
+
+
 def test_words_of_a_kind_do_not_meet_by_position(rows):
     """Positions come from the smallest line and from those that differ, not from every word of every line."""
     lines = [f"one two three four five six seven eight {'same ' * 300}tail{'x' * i}" for i in range(40)]
