@@ -44,16 +44,19 @@ def templates(variants: DataFrame) -> DataFrame:
     """KIND, error and n_variants from the distinct normalised lines of each kind.
 
     Lines of as many words: words that differ become ``<*>``. Otherwise the first and last words that all share, around an
-    ellipsis. Kinds of several lines compare each with the smallest one: how many words both begin and end with, or which
-    differ. Only those numbers meet per kind, neither the lines nor their words.
+    ellipsis. Kinds of several lines compare each with one of them, that of the smallest hash: how many words both begin and
+    end with, or which differ. Only those numbers meet per kind, neither the lines nor their words.
     """
-    line, smallest = F.split("normalized", " ", -1), F.split("smallest", " ", -1)
+    line, smallest, mark = F.split("normalized", " ", -1), F.split("smallest", " ", -1), F.xxhash64("normalized")
     refs = variants.groupBy(*KIND).agg(F.count("*").alias("n_variants"), F.min("normalized").alias("smallest"),
-                                       F.min(F.size(line)).alias("shortest"), F.max(F.size(line)).alias("longest"))
+                                       F.min(F.size(line)).alias("shortest"), F.max(F.size(line)).alias("longest"), F.min(mark).alias("mark"))
+    several = refs.filter(F.col("n_variants") > 1)
+    # "<=" and not "==", which would be one more key to shuffle the lines by
+    chosen = variants.join(several.select(*KIND, "mark"), KIND).filter(mark <= F.col("mark")).select(*KIND, F.col("normalized").alias("other"))
     aligned = F.col("shortest") == F.col("longest")
-    pairs = (variants.join(refs.filter(F.col("n_variants") > 1), KIND)
-             .select(*KIND, aligned.alias("aligned"), (F.col("normalized") == F.col("smallest")).alias("own"), line.alias("words"), smallest.alias("others")))
-    # the smallest line itself brings every position, the others those that differ
+    pairs = (variants.join(several.select(*KIND, aligned.alias("aligned")), KIND).join(chosen, KIND)
+             .select(*KIND, "aligned", (F.col("normalized") == F.col("other")).alias("own"), line.alias("words"), F.split("other", " ", -1).alias("others")))
+    # the line compared with brings every position, the others those that differ
     compared = F.transform(F.zip_with("words", "others", lambda a, b: a != b), lambda x, i: F.struct(i.alias("spot"), x.alias("differs")))
     brought = F.filter(compared, lambda s: s["differs"] | F.col("own"))
     found = pairs.select(*KIND, F.when(~F.col("aligned"), X.shared_words(F.col("words"), F.col("others"))).alias("ahead"),
