@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..session import stored
 
 KIND = ["exception", "key"]
 
@@ -106,19 +107,43 @@ def error_kinds(logs: DataFrame, cut: Cut = Cut()) -> DataFrame:
     return _detailed(_summed(lines), _variants(lines), cut)
 
 
+def _tallied(lines: DataFrame) -> DataFrame:
+    """One row for each variant of a kind and place in the code, with all that its lines tell."""
+    return lines.groupBy(*KIND, "normalized", "location").agg(
+        F.count("*").alias("n"), F.min("text").alias("example"), F.min("service").alias("service"),
+        F.collect_set("store").alias("stores"), F.collect_set("tenant").alias("tenants"))
+
+
+def _summed_tallies(tallies: DataFrame) -> DataFrame:
+    """What ``_summed`` gives, from tallies."""
+    def every(names: str, name: str) -> DataFrame:
+        return tallies.select(*KIND, F.explode(names).alias(name)).groupBy(*KIND).agg(F.sort_array(F.collect_set(name)).alias(names))
+    often = F.when(F.col("location").isNotNull(), F.struct(-F.col("n"), "location"))
+    sums = (tallies.groupBy(*KIND, "location").agg(F.sum("n").alias("n"), F.min("example").alias("example"), F.min("service").alias("service"))
+            .groupBy(*KIND).agg(F.sum("n").alias("n"), F.min("example").alias("example"), F.min("service").alias("service"),
+                                F.min_by("location", often).alias("location")))
+    none = F.array().cast("array<string>")
+    return (sums.join(every("stores", "store"), KIND, "left").join(every("tenants", "tenant"), KIND, "left")
+            .select(*KIND, "n", "example", "service", F.coalesce("stores", none).alias("stores"), F.coalesce("tenants", none).alias("tenants"), "location"))
+
+
 def error_groups(logs: DataFrame, limit: int | None = 200, cut: Cut = Cut()) -> DataFrame:
     """The ``limit`` most frequent kinds (None: all), with the number of kinds and lines over all of them.
 
-    Kinds are ranked by their counts first; only those shown have their variants compared.
+    Kinds are ranked by their counts first; only those shown have their variants compared. For a limited list lines are read
+    once: their tallies, a row for each variant and place, are written to the shared folder and all else comes from them.
     """
     lines = error_lines(logs, cut)
-    sums, variants = _summed(lines), _variants(lines)
-    totals = sums.agg(F.struct(F.count("*").alias("kinds"), F.sum("n").alias("total")))
     order = [F.desc("n"), "key", "exception"]
-    top = sums
-    if limit is not None:
+    if limit is None:
+        top = sums = _summed(lines)
+        variants = _variants(lines)
+    else:
+        tallies = stored(_tallied(lines), "tallies")
+        sums = _summed_tallies(tallies)
         top = sums.orderBy(*order).limit(limit)
-        variants = variants.join(top.select(*KIND), KIND, "left_semi")
+        variants = _variants(tallies).join(top.select(*KIND), KIND, "left_semi")
+    totals = sums.agg(F.struct(F.count("*").alias("kinds"), F.sum("n").alias("total")))
     return (_detailed(top, variants, cut).orderBy(*order).withColumn("overall", totals.scalar())
             .select("*", F.col("overall.kinds").alias("kinds"), F.col("overall.total").alias("total")).drop("overall"))
 

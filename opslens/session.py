@@ -2,9 +2,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -56,3 +57,10 @@ def shared_folder(spark: SparkSession) -> str:
     if spark not in _LOCAL:
         _LOCAL[spark] = tempfile.mkdtemp(prefix="opslens-")
     return _LOCAL[spark]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the cluster's shared folder and read back, for steps that would compute it again and again."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/opslens-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -177,6 +177,30 @@ def test_shown_kinds_share_the_reading_of_variants(spark):
     assert read_times(spark, lambda logs: errors.error_groups(logs, 40, errors.Cut(True, 1000, 600, 40))) <= 4
 
 
+def test_a_limited_list_reads_each_line_once(spark):
+    assert read_times(spark, lambda logs: errors.error_groups(logs, 40, errors.Cut(True, 1000, 600, 40))) == 1
+
+
+def test_a_limited_list_tells_the_same_of_its_kinds(rows):
+    """Variants, places, stores and tenants of a kind are spread over its tallies; one kind has none of them."""
+    data = [(f"x.E{i % 2}", f"one two three four five six seven eight tail{'abc'[i % 3]} of s{i % 5}.myshopify.com tenant=t-{i % 4}", f"svc-{i % 3}",
+             [None, "a.B", "a.A", "a.A", "a.B", None, None][i % 7], None) for i in range(140)]
+    logs = rows([*data, (None, "plain", None, None, None), (None, " plain ", "z", None, "t9"), ("x.E0", None, None, "a.C", None)],
+                "exception string, msg string, service string, class string, tenant_id string")
+    few, every = (errors.error_groups(logs, n, errors.Cut(variants=2)) for n in (100, None))
+    assert few.columns == every.columns
+    found = tuples(few)
+    assert found == tuples(every) and len(found) == 4
+    first = few.first()
+    assert (first.n, first.n_variants, first.location, first.stores, first.tenants) == (70, 3, "A", [f"s{i}" for i in range(5)], ["t-0", "t-2"])
+    cut = errors.error_groups(logs, 1, errors.Cut(variants=2)).collect()
+    assert cut == [first] and (first.kinds, first.total) == (4, 143)
+
+
+def test_an_empty_limited_list(rows):
+    assert errors.error_groups(rows([], "msg string")).collect() == []
+
+
 def test_words_of_a_kind_do_not_meet_by_position(rows):
     """Positions come from the smallest line and from those that differ, not from every word of every line."""
     lines = [f"one two three four five six seven eight {'same ' * 300}tail{'x' * i}" for i in range(40)]
